@@ -171,11 +171,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, cold: int = COLD, fragments:
     # each class with its likeliest partner first, and what hot n-grams suggest; then only what those links leave apart
     verifier = Verifier(docs, k, fragments)
     best = near.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("shared", -F.col("a"))).alias("x")).select("x.a", "b", "x.na", "x.nb")
-    suggested, left = _hot_pairs(with_hot, docs, k, cold)
+    suggested, left, sets = _hot_pairs(with_hot, docs, k, cold)
     links = verifier.links(cut(best.unionAll(suggested).distinct()))
     comps = cut(components(links))
-    rest = _apart(near, comps).unionAll(_across(left, comps)).distinct()
-    links = links.unionAll(verifier.links(cut(rest)))
+    rest = verifier.links(cut(_apart(near, comps)))
+    links = links.select("a", "b").unionAll(rest.select("a", "b")).unionAll(_across(left, sets, comps))
 
     found = components(links)
     out = member.join(found, member["cid"] == found["node"], "left").select("doc_id", F.coalesce("component", "cid").alias("component_id"))
@@ -204,8 +204,8 @@ def _explode_sets(k: int):
     return run
 
 
-def _hot_pairs(with_hot: DataFrame, docs: DataFrame, k: int, cold: int) -> tuple[DataFrame, DataFrame]:
-    """For classes that consist of hot n-grams to a good part: candidate pairs, and (h, cid, n) of lists that are still long."""
+def _hot_pairs(with_hot: DataFrame, docs: DataFrame, k: int, cold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For classes that consist of hot n-grams to a good part: candidate pairs, (h, cid, n) of lists that are still long, all n-grams."""
     wide = cut(with_hot.where("hot > 0 and hot >= least(floor(0.06 * n) + 5, ceil(n / 2))").select("cid", "n"))
     rows = cut(docs.join(if_small(wide.select(F.col("cid").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(_explode_sets(k), "h long, cid long").distinct())
     frequency = rows.groupBy("h").agg(F.count("*").alias("df"))
@@ -217,18 +217,23 @@ def _hot_pairs(with_hot: DataFrame, docs: DataFrame, k: int, cold: int) -> tuple
     star = left.join(pivot, "h").where("a <> cid").select("a", F.col("cid").alias("b"))
     a, b = wide.select(F.col("cid").alias("a"), F.col("n").alias("na")), wide.select(F.col("cid").alias("b"), F.col("n").alias("nb"))
     pairs = lists.where("b is not null").select("a", "b").unionAll(star).distinct().join(a, "a").join(b, "b")
-    return pairs.where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b", "na", "nb"), left
+    return pairs.where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b", "na", "nb"), left, rows
 
 
-def _across(left: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs across components in lists (h, cid, n) that hold several; each pair in its first common list only."""
+def _across(left: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links across components in lists (h, cid, n) that hold several.
+
+    The join itself verifies a pair, and in its first common list only, so that no candidates are
+    written out: what comes out are links.
+    """
     lists = left.groupBy("cid").agg(F.sort_array(F.collect_set("h")).alias("hs"))
     marked = left.join(comps, left["cid"] == comps["node"], "left").select("h", "cid", "n", F.coalesce("component", "cid").alias("comp"))
     marked = cut(marked.join(lists, "cid"))
     main = marked.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    minor = marked.join(main, "h").where("comp <> main").select(F.col("h").alias("hm"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("hs").alias("hx"))
-    every = marked.select("h", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("hs").alias("hy"))
-    meets = F.expr("hm = h and cx <> cy and 4 * nx >= 3 * ny and 4 * ny >= 3 * nx") & (F.array_min(F.array_intersect("hx", "hy")) == F.col("h"))
-    pairs = minor.join(every, meets)
-    first = F.expr("x < y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+    mixed = cut(marked.join(main, "h").select("h", "cid", "n", "comp", "hs", "main"))
+    whole = sets.join(if_small(mixed.select("cid").distinct()), "cid", "left_semi").groupBy("cid").agg(F.collect_list("h").alias("set"))
+    mixed = mixed.join(whole, "cid")
+    minor = mixed.where("comp <> main").select(F.col("h").alias("hm"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("hs").alias("hx"), F.col("set").alias("sx"))
+    every = mixed.select("h", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("hs").alias("hy"), F.col("set").alias("sy"))
+    meets = F.expr("hm = h and cx <> cy and 4 * nx >= 3 * ny and 4 * ny >= 3 * nx and array_min(array_intersect(hx, hy)) = h and 175 * size(array_intersect(sx, sy)) >= 75 * (nx + ny)")
+    return minor.join(every, meets).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
