@@ -10,20 +10,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from playsight.llm import sharding, winnowing
 from playsight.llm.common import table
 
 
+def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.extendible_shards(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from playsight.llm.ngram_jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from playsight.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from playsight.llm import token_store
+
+    folder = token_store.scratch_folder(spark)
+    token_store.write_store(table(spark, sf_dir, "documents"), folder, token_store.default_tokenizer())
+    return token_store.digests(spark, folder)
+
+
+def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from playsight.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("source", "th")
+
+
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_extendible_sharding": op2_extendible_sharding,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_toxicity": op5_toxicity,
+        "op6_token_store": op6_token_store,
+        "op9_entropy_mixing": op9_entropy_mixing,
+        "op10_winnowing": op10_winnowing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_extendible_sharding": sharding.ORACLE_SQL,
+        "op10_winnowing": winnowing.ORACLE_SQL,
+    }
