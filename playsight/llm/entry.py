@@ -14,10 +14,22 @@ from playsight.llm import sharding, winnowing
 from playsight.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from playsight.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from playsight.llm.kneser_ney import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from playsight.llm.ngram_jaccard import jaccard_components
 
@@ -50,7 +62,9 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_extendible_sharding": op2_extendible_sharding,
+        "op3_kneser_ney": op3_kneser_ney,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_toxicity": op5_toxicity,
         "op6_token_store": op6_token_store,
