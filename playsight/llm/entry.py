@@ -50,6 +50,18 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(spark, folder)
 
 
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from playsight.llm.pivot_index import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from playsight.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from playsight.llm.mixing import mix
 
@@ -68,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_toxicity": op5_toxicity,
         "op6_token_store": op6_token_store,
+        "op7_pivot_index": op7_pivot_index,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_entropy_mixing": op9_entropy_mixing,
         "op10_winnowing": op10_winnowing,
     }
