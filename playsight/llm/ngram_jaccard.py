@@ -211,7 +211,8 @@ def _hot_pairs(with_hot: DataFrame, docs: DataFrame, k: int, cold: int) -> tuple
     frequency = rows.groupBy("h").agg(F.count("*").alias("df"))
     ranked = rows.join(frequency, "h").withColumn("rank", F.row_number().over(W.partitionBy("cid").orderBy("df", "h")))
     head = ranked.join(if_small(wide), "cid").where("rank <= floor(n / 4) + 1").select("h", "cid")
-    lists = cut(_by_lists(head, cold))
+    # by true frequency few lists are long: a higher bound leaves less for the join of _across
+    lists = cut(_by_lists(head, 2 * cold))
     left = cut(lists.where("b is null").select("h", F.col("a").alias("cid")).join(if_small(wide), "cid").select("h", "cid", "n"))
     pivot = left.groupBy("h").agg(F.min("cid").alias("a"))
     star = left.join(pivot, "h").where("a <> cid").select("a", F.col("cid").alias("b"))
