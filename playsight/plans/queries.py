@@ -44,10 +44,10 @@ lg AS (SELECT week, sum(n) OVER w / nullif(sum(d) OVER w, 0) AS league FROM lw W
 adj AS (SELECT ev.*, coalesce(ev.n - ev.d * (allowed - league), ev.n) AS n_adj FROM ev LEFT JOIN al USING (l_suppkey, week) LEFT JOIN lg USING (week))"""
 
 
-@query("W2_opponent_adjusted", f"WITH {_ADJ} SELECT l_partkey, week, round(sum(n_adj), 2) AS n_adj, sum(d) AS d FROM adj GROUP BY ALL")
+@query("W2_opponent_adjusted", f"WITH {_ADJ} SELECT l_partkey, week, round(sum(n_adj), 5) AS n_adj, sum(d) AS d FROM adj GROUP BY ALL")
 def opponent_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     adj = X.opponent_adjusted(ratio_events(spark, sf_dir), "l_suppkey")
-    return adj.groupBy("l_partkey", "week").agg(r(F.sum("n_adj"), 2).alias("n_adj"), F.sum("d").alias("d"))
+    return adj.groupBy("l_partkey", "week").agg(r(F.sum("n_adj"), 5).alias("n_adj"), F.sum("d").alias("d"))
 
 
 @query("flagship_supplier_percentile", f"""WITH {_ADJ}, v AS (SELECT l_suppkey, sum(n_adj) / nullif(sum(d), 0) AS value FROM adj GROUP BY ALL),
@@ -71,9 +71,9 @@ def prior_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("W3_exclusive_totals", f"""WITH {EV}, wk AS (SELECT l_partkey, week, sum(n) AS n, sum(d) AS d FROM ev GROUP BY ALL)
-SELECT l_partkey, week, round(sum(n) OVER w, 2) AS prior_n, sum(d) OVER w AS prior_d FROM wk WINDOW w AS (PARTITION BY l_partkey ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+SELECT l_partkey, week, round(sum(n) OVER w, 4) AS prior_n, sum(d) OVER w AS prior_d FROM wk WINDOW w AS (PARTITION BY l_partkey ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def exclusive_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.prior_totals(ratio_events(spark, sf_dir), ["l_partkey"]).select("l_partkey", "week", r("prior_n", 2).alias("prior_n"), "prior_d")
+    return X.prior_totals(ratio_events(spark, sf_dir), ["l_partkey"]).select("l_partkey", "week", r("prior_n", 4).alias("prior_n"), "prior_d")
 
 
 @query("W5_z_score", """WITH c AS (SELECT c_custkey, c_mktsegment, c_acctbal, avg(c_acctbal) OVER w AS m, stddev_samp(c_acctbal) OVER w AS s FROM customer WINDOW w AS (PARTITION BY c_mktsegment))
@@ -165,25 +165,26 @@ def fringe(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- ratio aggregations -----------------------------------------------------------------------
 
 
-@query("A7_ratio_events", f"WITH {EV} SELECT l_partkey, week, round(sum(n), 2) AS n, sum(d) AS d FROM ev GROUP BY ALL")
+@query("A7_ratio_events", f"WITH {EV} SELECT l_partkey, week, round(sum(n), 4) AS n, sum(d) AS d FROM ev GROUP BY ALL")
 def ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratio_events(spark, sf_dir).groupBy("l_partkey", "week").agg(r(F.sum("n"), 2).alias("n"), F.sum("d").alias("d"))
+    return ratio_events(spark, sf_dir).groupBy("l_partkey", "week").agg(r(F.sum("n"), 4).alias("n"), F.sum("d").alias("d"))
 
 
 @query("A8_trait_dispatch", f"""WITH {EV}, w AS (SELECT l_suppkey, week, sum(n) AS n, sum(d) AS d FROM ev GROUP BY ALL),
 t AS (SELECT *, unnest(['price', 'floor', 'last']) AS trait FROM w)
-SELECT l_suppkey, trait, count(DISTINCT week) AS games, round(CASE trait WHEN 'price' THEN sum(n) / sum(d) WHEN 'floor' THEN CASE WHEN count(*) >= 4 THEN quantile_cont(n / d, 0.2) END ELSE arg_max(n, week) END, 4) AS value FROM t GROUP BY ALL""")
+SELECT l_suppkey, trait, count(DISTINCT week) AS games, round(CASE trait WHEN 'price' THEN sum(n) / sum(d) WHEN 'floor' THEN CASE WHEN count(*) >= 4 THEN quantile_cont(n / d, 0.2) END ELSE arg_max(n, week) END, 4) AS value FROM t GROUP BY l_suppkey, trait""")
 def trait_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = X.weekly(ratio_events(spark, sf_dir), ["l_suppkey"]).withColumn("trait", F.explode(F.array(F.lit("price"), F.lit("floor"), F.lit("last"))))
     out = R.dispatch(w, ["l_suppkey"], {"price": "rate", "floor": "quantile20", "last": "latest"})
     return out.select("l_suppkey", "trait", "games", r("value", 4).alias("value"))
 
 
-@query("A9_leave_one_out", f"""WITH {EV}, e AS (SELECT l_orderkey, l_partkey, sum(n) AS n, sum(d) AS d FROM ev GROUP BY ALL), o AS (SELECT *, sum(n) OVER w - n AS on_, sum(d) OVER w - d AS od FROM e WINDOW w AS (PARTITION BY l_orderkey))
-SELECT l_orderkey, l_partkey, round(CASE WHEN od >= 5 THEN n - d * on_ / od END, 2) AS n_rel FROM o""")
+@query("A9_leave_one_out", f"""WITH {EV}, e AS (SELECT l_orderkey, l_partkey, round(sum(n) * 10000) AS n, sum(d) AS d FROM ev GROUP BY ALL), o AS (SELECT *, sum(n) OVER w - n AS on_, sum(d) OVER w - d AS od FROM e WINDOW w AS (PARTITION BY l_orderkey))
+SELECT l_orderkey, l_partkey, round(CASE WHEN od >= 5 THEN n - d * on_ / od END, 1) AS n_rel FROM o""")
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ratio_events(spark, sf_dir).groupBy("l_orderkey", "l_partkey").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    return R.leave_one_out(e, ["l_orderkey"]).select("l_orderkey", "l_partkey", r("n_rel", 2).alias("n_rel"))
+    # in whole ten-thousandths, whose sums don't depend on their order
+    e = ratio_events(spark, sf_dir).groupBy("l_orderkey", "l_partkey").agg(F.round(F.sum("n") * 10_000).alias("n"), F.sum("d").alias("d"))
+    return R.leave_one_out(e, ["l_orderkey"]).select("l_orderkey", "l_partkey", r("n_rel", 1).alias("n_rel"))
 
 
 @query("A10_with_without", f"""WITH {UD}, t AS (SELECT day, sum(n) AS v FROM ud GROUP BY day), u AS (SELECT DISTINCT user_id FROM ud),
@@ -402,7 +403,7 @@ def asof_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.asof_latest(p, v, "user_id", "ts", "ts", ["view_id", "value"], "event_id", "view_id")
 
 
-@query("J13_band_join", """WITH p AS (SELECT event_id AS a, user_id, CAST(epoch(ts) AS BIGINT) AS t FROM events WHERE event_type = 'purchase'), v AS (SELECT event_id AS b, user_id, CAST(epoch(ts) AS BIGINT) AS s FROM events WHERE event_type = 'click')
+@query("J13_band_join", """WITH p AS (SELECT event_id AS a, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE event_type = 'purchase'), v AS (SELECT event_id AS b, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events WHERE event_type = 'click')
 SELECT a, b, t - s AS lag FROM p JOIN v USING (user_id) WHERE abs(t - s) <= 7200""")
 def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     sec = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
