@@ -180,7 +180,7 @@ def trait_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("A9_leave_one_out", f"""WITH {EV}, e AS (SELECT l_orderkey, l_partkey, round(sum(n) * 10000) AS n, sum(d) AS d FROM ev GROUP BY ALL), o AS (SELECT *, sum(n) OVER w - n AS on_, sum(d) OVER w - d AS od FROM e WINDOW w AS (PARTITION BY l_orderkey))
-SELECT l_orderkey, l_partkey, floor(CASE WHEN od >= 5 THEN n - d * on_ / od END) AS n_rel FROM o""")
+SELECT l_orderkey, l_partkey, floor(CASE WHEN od >= 5 THEN n - d * (on_ / od) END) AS n_rel FROM o""")
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     # in whole ten-thousandths, whose sums don't depend on their order
     e = ratio_events(spark, sf_dir).groupBy("l_orderkey", "l_partkey").agg(F.round(F.sum("n") * 10_000).alias("n"), F.sum("d").alias("d"))
