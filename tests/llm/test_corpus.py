@@ -1,0 +1,285 @@
+"""The corpus operators on a small table of awkward rows and on the smallest test tables."""
+
+import binascii
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import same
+from playsight.llm import entry, kneser_ney, mixing, pii, pivot_index, sharding, suffix_dedup, token_store, toxicity, winnowing
+from playsight.llm.common import table
+from playsight.llm.ngram_jaccard import jaccard_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, key string, a int, th int"
+_rng = random.Random(5)
+WORDS = [f"w{k}" for k in range(60)]
+PASSAGE = " ".join(_rng.choice(WORDS) for _ in range(70))
+
+
+def _prose(n):
+    return " ".join(_rng.choice(WORDS) for _ in range(n))
+
+
+def _texts():
+    base = [_prose(30) for _ in range(12)]
+    near = [f"{b} {_rng.choice(WORDS)}" for b in base for _ in range(3)]
+    chain = ["a b c d e f g h i j k l", "b c d e f g h i j k l m", "c d e f g h i j k l m n"]
+    return [None, "", " \t\n", "one two", "one two", "ONE two", *base, *near, *base[:4], *chain, f"x y z {PASSAGE} q", f"{PASSAGE}", f"u {_prose(40)} {PASSAGE}",
+            "mail a.b@c.org, 10.0.0.255 and 300.1.1.1; 4111 1111 1111 1111 +1 (555) 010-9999 @x@y.zz a@b", "é\U0001f600 x@y.de +49 123 456 789", " ".join(WORDS) * 300]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, "en" if k % 2 else None, [None, "a", "b", "ü"][k % 4], len(t or ""), k, "x", 1, 2) for k, t in enumerate(_texts())]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def awkward(docs):
+    """The same with a repeated row and a null id."""
+    return docs.unionAll(docs.where("doc_id = 7")).unionAll(docs.where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")))
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    words = PASSAGE.split()
+    return spark.createDataFrame([(1, " ".join(words[10:40])), (2, "one, TWO"), (3, None), (4, "..."), (5, _prose(20))], "item_id long, text string")
+
+
+def _ops(docs, labels, bench):
+    return {
+        "pii": lambda: pii.find_personal_data(docs), "sharding": lambda: sharding.extendible_shards(docs), "quality": lambda: kneser_ney.quality(docs, labels),
+        "jaccard": lambda: jaccard_components(docs), "toxicity": lambda: toxicity.toxicity_scores(docs, labels, features=32), "repeats": lambda: suffix_dedup.repeated_passages(docs),
+        "mix": lambda: mixing.mix(docs), "winnowing": lambda: winnowing.decontaminate(docs, bench),
+    }
+
+
+NAMES = ["pii", "sharding", "quality", "jaccard", "toxicity", "repeats", "mix", "winnowing"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_awkward_rows(awkward, labels, bench, name):
+    got = _ops(awkward, labels, bench)[name]().toPandas()
+    ids = awkward.select("doc_id").toPandas()["doc_id"]
+    if name in ("repeats", "winnowing"):  # a row per document
+        assert set(got["doc_id"].dropna()) == set(ids.dropna())
+    else:
+        assert len(got) == len(ids)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_tables(docs, labels, bench, name):
+    assert _ops(docs.limit(0), labels.limit(0), bench.limit(0))[name]().count() == 0
+
+
+def _base(text):
+    """The contract's base spans by plain regular expressions."""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m.group())) <= 15]
+
+
+def test_personal_data(spark, sf, docs):
+    for source in (docs, table(spark, sf, "documents")):
+        texts = {r["doc_id"]: r["text"] or "" for r in source.collect()}
+        for r in pii.find_personal_data(source).collect():
+            want = _base(texts[r["doc_id"]])
+            named = [f"{k}:{a}:{b}" for k, a, b in want]
+            assert r["base_sha256"] == hashlib.sha256(",".join(named).encode()).hexdigest()
+            assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == x for x, _, _ in want) for k in ("email", "ip", "card", "phone")]
+            assert set(named) <= set(r["spans"].split(",") if r["spans"] else [])
+    assert pii.redact("a b@c.de f", "email:2:8") == "a [email] f"
+
+
+def test_shards(spark, sf, duck, awkward):
+    same(entry.op2_extendible_sharding(spark, sf), duck.execute(sharding.ORACLE_SQL).df())
+    for key in ("doc_id", "key"):  # the second: one key holds everything
+        got = sharding.extendible_shards(awkward, limit=400, key=key).toPandas()
+        by = got.groupby("shard")["n_bytes"].agg(["sum", "count"])
+        assert ((by["sum"] <= 400) | (by["count"] == 1)).all()
+        assert (got["shard_bytes"] == got["shard"].map(by["sum"])).all()
+
+
+def test_kneser_ney_probabilities_add_up_to_one(spark):
+    counts = Counter()
+    for t in ("abracadabra", "abra cadabra", "barbara"):
+        data = t.encode()
+        codes, _ = kneser_ney._codes(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 3)
+        counts.update(codes.tolist())
+    grams = spark.createDataFrame([("en", c, n) for c, n in counts.items()], "lang string, code long, c long")
+    symbols = [b for b in range(256)]
+    wanted = spark.createDataFrame([("en", int.from_bytes(ctx + bytes([b]))) for ctx in (b"ab", b"ra", b"zq") for b in symbols], "lang string, code long")
+    got = kneser_ney.log_probabilities(wanted, grams, 3).select(F.shiftright("code", 8).alias("c"), F.exp("log_p").alias("p")).groupBy("c").agg(F.sum("p").alias("p")).collect()
+    # the model spreads over 257 symbols, of which 256 were asked for
+    assert len(got) == 3 and all(0.99 < r["p"] <= 1.0 + 1e-9 for r in got)
+
+
+def test_quality_rejects_junk_and_keeps_trusted_text(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    junk = docs.where("doc_id % 40 = 1").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.translate("text", "abcdefghijklmnopqrstuvwxyz ", "qzxjkvwqzxjkvwqzxjkvwqzxjkv;").alias("text"), "lang", "source", "n_chars")
+    got = kneser_ney.quality(docs.unionAll(junk), labels).join(labels, "doc_id", "left").toPandas()
+    assert not got[(got.doc_id >= 1_000_000) & (got.n_symbols > 100)]["keep"].any()
+    assert got[got.quality == 1]["keep"].mean() > 0.95
+    assert got[got.n_symbols <= 1]["keep"].all()
+
+
+def _shingles(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def _components(ids, links):
+    root = {x: x for x in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in ids}
+
+
+@pytest.mark.parametrize("cold", [2, 16])
+def test_jaccard_join(spark, sf, docs, cold):
+    for source in (docs, table(spark, sf, "documents")):
+        sets = {r["doc_id"]: _shingles(r["text"]) for r in source.collect()}
+        ids = sorted(sets)
+        links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 4 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b])) > 0 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(source, cold=cold).collect()}
+        assert got == {x: (len(sets[x]), c) for x, c in _components(ids, links).items()}
+
+
+def test_toxicity_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    got = entry.op5_toxicity(spark, folder).join(table(spark, folder, "labels"), "doc_id").where("toxic is not null").toPandas()
+    assert (got["held_out"] == [binascii.crc32(str(x).encode()) % 5 == 0 for x in got["doc_id"]]).all()
+    assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.5)).all()
+    held = got[got.held_out]
+    rank = held["score"].rank()
+    n1 = held["toxic"].sum()
+    auc = (rank[held.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(held) - n1))
+    assert auc > 0.9
+
+
+def test_token_store_round_trip(spark, awkward, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_store.default_tokenizer())
+    folder = str(tmp_path / "store")
+    token_store.write_store(awkward, folder, token_store.default_tokenizer())
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in awkward.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    want, start = [], 0
+    for doc_id, text in rows:
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), binascii.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = [tuple(r) for r in token_store.digests(spark, folder).orderBy(F.col("doc_id").asc_nulls_first(), "start").collect()]
+    assert got == want
+    assert token_store.verify_manifest(spark, folder).count() == 0
+    token_store.write_store(awkward.limit(0), f"{folder}-0", token_store.default_tokenizer())
+    assert token_store.digests(spark, f"{folder}-0").count() == 0
+
+
+def test_pivot_index(spark, sf):
+    v = table(spark, sf, "embeddings")
+    more = spark.createDataFrame([(900_001, None, 1), (900_002, [0.0] * 64, 1), (900_003, [float("nan")] * 64, 1), (900_004, [1.0, 2.0], 1), (900_005, [2.0, 4.0], 1), (900_006, [1.0, 2.0], None)], "vec_id long, embedding array<float>, label int")
+    rows = v.unionByName(more)
+    rows = rows.unionByName(v.select((F.col("vec_id") + 500_000).alias("vec_id"), F.transform("embedding", lambda x: x * 3).alias("embedding"), "label"))
+    data = [r for r in rows.collect() if r["label"] is not None and r["embedding"] and np.isfinite(r["embedding"]).all() and any(r["embedding"])]
+    links = defaultdict(set)
+    for a in data:
+        x = np.array(a["embedding"], float)
+        for b in data:
+            if a["vec_id"] < b["vec_id"] and a["label"] == b["label"] and len(a["embedding"]) == len(b["embedding"]):
+                y = np.array(b["embedding"], float)
+                if x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= 0.93:
+                    links[a["vec_id"]].add(b["vec_id"])
+                    links[b["vec_id"]].add(a["vec_id"])
+    got = {r["vec_id"]: r for r in pivot_index.near_duplicates(rows).collect()}
+    assert len(got) == rows.count()
+    assert all(r["n_links"] <= len(links[k]) for k, r in got.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.9 * sum(map(len, links.values()))
+    assert all(r["kept"] == (r["component_id"] == k) for k, r in got.items())
+    assert pivot_index.near_duplicates(v.limit(0)).count() == 0
+
+
+def test_repeated_passages(spark, sf, docs):
+    for source in (docs, table(spark, sf, "documents")):
+        words = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").translate({c: c + 32 for c in range(65, 91)})) for r in source.collect()}
+        seen = Counter(tuple(w[i : i + 50]) for w in words.values() for i in range(len(w) - 49))
+        want = {d: {p for i in range(len(w) - 49) if seen[tuple(w[i : i + 50])] > 1 for p in range(i, i + 50)} for d, w in words.items()}
+        got = {}
+        for r in suffix_dedup.repeated_passages(source).collect():
+            got[r["doc_id"]] = {p for s in (r["spans"].split(",") if r["spans"] else []) for p in range(*map(int, s.split("-")))}
+            assert r["n_repeated"] == len(got[r["doc_id"]]) and r["n_words"] == len(words[r["doc_id"]])
+        assert all(got[d] <= want[d] for d in want)
+        assert sum(map(len, got.values())) >= 0.995 * sum(map(len, want.values()))
+        assert sum(map(len, want.values())) > 0
+
+
+def test_mixing(spark, sf):
+    got = entry.op9_entropy_mixing(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").toPandas()
+    assert (got["taken"] <= 2 * got["size"]).all()
+    sources = got.groupby("source", dropna=False).agg(size=("size", "sum"), total=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"), least=("size", "max")).reset_index()
+    assert (sources["size"] == sources["total"]).all()
+    weight, left, goal = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sources["source"]))}, dict(zip(sources["source"], sources["total"], strict=True)), {}
+    rest = 1.5 * sources["total"].sum()
+    while left:  # share out, stop those above their cap, share the excess again
+        level = rest / sum(weight[s] for s in left)
+        over = [s for s in left if weight[s] * level > 2 * left[s]]
+        for s in over or list(left):
+            goal[s] = 2.0 * left[s] if over else weight[s] * level
+            rest -= goal[s]
+            del left[s]
+    assert sources.set_index("source")["target"].to_dict() == pytest.approx(goal)
+    assert (abs(sources["taken"] - sources["target"]) <= 0.02 * sources["target"] + 50).all()
+    again = entry.op9_entropy_mixing(spark, sf).toPandas().sort_values("doc_id", ignore_index=True)
+    pd.testing.assert_frame_equal(again, got[again.columns].sort_values("doc_id", ignore_index=True))
+
+
+def test_decontamination(spark, sf, duck, docs, bench):
+    same(entry.op10_winnowing(spark, sf), duck.execute(winnowing.ORACLE_SQL).df())
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    windows = {(r["item_id"], tuple(w[i : i + min(13, len(w))])) for r in bench.collect() for w in [split(r["text"])] if w for i in range(max(1, len(w) - 12))}
+    texts = {r["doc_id"]: split(r["text"]) for r in docs.collect()}
+    for r in winnowing.decontaminate(docs, bench).collect():
+        w, hit, items = texts[r["doc_id"]], set(), set()
+        for item, x in windows:
+            for i in range(len(w) - len(x) + 1):
+                if tuple(w[i : i + len(x)]) == x:
+                    hit |= set(range(i, i + len(x)))
+                    items.add(str(item))
+        assert (r["n_words"], r["n_hit"], r["n_items"]) == (len(w), len(hit), len(items))
+        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline as p
+
+    docs = table(spark, sf, "documents")
+    columns, kept = docs.columns, {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == columns, name
+        docs = spark.createDataFrame(out.toPandas(), out.schema)
+        assert {r["doc_id"] for r in docs.collect()} <= set(kept), name
+    copies = docs.count()
+    last = p.STAGES[-1][1](spark, docs, sf)
+    assert last.count() == copies == p.run(spark, sf).count()
