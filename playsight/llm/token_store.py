@@ -7,7 +7,7 @@ chunks of each document in order; a Merkle manifest holds, for each run of docum
 their recipes.  Reading joins recipes with chunks and checks every hash on the way.
 
 Layout under one folder (Parquet, written and read by Spark alone):
-  chunks/     hash binary, ids binary (little-endian unsigned 32-bit, zstd)
+  chunks/     hash binary (of the ids as little-endian unsigned 32-bit), ids binary: a byte with the width (2 or 4), then zstd
   recipes/    doc_id, seq (copy of an id), start, n_tokens, root, chunks array<binary>; sorted by (doc_id, seq)
   manifest/   run, first and last doc_id, documents, root over the recipes' roots
 """
@@ -18,6 +18,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playsight.llm.common import cut, ensure_checkpoint_dir, running_total
+from playsight.llm.common import cut, ensure_checkpoint_dir, if_small, running_total
 from playsight.llm.textkit import _BASE, _BASE_INV, _BYTE_CODE, _power_tables, chunks, mix
 
 END_ID = 2
@@ -182,6 +183,17 @@ def _cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def _packed(ids: np.ndarray, pack: zstandard.ZstdCompressor) -> bytes:
+    """Ids in two bytes each where all fit, else in four."""
+    width = 2 if int(ids.max(initial=0)) < 1 << 16 else 4
+    return bytes([width]) + pack.compress(ids.astype(f"<u{width}").tobytes())
+
+
+def _unpacked(stored: bytes, unpack: zstandard.ZstdDecompressor) -> bytes:
+    """The ids as little-endian unsigned 32-bit."""
+    return np.frombuffer(unpack.decompress(stored[1:]), f"<u{stored[0]}").astype("<u4").tobytes()
+
+
 def _chunked(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path)
@@ -198,7 +210,7 @@ def _chunked(path: str, end_id: int):
                     for e in _cut_points(own):
                         raw = own[last:e].tobytes()
                         hashes.append(hashlib.sha256(raw).digest())
-                        payload.append(pack.compress(raw))
+                        payload.append(_packed(own[last:e], pack))
                         last = e
                     at.append(len(hashes))
                 parts = pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(payload, pa.binary())], names=["hash", "ids"])
@@ -219,7 +231,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
     spark = docs.sparkSession
     encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunked(tokenizer, end_id), "doc_id long, n_tokens long, parts array<struct<hash:binary,ids:binary>>")
     staged = f"{folder}/_encoded"
-    encoded.write.parquet(staged, compression="none")
+    encoded.withColumn("row", F.monotonically_increasing_id()).write.parquet(staged, compression="none")
     encoded = spark.read.parquet(staged)
     recipes = encoded.select("doc_id", "n_tokens", F.col("parts.hash").alias("chunks"))
     recipes = recipes.withColumn("root", F.sha2(F.concat(F.lit(b"").cast("binary"), F.array_join(F.transform("chunks", lambda x: F.hex(x)), "").cast("binary")), 256))
@@ -227,9 +239,12 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = placed.repartitionByRange(n, "start", "doc_id").sortWithinPartitions("start", "doc_id")
     ordered.select("doc_id", "start", "n_tokens", "root", "chunks").write.parquet(f"{folder}/recipes")
-    # each different chunk once; the rows of a frequent one meet combined, not gathered
-    parts = encoded.select(F.explode("parts").alias("p")).select("p.hash", "p.ids")
-    parts.groupBy("hash").agg(F.first("ids").alias("ids")).write.parquet(f"{folder}/chunks", compression="none")
+    # each different chunk once: names alone are compared, and only further copies, if they are few, sent to the chunks
+    named = encoded.select("row", F.posexplode("parts.hash").alias("pos", "hash"))
+    first = named.groupBy("hash").agg(F.min(F.struct("row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = cut(named.join(first, "hash").where(F.struct("row", "pos") != F.col("first")).select("row", "pos"))
+    parts = encoded.select("row", F.posexplode("parts").alias("pos", "p")).join(if_small(copies), ["row", "pos"], "left_anti")
+    parts.select("p.hash", "p.ids").write.parquet(f"{folder}/chunks", compression="none")
     runs = spark.read.parquet(f"{folder}/recipes").withColumn("run", F.floor(F.col("start") / (1 << 22)))
     leaves = runs.groupBy("run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("documents"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"]), "").cast("binary"), 256).alias("root"))
     leaves.write.parquet(f"{folder}/manifest")
@@ -243,7 +258,7 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in batch.column(batch.schema.get_field_index("parts")).to_pylist():
             size = crc = 0
             for p in parts:
-                raw = unpack.decompress(p["ids"])
+                raw = _unpacked(p["ids"], unpack)
                 if hashlib.sha256(raw).digest() != p["hash"]:
                     raise ValueError("a stored chunk does not match its name")
                 crc = zlib.crc32(raw, crc)
@@ -262,10 +277,78 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return joined.groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", "hash", "ids"))).alias("parts"))
 
 
+def rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, read, ids_crc32): every document put together from its chunks, each copy anew."""
+    return read_documents(spark, folder).mapInArrow(_rebuilt, "doc_id long, start long, n_tokens long, read long, ids_crc32 long")
+
+
+def _applied(matrix: tuple[int, ...], vector: int) -> int:
+    """A 32 by 32 matrix over GF(2), given by columns, times a vector."""
+    out = 0
+    for column in matrix:
+        if vector & 1:
+            out ^= column
+        vector >>= 1
+    return out
+
+
+@lru_cache(maxsize=16_384)
+def _zeros(n: int) -> tuple[int, ...]:
+    """What n zero bytes do to a CRC-32."""
+    if n == 1:
+        bit = (0xEDB88320, *(1 << k for k in range(31)))
+        for _ in range(3):
+            bit = tuple(_applied(bit, c) for c in bit)
+        return bit
+    half = _zeros(n // 2)
+    twice = tuple(_applied(half, c) for c in half)
+    return tuple(_applied(_zeros(1), c) for c in twice) if n % 2 else twice
+
+
+def joined_crc(one: int, two: int, n_two: int) -> int:
+    """CRC-32 of two strings of bytes in a row from theirs and the length of the second."""
+    return _applied(_zeros(n_two), one) ^ two if n_two else one
+
+
+def _read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads each chunk, checks it against its name, and gives its number of ids and CRC-32."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        sizes, crcs = [], []
+        for name, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            raw = _unpacked(packed, unpack)
+            if hashlib.sha256(raw).digest() != name:
+                raise ValueError("a stored chunk does not match its name")
+            sizes.append(len(raw) // 4)
+            crcs.append(zlib.crc32(raw))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["hash", "size", "crc"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lengths, crcs = [], []
+        for parts in batch.column(2).to_pylist():
+            size = crc = 0
+            for x in parts:
+                if x["size"] is None:
+                    raise ValueError("a recipe names a chunk that is not stored")
+                crc = joined_crc(crc, x["crc"], 4 * x["size"])
+                size += x["size"]
+            lengths.append(size)
+            crcs.append(crc)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def digests(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) per document, read back from the store."""
-    rebuilt = read_documents(spark, folder).mapInArrow(_rebuilt, "doc_id long, start long, n_tokens long, read long, ids_crc32 long")
-    return rebuilt.select("doc_id", "start", F.col("read").alias("n_tokens"), "ids_crc32")
+    """(doc_id, start, n_tokens, ids_crc32) per document, read back from the store.
+
+    Each stored chunk is read and checked once; a document's CRC-32 follows from those of its chunks,
+    so no chunk crosses the shuffle.  rebuild() gives the same by putting the ids together.
+    """
+    read = spark.read.parquet(f"{folder}/chunks").mapInArrow(_read_chunks, "hash binary, size long, crc long")
+    named = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", F.posexplode("chunks").alias("pos", "hash"))
+    parts = named.join(read, "hash", "left").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "size", "crc"))).alias("parts"))
+    return parts.mapInArrow(_summed, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def verify_manifest(spark: SparkSession, folder: str) -> DataFrame:

@@ -192,6 +192,8 @@ def test_token_store_round_trip(spark, awkward, tmp_path):
         start += len(ids)
     got = [tuple(r) for r in token_store.digests(spark, folder).orderBy(F.col("doc_id").asc_nulls_first(), "start").collect()]
     assert got == want
+    assert sorted(map(str, got)) == sorted(str((r["doc_id"], r["start"], r["read"], r["ids_crc32"])) for r in token_store.rebuild(spark, folder).collect())
+    assert token_store.joined_crc(binascii.crc32(b"ab"), binascii.crc32(b"cdefg"), 5) == binascii.crc32(b"abcdefg")
     assert token_store.verify_manifest(spark, folder).count() == 0
     token_store.write_store(awkward.limit(0), f"{folder}-0", token_store.default_tokenizer())
     assert token_store.digests(spark, f"{folder}-0").count() == 0
