@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playsight.llm.common import cut, if_small
+from playsight.llm.common import cut, if_small, written
 from playsight.llm.textkit import utf8_parts
 
 ORDER = 5
@@ -36,7 +36,7 @@ MARGIN = 1.05
 #: A mean over n symbols scatters by about this over the root of n (in natural logs); short texts are given that much.
 SCATTER = 3.0
 #: Bytes of text that a block holds, about.
-BLOCK = 2 << 20
+BLOCK = 8 << 20
 #: Symbols that may follow a context: 256 bytes and the end of text.
 SYMBOLS = 257
 #: 0xFF never occurs in UTF-8 and marks the end; 0x00 pads the start.
@@ -61,36 +61,53 @@ def _codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarra
     return code[at], ends
 
 
+def _counted(data: np.ndarray, sizes: np.ndarray, learned: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct order-grams of texts in a row, and how often each occurs in those learned from; a run of texts at a time."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 20), "right")) - 1)
+        found, rows = _codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
+        more, inverse = np.unique(found, return_inverse=True)
+        times = np.bincount(inverse, learned[a:b][rows], len(more)).astype(np.int64)
+        codes, inverse = np.unique(np.concatenate([codes, more]), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([counts, times]), len(codes)).astype(np.int64)
+        a = b
+    return codes, counts
+
+
 def _blocks(order: int):
-    """Packs rows (doc_id, text, lang, role) into blocks by language and role."""
+    """Packs rows (doc_id, text, lang, role) into blocks by language."""
 
-    def emit(lang, role, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+    def emit(lang, ids: list, roles: list, texts: list[bytes]) -> pa.RecordBatch:
         data = b"".join(texts)
         sizes = np.array([len(x) for x in texts], np.int64)
-        codes = np.unique(_codes(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(sizes)]), order)[0], return_counts=True)
+        codes, counts = _counted(np.frombuffer(data, np.uint8), sizes, np.array(roles) == 1, order)
         packed = zstandard.ZstdCompressor(level=3).compress(data)
         one = lambda kind, x: pa.array([x], kind)
         return pa.RecordBatch.from_arrays(
-            [one(pa.string(), lang), one(pa.int32(), role), one(pa.list_(pa.int64()), ids), one(pa.list_(pa.int64()), sizes.tolist()), one(pa.binary(), packed), one(pa.list_(pa.int64()), codes[0]), one(pa.list_(pa.int32()), codes[1].astype(np.int32))],
-            names=["lang", "role", "ids", "sizes", "packed", "codes", "counts"],
+            [one(pa.string(), lang), one(pa.list_(pa.int64()), ids), one(pa.list_(pa.int32()), roles), one(pa.list_(pa.int64()), sizes), one(pa.binary(), packed), one(pa.list_(pa.int64()), codes), one(pa.list_(pa.int64()), counts)],
+            names=["lang", "ids", "roles", "sizes", "packed", "codes", "counts"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_blocks: dict[tuple, list] = {}
+        open_blocks: dict[str | None, list] = {}
         for batch in batches:
             ids, langs, roles = (batch.column(i).to_pylist() for i in (0, 2, 3))
             data, offsets = utf8_parts(batch.column(1))
             raw, offsets = data.tobytes(), offsets.tolist()
-            for i, (lang, role) in enumerate(zip(langs, roles, strict=True)):
-                block = open_blocks.setdefault((lang, role), [[], [], 0])
+            for i, lang in enumerate(langs):
+                block = open_blocks.setdefault(lang, [[], [], [], 0])
                 block[0].append(ids[i])
-                block[1].append(raw[offsets[i] : offsets[i + 1]])
-                block[2] += offsets[i + 1] - offsets[i]
-                if block[2] >= BLOCK:
-                    yield emit(lang, role, block[0], block[1])
-                    del open_blocks[lang, role]
-        for (lang, role), block in open_blocks.items():
-            yield emit(lang, role, block[0], block[1])
+                block[1].append(roles[i])
+                block[2].append(raw[offsets[i] : offsets[i + 1]])
+                block[3] += offsets[i + 1] - offsets[i]
+                if block[3] >= BLOCK:
+                    yield emit(lang, *block[:3])
+                    del open_blocks[lang]
+        for lang, block in open_blocks.items():
+            yield emit(lang, *block[:3])
 
     return run
 
@@ -113,7 +130,7 @@ def _perplexities(order: int):
                 b = min(len(sizes), a + step)
                 found, rows = _codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
                 total[a:b] = np.bincount(rows, values[np.searchsorted(codes, found)], b - a)
-            out.append(pd.DataFrame({"doc_id": np.asarray(row.ids, object), "role": row.role, "lang": row.lang, "n_symbols": sizes + 1, "log_p": total}))
+            out.append(pd.DataFrame({"doc_id": np.asarray(row.ids, object), "role": np.asarray(row.roles, np.int32), "lang": row.lang, "n_symbols": sizes + 1, "log_p": total}))
         return pd.concat(out)
 
     return run
@@ -190,14 +207,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     role = F.when(F.col("_t").isNull(), 0).when(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, 2).otherwise(1)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(if_small(trusted.select("doc_id", F.lit(1).alias("_t"))), "doc_id", "left")
     rows = marked.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", role.cast("int").alias("role"))
-    blocks = rows.mapInArrow(_blocks(order), "lang string, role int, ids array<long>, sizes array<long>, packed binary, codes array<long>, counts array<int>")
-    blocks = cut(blocks.withColumn("block", F.xxhash64(F.get("ids", F.lit(0)), F.size("ids"), "packed")))
-    asked = blocks.select("block", "lang", "role", F.explode(F.arrays_zip("codes", "counts")).alias("x")).select("block", "lang", "role", F.col("x.codes").alias("code"), F.col("x.counts").alias("n"))
-    counts = asked.where("role = 1").groupBy("lang", "code").agg(F.sum("n").alias("c"))
+    blocks = rows.mapInArrow(_blocks(order), "lang string, ids array<long>, roles array<int>, sizes array<long>, packed binary, codes array<long>, counts array<long>")
+    blocks = written(blocks.withColumn("block", F.xxhash64(F.get("ids", F.lit(0)), F.size("ids"), "packed")))
+    asked = blocks.select("block", "lang", F.explode(F.arrays_zip("codes", "counts")).alias("x")).select("block", "lang", F.col("x.codes").alias("code"), F.col("x.counts").alias("n"))
+    counts = asked.where("n > 0").groupBy("lang", "code").agg(F.sum("n").alias("c"))
     known = log_probabilities(cut(asked.select("lang", "code").distinct()), counts, order)
     known = known.withColumnRenamed("lang", "_l")
     answers = asked.select("block", "lang", "code").join(known, ["code"]).where(F.col("lang").eqNullSafe(F.col("_l"))).select("block", "code", "log_p")
-    scored = blocks.select(F.col("block").alias("key"), "lang", "role", "ids", "sizes", "packed").groupBy("key").cogroup(answers.groupBy("block")).applyInPandas(_perplexities(order), "doc_id long, role int, lang string, n_symbols long, log_p double")
+    scored = blocks.select(F.col("block").alias("key"), "lang", "roles", "ids", "sizes", "packed").groupBy("key").cogroup(answers.groupBy("block")).applyInPandas(_perplexities(order), "doc_id long, role int, lang string, n_symbols long, log_p double")
     return scored.withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_symbols")))
 
 
