@@ -9,13 +9,17 @@ their distinct n-grams with the sharded counts, order by order.
 A document is rejected if its perplexity is above the QUANTILE of its language among the trusted
 documents set aside; both are taken less the scatter that a text of that length has.
 
-Texts are packed into blocks (a few MB of text of one language, compressed); a block asks for each
-of its distinct n-grams once, and gets their log-probabilities back in a cogroup.  So a scan of the
-text, not the text's n-grams one by one, crosses the shuffle.
+Texts are packed into blocks (a few MB of text of one language, compressed), written bucketed by
+block.  A block asks for each of its distinct n-grams once: one packed list a shard of the model, as
+many shards as shuffle partitions.  The lists meet their shard of the model in sorted order, so a task
+holds one shard and streams the lists; lists of log-probabilities go back to the bucket of the block.
+So neither texts nor the text's n-grams one by one cross the shuffle.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playsight.llm.common import cut, if_small, written
+from playsight.llm.common import cut, ensure_checkpoint_dir, if_small, written
 from playsight.llm.textkit import utf8_parts
 
 ORDER = 5
@@ -41,6 +45,10 @@ BLOCK = 8 << 20
 SYMBOLS = 257
 #: 0xFF never occurs in UTF-8 and marks the end; 0x00 pads the start.
 _END = 0xFF
+#: N-grams are dealt to shards by their remainder by this prime first, so that no shard stands for a byte.
+_PRIME = 1_000_003
+#: Most buckets that Spark gives a table.
+_BUCKETS = 100_000
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,18 +85,38 @@ def _counted(data: np.ndarray, sizes: np.ndarray, learned: np.ndarray, order: in
     return codes, counts
 
 
-def _blocks(order: int):
-    """Packs rows (doc_id, text, lang, role) into blocks by language."""
+def _squeezed(values: np.ndarray) -> bytes:
+    """Sorted non-negative 64-bit integers: differences, a byte plane at a time, compressed."""
+    planes = np.diff(values, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _loosened(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+
+
+def _blocks(order: int, shards: int):
+    """Packs rows (doc_id, text, lang, role) into blocks by language, with their n-grams by shard."""
+    ask = pa.struct([("shard", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
 
     def emit(lang, ids: list, roles: list, texts: list[bytes]) -> pa.RecordBatch:
         data = b"".join(texts)
         sizes = np.array([len(x) for x in texts], np.int64)
         codes, counts = _counted(np.frombuffer(data, np.uint8), sizes, np.array(roles) == 1, order)
-        packed = zstandard.ZstdCompressor(level=3).compress(data)
+        packed = zstandard.ZstdCompressor(level=6).compress(data)
+        shard = codes % _PRIME % shards
+        by = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[by], np.arange(shards + 1))
+        asks = []
+        for k in np.flatnonzero(np.diff(bounds)):
+            own = by[bounds[k] : bounds[k + 1]]
+            times = counts[own].astype("<i8").tobytes() if counts[own].any() else b""
+            asks.append({"shard": int(k), "codes": _squeezed(codes[own]), "counts": times})
         one = lambda kind, x: pa.array([x], kind)
         return pa.RecordBatch.from_arrays(
-            [one(pa.string(), lang), one(pa.list_(pa.int64()), ids), one(pa.list_(pa.int32()), roles), one(pa.list_(pa.int64()), sizes), one(pa.binary(), packed), one(pa.list_(pa.int64()), codes), one(pa.list_(pa.int64()), counts)],
-            names=["lang", "ids", "roles", "sizes", "packed", "codes", "counts"],
+            [one(pa.string(), lang), one(pa.list_(pa.int64()), ids), one(pa.list_(pa.int32()), roles), one(pa.list_(pa.int64()), sizes), one(pa.binary(), packed), one(pa.list_(ask), asks)],
+            names=["lang", "ids", "roles", "sizes", "packed", "asks"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,13 +140,77 @@ def _blocks(order: int):
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists (lang, codes, counts) of whole shards: each different n-gram of a language once, with its count."""
+    have: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+    wait: dict[str | None, list] = {}
+    waiting: Counter = Counter()
+
+    def settle(lang) -> None:
+        parts = ([have[lang]] if lang in have else []) + wait.pop(lang)
+        waiting[lang] = 0
+        codes, inverse = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        counts = np.zeros(len(codes), np.int64)
+        np.add.at(counts, inverse, np.concatenate([y for _, y in parts]))
+        have[lang] = codes, counts
+
+    for batch in batches:
+        for lang, packed, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            codes = _loosened(packed)
+            counts = np.frombuffer(times, "<i8") if times else np.zeros(len(codes), np.int64)
+            wait.setdefault(lang, []).append((codes, counts))
+            # as much waits as is held: each n-gram is sorted again a few times only
+            waiting[lang] += len(codes)
+            if waiting[lang] > max(1 << 18, len(have[lang][0]) if lang in have else 0):
+                settle(lang)
+    for lang in list(wait):
+        settle(lang)
+    for lang, (codes, counts) in have.items():
+        for a in range(0, len(codes), 100_000):
+            n = len(codes[a : a + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(codes[a : a + n]), pa.array(counts[a : a + n])], names=["lang", "code", "n"])
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, shard, block, codes, code, log_p) sorted by key, shard and block: a shard of the model, then the lists that ask it."""
+    at, known, index, values = None, [], None, None
+    for batch in batches:
+        keys, shards, blocks, asked = (batch.column(i).to_pylist() for i in range(4))
+        codes, log_p = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
+        model = batch.column(3).is_null().to_numpy(zero_copy_only=False)
+        out: list[tuple[int, int, bytes]] = []
+        i = 0
+        while i < len(keys):
+            if (keys[i], shards[i]) != at:
+                at, known, index = (keys[i], shards[i]), [], None
+            if model[i]:
+                j = i
+                while j < len(keys) and model[j] and (keys[j], shards[j]) == at:
+                    j += 1
+                known.append((codes[i:j].astype(np.int64), log_p[i:j]))
+                i = j
+                continue
+            if index is None:
+                index, values = (np.concatenate(x) for x in zip(*known, strict=True))
+                order = np.argsort(index)
+                index, values = index[order], values[order].astype("<f4")
+            out.append((blocks[i], shards[i], values[np.searchsorted(index, _loosened(asked[i]))].tobytes()))
+            i += 1
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "shard", "log_p"])
+
+
 def _perplexities(order: int):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """One block and the log-probabilities of its n-grams."""
+        """One block (repeated blocks are equal) and the log-probabilities of its n-grams."""
         if not len(left):
             return pd.DataFrame({"doc_id": [], "role": [], "lang": [], "n_symbols": [], "log_p": []})
-        known = right.sort_values("code")
-        codes, values = known["code"].to_numpy(), known["log_p"].to_numpy()
+        answer = dict(zip(right["shard"], right["log_p"], strict=True))
+        asks = left["asks"].iloc[0]
+        codes = np.concatenate([_loosened(x["codes"]) for x in asks])
+        values = np.concatenate([np.frombuffer(answer[x["shard"]], "<f4") for x in asks]).astype(np.float64)
+        by = np.argsort(codes)
+        codes, values = codes[by], values[by]
         out = []
         for row in left.itertuples():
             sizes = np.asarray(row.sizes, np.int64)
@@ -153,7 +245,7 @@ def _levels(counts: DataFrame, order: int) -> list[tuple[int, DataFrame, DataFra
     levels = []
     grams = counts
     for n in range(order, 0, -1):
-        grams = cut(grams)
+        grams = written(grams)
         kinds = [F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2)] + [F.sum((F.col("c") >= 3).cast("long")).alias("n3")]
         contexts = grams.groupBy("lang", _context("code").alias("context")).agg(F.sum("c").alias("total"), *kinds)
         of = grams.groupBy("lang").agg(*[F.sum((F.col("c") == k).cast("double")).alias(f"t{k}") for k in (1, 2, 3, 4)])
@@ -194,7 +286,7 @@ def log_probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER)
         kept = F.when(F.col("c").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("c") - F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))))
         freed = F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")
         p = F.when(F.col("total").isNull(), lower).otherwise((kept + freed * lower) / F.col("total"))
-        found = cut(row.select("lang", "key", p.alias("p")))
+        found = written(row.select("lang", "key", p.alias("p")))
     return found.select("lang", F.col("key").alias("code"), F.log("p").alias("log_p"))
 
 
@@ -207,15 +299,28 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     role = F.when(F.col("_t").isNull(), 0).when(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, 2).otherwise(1)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(if_small(trusted.select("doc_id", F.lit(1).alias("_t"))), "doc_id", "left")
     rows = marked.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", role.cast("int").alias("role"))
-    blocks = rows.mapInArrow(_blocks(order), "lang string, ids array<long>, roles array<int>, sizes array<long>, packed binary, codes array<long>, counts array<long>")
-    blocks = written(blocks.withColumn("block", F.xxhash64(F.get("ids", F.lit(0)), F.size("ids"), "packed")))
-    asked = blocks.select("block", "lang", F.explode(F.arrays_zip("codes", "counts")).alias("x")).select("block", "lang", F.col("x.codes").alias("code"), F.col("x.counts").alias("n"))
-    counts = asked.where("n > 0").groupBy("lang", "code").agg(F.sum("n").alias("c"))
-    known = log_probabilities(cut(asked.select("lang", "code").distinct()), counts, order)
-    known = known.withColumnRenamed("lang", "_l")
-    answers = asked.select("block", "lang", "code").join(known, ["code"]).where(F.col("lang").eqNullSafe(F.col("_l"))).select("block", "code", "log_p")
-    scored = blocks.select(F.col("block").alias("key"), "lang", "roles", "ids", "sizes", "packed").groupBy("key").cogroup(answers.groupBy("block")).applyInPandas(_perplexities(order), "doc_id long, role int, lang string, n_symbols long, log_p double")
-    return scored.withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_symbols")))
+    spark = docs.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = rows.mapInArrow(_blocks(order, n), "lang string, ids array<long>, roles array<int>, sizes array<long>, packed binary, asks array<struct<shard:int,codes:binary,counts:binary>>")
+    ensure_checkpoint_dir(spark)
+    name = f"blocks_{uuid.uuid4().hex}"
+    keyed = blocks.withColumn("block", F.xxhash64(F.get("ids", F.lit(0)), F.size("ids"), "packed", "lang"))
+    keyed.write.option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").option("compression", "zstd").bucketBy(min(n, _BUCKETS), "block").saveAsTable(name)
+    blocks = spark.table(name)
+    asks = blocks.select("block", "lang", F.explode("asks").alias("x")).select("block", "lang", "x.shard", "x.codes", "x.counts")
+    asked = written(asks.repartition(n, "lang", "shard").select("lang", "codes", "counts").mapInArrow(_merged, "lang string, code long, n long"))
+    known = log_probabilities(asked.select("lang", "code"), asked.where("n > 0").select("lang", "code", F.col("n").alias("c")), order)
+    key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("key")
+    shard = F.pmod(F.pmod("code", F.lit(_PRIME)), F.lit(n)).cast("int").alias("shard")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    model = known.select(key, shard, nothing("long").alias("block"), nothing("binary").alias("codes"), "code", "log_p")
+    lists = asks.select(key, "shard", "block", "codes", nothing("long").alias("code"), nothing("double").alias("log_p"))
+    met = model.unionAll(lists).repartition(n, "key", "shard").sortWithinPartitions("key", "shard", F.col("block").asc_nulls_first())
+    answers = met.mapInArrow(_answered, "block long, shard int, log_p binary")
+    scored = blocks.select("block", "lang", "roles", "ids", "sizes", "packed", "asks").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_perplexities(order), "doc_id long, role int, lang string, n_symbols long, log_p double")
+    scored = cut(scored.withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_symbols"))))
+    spark.sql(f"DROP TABLE {name}")
+    return scored
 
 
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -227,7 +332,7 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: fl
     documents are kept.  Empty texts are kept.  Rows that repeat an id are judged one by one.
     """
     trusted = cut(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    scored = cut(perplexities(docs, trusted, order))
+    scored = perplexities(docs, trusted, order)
     score = F.log("perplexity") - SCATTER / F.sqrt("n_symbols")
     # on a grid of 0.0001, so that the table the quantile is read off is bounded
     bins = scored.where("role = 2 and n_symbols > 1").groupBy("lang").agg(F.percentile(F.round(score, 4), quantile).alias("q"))
