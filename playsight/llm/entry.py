@@ -59,7 +59,7 @@ def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from playsight.llm.suffix_dedup import repeated_passages
 
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("th")
 
 
 def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

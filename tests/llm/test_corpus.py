@@ -236,6 +236,29 @@ def test_repeated_passages(spark, sf, docs):
         assert sum(map(len, want.values())) > 0
 
 
+def _marked(rows, passage):
+    """(id, text) -> words in passages that occur twice, by brute force."""
+    words = {x: re.findall(r"[^\x20\x09-\x0D]+", (x[1] or "").lower()) for x in set(rows)}
+    seen = Counter(tuple(w[i : i + passage]) for w in words.values() for i in range(len(w) - passage + 1))
+    return {x: {p for i in range(len(w) - passage + 1) if seen[tuple(w[i : i + passage])] > 1 for p in range(i, i + passage)} for x, w in words.items()}
+
+
+def _got_marks(rows):
+    return Counter((r["doc_id"], r["n_words"], tuple(sorted(p for s in (r["spans"].split(",") if r["spans"] else []) for p in range(*map(int, s.split("-")))))) for r in rows)
+
+
+@pytest.mark.parametrize(("hot", "reach"), [(3, 1), (20_000, 1)])
+def test_repeated_passages_in_large_groups(spark, hot, reach):
+    rng = random.Random(11)
+    boiler = [f"b{k}" for k in range(49)]
+    # all share 49 words; two each continue them with the same word, before or behind
+    rows = [(k, " ".join([f"x{rng.random()}", f"p{k // 2}" if k % 4 < 2 else f"o{k}", *boiler, f"o{k}" if k % 4 < 2 else f"q{k // 2}", f"y{rng.random()}"])) for k in range(120)]
+    rows += [(200, rows[0][1]), (200, rows[0][1])]
+    want = Counter((d, len(t.split()), tuple(sorted(m))) for (d, t), m in _marked(rows, 50).items())
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot, reach=reach).collect()
+    assert _got_marks(got) == want and all(m for _, _, m in want)
+
+
 def test_mixing(spark, sf):
     got = entry.op9_entropy_mixing(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").toPandas()
     assert (got["taken"] <= 2 * got["size"]).all()
