@@ -259,6 +259,18 @@ def test_repeated_passages_in_large_groups(spark, hot, reach):
     assert _got_marks(got) == want and all(m for _, _, m in want)
 
 
+@pytest.mark.parametrize("hot", [2, 20_000])
+def test_repeated_passages_of_an_id_with_several_texts(spark, hot):
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"v{rng.random()}" for _ in range(n))
+    shared = prose(80)
+    rows = [(1, f"{prose(300)} {shared}"), (1, "short"), (1, f"{shared} {prose(5)}"), (2, f"{prose(20)} {shared}"), (3, prose(60)), (3, None), (4, prose(70)), (5, prose(2))]
+    rows.append(rows[6])  # a repeated row is one document
+    want = Counter((d, len((t or "").split()), tuple(sorted(m))) for (d, t), m in _marked(rows, 50).items())
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), hot=hot).collect()
+    assert _got_marks(got) == want and sum(bool(m) for _, _, m in want) == 3
+
+
 def test_mixing(spark, sf):
     got = entry.op9_entropy_mixing(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").toPandas()
     assert (got["taken"] <= 2 * got["size"]).all()
