@@ -52,8 +52,8 @@ class Encoder:
     A byte-level BPE splits text by a pattern whose pieces hold white space at their start only, so
     no piece crosses from a word to the white space behind it, nor from an ASCII letter to an ASCII
     digit or sign behind it.  Texts are cut there; each different piece is encoded by the library once
-    and then looked up.  New pieces that start with white space are encoded in one string, whose ids
-    are dealt back by the bytes they stand for.  Texts with other white space than ASCII's, or with a
+    and then looked up.  New pieces that start with white space, but hold more, are encoded in one string,
+    whose ids are dealt back by the bytes they stand for; should a token cross a join, they are encoded one by one.  Texts with other white space than ASCII's, or with a
     special token's mark, are encoded whole.
     """
 
@@ -77,8 +77,10 @@ class Encoder:
 
     def _learn(self, codes: list[int], raw: list[bytes]) -> None:
         """Encodes pieces and files them under their codes."""
-        spaced = [i for i, x in enumerate(raw) if x[0] <= 0x20]
-        others = [i for i, x in enumerate(raw) if x[0] > 0x20]
+        # white space alone (the end of a text) would run into the white space of the next piece
+        joined = [_KIND[x[0]] == 1 != _KIND[x[-1]] for x in raw]
+        spaced = [i for i, x in enumerate(joined) if x]
+        others = [i for i, x in enumerate(joined) if not x]
         alone = self._encode([raw[i].decode() for i in others])
         ids = [np.zeros(0, np.uint32)]
         lengths = []
@@ -86,7 +88,11 @@ class Encoder:
             part = spaced[x : x + 20_000]
             got = self._encode([b"".join(raw[i] for i in part).decode()])[0]
             ends = np.cumsum([len(raw[i]) for i in part])
-            after = np.searchsorted(np.cumsum(self.width[got]), ends) + 1
+            stands = np.cumsum(self.width[got])
+            after = np.searchsorted(stands, ends) + 1
+            if after[-1] != len(got) or (stands[after - 1] != ends).any():  # a token crosses a join: one by one
+                apart = self._encode([raw[i].decode() for i in part])
+                after, got = np.cumsum([len(x) for x in apart]), np.concatenate(apart)
             lengths.append(np.diff(after, prepend=0))
             ids.append(got)
         ids += alone
@@ -145,8 +151,10 @@ class Encoder:
         """(first row, end row, flat ids, bounds) of runs of rows; null counts as empty."""
         if column.null_count:
             column = column.fill_null("")
-        unusual = pc.match_substring_regex(column, _UNUSUAL).to_numpy(zero_copy_only=False)
-        for a, b, data, offsets in chunks(column, 2 << 20):
+        marked = pc.match_substring_regex(column, _UNUSUAL)
+        unusual = marked.to_numpy(zero_copy_only=False)
+        plain = pc.if_else(marked, pa.scalar("", column.type), column) if unusual.any() else column
+        for a, b, data, offsets in chunks(plain, 2 << 20):
             ids, bounds = self._lookup(data, offsets)
             odd = np.flatnonzero(unusual[a:b])
             if len(odd):

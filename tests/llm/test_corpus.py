@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,32 @@ def test_token_store_round_trip(spark, awkward, tmp_path):
     assert token_store.digests(spark, f"{folder}-0").count() == 0
 
 
+def test_encoder_agrees_with_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = token_store.default_tokenizer()
+    tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(6)
+    parts = ["\n", "\n\n", " ", "  ", "\t", "\r\n", "\f", "\v", "foo", "Bar", "don't", "12", "3", ".", "...", "é", "日本", "\u00a0", "_", "'s", "</s>", "\x00", "\x1f", "\u2028"]
+    texts = ["a\n", "a\n\nfoo", "\n", "b\n", "\n\nfoo", " ", "a ", "a  b", "c \n", "x\n\n\ny", "", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(4000))]
+    for order in (texts, texts[::-1]):
+        encoder = token_store.Encoder(path)
+        for at in range(0, len(order), 1500):
+            for a, b, ids, bounds in encoder.encode(pa.array(order[at : at + 1500])):
+                for i in range(a, b):
+                    assert ids[bounds[i - a] : bounds[i - a + 1]].tolist() == tokenizer.encode(order[at + i], add_special_tokens=False).ids, repr(order[at + i])
+
+
+def test_token_store_of_texts_that_end_in_white_space(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_store.default_tokenizer())
+    rows = list(enumerate(["one\n", "two\n\nfoo", "\n", "\n\nfoo bar\n\n", "x ", "a\n \n\nb\t", " "]))
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path / "s"), token_store.default_tokenizer())
+    want = {d: binascii.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for d, t in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in token_store.digests(spark, str(tmp_path / "s")).collect()} == want
+
+
 def test_pivot_index(spark, sf):
     v = table(spark, sf, "embeddings")
     more = spark.createDataFrame([(900_001, None, 1), (900_002, [0.0] * 64, 1), (900_003, [float("nan")] * 64, 1), (900_004, [1.0, 2.0], 1), (900_005, [2.0, 4.0], 1), (900_006, [1.0, 2.0], None)], "vec_id long, embedding array<float>, label int")
