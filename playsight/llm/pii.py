@@ -43,6 +43,7 @@ _MORE = (
     ("secret", re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")),
     ("secret", re.compile(r"(?i:password|passwd|token|secret|api[_-]?key) ?[=:] ?\"?([A-Za-z0-9+/_-]{12,128})")),
 )
+_AT = re.compile(r"[(\[]at[)\]]")
 _ANY = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _HINT = re.compile(r"(?i:pass|token|secret|key|tel|phone|call|card|mail|ip|addr|version|section|no\.)[^\n]{0,12}$")
 
@@ -132,17 +133,21 @@ def _candidates(text: str, spans: list, failed: list) -> list[tuple[str, int, in
     """(kind, start, end, label, features); label 1 valid, 0 not, -1 open: proposed, for the trees to decide."""
     out = [(k, a, b, 1, _features(text, a, b)) for k, a, b in spans]
     out += [("", a, b, 0, _features(text, a, b)) for a, b in failed]
-    if "@" in text or _DIGIT.search(text) or "[at]" in text or "(at)" in text:
-        taken = {(a, b) for _, a, b in spans}
-        shut = sorted(taken)
-        for kind, pattern in _MORE:
-            for m in pattern.finditer(text):
-                a, b = m.span(1) if kind == "secret" and pattern.groups else m.span()
-                if kind == "secret":
-                    # strict in form: learned from, and proposed
-                    out.append((kind, a, b, 2, _features(text, a, b)))
-                elif (a, b) not in taken and not any(x < b and a < y for x, y in shut):
-                    out.append((kind, a, b, -1, _features(text, a, b)))
+    taken = {(a, b) for _, a, b in spans}
+    shut = sorted(taken)
+    digit = bool(_DIGIT.search(text))
+    for kind, pattern in _MORE:
+        # without these a pattern has no match; secrets may be letters only
+        if not (_AT.search(text) if kind == "email" else kind == "secret" or digit):
+            continue
+        for m in pattern.finditer(text):
+            a, b = m.span(1) if kind == "secret" and pattern.groups else m.span()
+            if kind == "secret":
+                # strict in form: learned from, and proposed
+                out.append((kind, a, b, 2, _features(text, a, b)))
+            elif (a, b) not in taken and not any(x < b and a < y for x, y in shut):
+                out.append((kind, a, b, -1, _features(text, a, b)))
+    if digit or "@" in text:
         covered = sorted((a, b) for _, a, b, _, _ in out)
         at = 0
         for m in _ANY.finditer(text):
