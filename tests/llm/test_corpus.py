@@ -282,7 +282,7 @@ def _got_marks(rows):
     return Counter((r["doc_id"], r["n_words"], tuple(sorted(p for s in (r["spans"].split(",") if r["spans"] else []) for p in range(*map(int, s.split("-")))))) for r in rows)
 
 
-@pytest.mark.parametrize(("hot", "reach"), [(3, 1), (20_000, 1)])
+@pytest.mark.parametrize(("hot", "reach"), [(4, 1), (20_000, 1)])
 def test_repeated_passages_in_large_groups(spark, hot, reach):
     rng = random.Random(11)
     boiler = [f"b{k}" for k in range(49)]
@@ -294,7 +294,22 @@ def test_repeated_passages_in_large_groups(spark, hot, reach):
     assert _got_marks(got) == want and all(m for _, _, m in want)
 
 
-@pytest.mark.parametrize("hot", [2, 20_000])
+@pytest.mark.parametrize("hot", [4, 20_000])
+def test_repeated_passages_behind_one_sided_ties(spark, hot):
+    rng = random.Random(13)
+    run = lambda n: [f"t{rng.random()}" for _ in range(n)]
+    texts = []
+    for _ in range(30):  # two share 5 words on each side of 40 common ones; others share 9 with the first, on one side only
+        before, boiler, behind = run(9), run(40), run(9)
+        texts += [[*run(9), *before, *boiler, *behind, *run(9)], [*run(13), *before[4:], *boiler, *behind[:5], *run(13)]]
+        texts += [x for _ in range(8) for x in ([*run(9), *before, *boiler, *run(18)], [*run(18), *boiler, *behind, *run(9)])]
+        texts += [x for _ in range(8) for x in ([*run(9), *run(4), *before[4:], *boiler, *run(18)], [*run(18), *boiler, *behind[:5], *run(13)])]
+    rows = list(enumerate(map(" ".join, texts)))
+    want = Counter((d, len(t.split()), tuple(sorted(m))) for (d, t), m in _marked(rows, 50).items())
+    assert _got_marks(suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()) == want
+
+
+@pytest.mark.parametrize("hot", [4, 20_000])
 def test_repeated_passages_of_an_id_with_several_texts(spark, hot):
     rng = random.Random(12)
     prose = lambda n: " ".join(f"v{rng.random()}" for _ in range(n))
