@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Rows up to which a table of two or three fixed-width columns may be broadcast.
 #: Counted before each use; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Links (16 bytes each) up to which one task may contract what is left of them.
+TOGETHER = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,14 +99,15 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the links (columns a, b; other columns ignored).
 
-    Links are first contracted inside each partition, then alternately dealt to larger and smaller
-    neighbours (large-star, small-star) until nothing changes; each round is cut.  Nodes without
-    links don't appear.  Nothing is gathered on the driver but two sums a round.
+    Links are contracted inside each partition.  While more than TOGETHER are left they are dealt to
+    larger and smaller neighbours (large-star, small-star), each round cut, until nothing changes; as
+    soon as no more than that are left, one task contracts them.  Nodes without links don't appear.
+    Nothing is gathered on the driver but two sums a round.
     """
     edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    edges = cut(edges.mapInArrow(_contract, "u long, v long").distinct())
+    edges = cut(edges.mapInArrow(_contract, "u long, v long"))
     before = None
-    while True:
+    while (count := edges.count()) > TOGETHER:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -121,6 +124,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    if 0 < count <= TOGETHER:
+        edges = edges.coalesce(1).mapInArrow(_contract, "u long, v long")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
