@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names in spark.checkpoint.dir; sets one only where none is set (tests)."""
+    """Uses the folder the cluster names in spark.checkpoint.dir; in local mode (tests) sets one where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
@@ -36,14 +38,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like cut, but as a compressed table: for what is large and needed to the end."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint directory."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Like cut, but as a compressed table (below `folder`, if given): for what is large and needed to the end."""
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else scratch_folder(df.sparkSession, "written")
     df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate tables that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a (cheap, already cut) narrow table for broadcast if its row count is within the bound."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

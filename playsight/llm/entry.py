@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from playsight.llm import sharding, winnowing
-from playsight.llm.common import table
+from playsight.llm.common import scratch_folder, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from playsight.llm import token_store
 
-    folder = token_store.scratch_folder(spark)
+    folder = scratch_folder(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), folder, token_store.default_tokenizer())
     return token_store.digests(spark, folder)
 

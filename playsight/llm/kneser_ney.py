@@ -1,8 +1,10 @@
 """Document quality by an interpolated modified Kneser-Ney n-gram model.
 
 The model is over bytes of a text's UTF-8 form, of order ORDER, one per language, and is trained on
-trusted text: labelled good, and not set aside for calibration.  An n-gram is a 64-bit integer of up
-to seven bytes, so lower orders follow by shifts.  Counts, continuation counts, discounts and
+trusted text: labelled good, and not set aside for calibration.  A byte n-gram sees about a word; so
+that it also sees words repeated, a mark is put behind each word that equals the word before it
+or the one before that.  An n-gram is a 64-bit integer of up to seven bytes, so lower orders follow by
+shifts.  Counts, continuation counts, discounts and
 back-off weights are Spark aggregations; the probabilities that documents need are found by joining
 their distinct n-grams with the sharded counts, order by order.
 
@@ -26,11 +28,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playsight.llm.common import cut, ensure_checkpoint_dir, if_small, written
-from playsight.llm.textkit import utf8_parts
+from playsight.llm.common import cut, discard, if_small, scratch_folder, written
+from playsight.llm.textkit import CHUNK_BYTES, Words, chunks
 
 ORDER = 5
 #: Rejected above this quantile of the trusted documents set aside, per language.
@@ -40,17 +42,32 @@ MARGIN = 1.05
 #: A mean over n symbols scatters by about this over the root of n (in natural logs); short texts are given that much.
 SCATTER = 3.0
 #: Bytes of text that a block holds, about.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Symbols that may follow a context: 256 bytes and the end of text.
 SYMBOLS = 257
 #: 0xFF never occurs in UTF-8 and marks the end; 0x00 pads the start.
 _END = 0xFF
+#: Marks behind a word that equals the last word, or the one before it.
+_AGAIN = (1, 2)
 #: N-grams are dealt to shards by their remainder by this prime first, so that no shard stands for a byte.
 _PRIME = 1_000_003
 #: Most buckets that Spark gives a table.
 _BUCKETS = 100_000
 
 
+def _marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with marks behind repeated words."""
+    words = Words(data, offsets)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(words.bounds))
+    mark = np.zeros(len(words.hash), np.uint8)
+    for back in (2, 1):
+        same = (words.hash[back:] == words.hash[:-back]) & (row[back:] == row[:-back])
+        mark[back:][same] = _AGAIN[back - 1]
+    at = words.end[mark > 0]
+    added = np.bincount(row[mark > 0], minlength=len(offsets) - 1)
+    return np.insert(data, at, mark[mark > 0]), offsets + np.concatenate([[0], np.cumsum(added)])
+
+
 def _codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The order-gram that ends at each byte, and at the end, of each text; and the row of each."""
     n = len(offsets) - 1
@@ -75,7 +92,7 @@ def _counted(data: np.ndarray, sizes: np.ndarray, learned: np.ndarray, order: in
     codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     a = 0
     while a < len(sizes):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 20), "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
         found, rows = _codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
         more, inverse = np.unique(found, return_inverse=True)
         times = np.bincount(inverse, learned[a:b][rows], len(more)).astype(np.int64)
@@ -123,17 +140,19 @@ def _blocks(order: int, shards: int):
         open_blocks: dict[str | None, list] = {}
         for batch in batches:
             ids, langs, roles = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            data, offsets = utf8_parts(batch.column(1))
-            raw, offsets = data.tobytes(), offsets.tolist()
-            for i, lang in enumerate(langs):
-                block = open_blocks.setdefault(lang, [[], [], [], 0])
-                block[0].append(ids[i])
-                block[1].append(roles[i])
-                block[2].append(raw[offsets[i] : offsets[i + 1]])
-                block[3] += offsets[i + 1] - offsets[i]
-                if block[3] >= BLOCK:
-                    yield emit(lang, *block[:3])
-                    del open_blocks[lang]
+            for a, b, data, offsets in chunks(batch.column(1)):
+                data, offsets = _marked(data, offsets)
+                raw, offsets = data.tobytes(), offsets.tolist()
+                for i in range(a, b):
+                    text = raw[offsets[i - a] : offsets[i - a + 1]]
+                    block = open_blocks.setdefault(langs[i], [[], [], [], 0])
+                    block[0].append(ids[i])
+                    block[1].append(roles[i])
+                    block[2].append(text)
+                    block[3] += len(text)
+                    if block[3] >= BLOCK:
+                        yield emit(langs[i], *block[:3])
+                        del open_blocks[langs[i]]
         for lang, block in open_blocks.items():
             yield emit(lang, *block[:3])
 
@@ -216,12 +235,13 @@ def _perplexities(order: int):
             sizes = np.asarray(row.sizes, np.int64)
             data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.packed), np.uint8)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            step = max(1, len(sizes) // max(1, len(data) >> 20))
             total = np.zeros(len(sizes))
-            for a in range(0, len(sizes), step):
-                b = min(len(sizes), a + step)
+            a = 0
+            while a < len(sizes):
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
                 found, rows = _codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
                 total[a:b] = np.bincount(rows, values[np.searchsorted(codes, found)], b - a)
+                a = b
             out.append(pd.DataFrame({"doc_id": np.asarray(row.ids, object), "role": np.asarray(row.roles, np.int32), "lang": row.lang, "n_symbols": sizes + 1, "log_p": total}))
         return pd.concat(out)
 
@@ -237,7 +257,7 @@ def _context(column: str) -> F.Column:
     return F.shiftright(F.col(column), 8)
 
 
-def _levels(counts: DataFrame, order: int) -> list[tuple[int, DataFrame, DataFrame, DataFrame]]:
+def _levels(counts: DataFrame, order: int, folder: str | None) -> list[tuple[int, DataFrame, DataFrame, DataFrame]]:
     """For each order from the highest down: (n, n-grams with their count, contexts, discounts), by language.
 
     Below the highest order the count of an n-gram is the number of different bytes before it.
@@ -245,7 +265,7 @@ def _levels(counts: DataFrame, order: int) -> list[tuple[int, DataFrame, DataFra
     levels = []
     grams = counts
     for n in range(order, 0, -1):
-        grams = written(grams)
+        grams = written(grams, folder)
         kinds = [F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2)] + [F.sum((F.col("c") >= 3).cast("long")).alias("n3")]
         contexts = grams.groupBy("lang", _context("code").alias("context")).agg(F.sum("c").alias("total"), *kinds)
         of = grams.groupBy("lang").agg(*[F.sum((F.col("c") == k).cast("double")).alias(f"t{k}") for k in (1, 2, 3, 4)])
@@ -258,13 +278,13 @@ def _levels(counts: DataFrame, order: int) -> list[tuple[int, DataFrame, DataFra
     return levels
 
 
-def log_probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
+def log_probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER, folder: str | None = None) -> DataFrame:
     """wanted: (lang, code), distinct; counts: (lang, code, c) of the trusted text.  Adds log_p (natural log).
 
     Joins the sharded counts and contexts of each order; a language without trusted text gets the
-    uniform distribution.
+    uniform distribution.  Tables of the orders are written below `folder`.
     """
-    levels = _levels(counts, order)
+    levels = _levels(counts, order, folder)
     found = wanted.withColumn("p", F.lit(1.0 / SYMBOLS))
     keyed = wanted
     # distinct keys of each order, lowest first, each built on the probability of the order below
@@ -286,30 +306,43 @@ def log_probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER)
         kept = F.when(F.col("c").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("c") - F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))))
         freed = F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")
         p = F.when(F.col("total").isNull(), lower).otherwise((kept + freed * lower) / F.col("total"))
-        found = written(row.select("lang", "key", p.alias("p")))
+        found = written(row.select("lang", "key", p.alias("p")), folder)
     return found.select("lang", F.col("key").alias("code"), F.log("p").alias("log_p"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, name: Column | None = None) -> DataFrame:
     """(doc_id, lang, role, n_symbols, log_p, perplexity) for every row of docs (doc_id, text, lang).
 
+    `name`, a long made from columns of docs, stands in place of the doc_id in the result, if given.
+
     trusted: (doc_id), distinct and cut.  role: 1 trusted and trained on, 2 trusted and set aside for
-    calibration (one in five, by hash), 0 otherwise.  Null texts count as empty: one end mark.
+    calibration (one in five, by hash), 0 otherwise.  n_symbols: bytes, marks and the end.  Null texts
+    count as empty: one end mark.  A long text is one text; its n-grams are counted a run at a time.
     """
     role = F.when(F.col("_t").isNull(), 0).when(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, 2).otherwise(1)
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(if_small(trusted.select("doc_id", F.lit(1).alias("_t"))), "doc_id", "left")
-    rows = marked.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", role.cast("int").alias("role"))
+    id_ = F.col("doc_id").cast("long")
+    marked = docs.select(id_.alias("doc_id"), "text", "lang", (id_ if name is None else name).alias("_name")).join(if_small(trusted.select("doc_id", F.lit(1).alias("_t"))), "doc_id", "left")
+    rows = marked.select("_name", F.coalesce("text", F.lit("")).alias("text"), "lang", role.cast("int").alias("role"))
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = rows.mapInArrow(_blocks(order, n), "lang string, ids array<long>, roles array<int>, sizes array<long>, packed binary, asks array<struct<shard:int,codes:binary,counts:binary>>")
-    ensure_checkpoint_dir(spark)
-    name = f"blocks_{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "kneser-ney")
+    blocks_name = f"blocks_{uuid.uuid4().hex}"
     keyed = blocks.withColumn("block", F.xxhash64(F.get("ids", F.lit(0)), F.size("ids"), "packed", "lang"))
-    keyed.write.option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").option("compression", "zstd").bucketBy(min(n, _BUCKETS), "block").saveAsTable(name)
+    keyed.write.option("path", f"{folder}/blocks").option("compression", "zstd").bucketBy(min(n, _BUCKETS), "block").saveAsTable(blocks_name)
+    try:
+        return _scored(spark, blocks_name, folder, n, order)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {blocks_name}")
+        discard(spark, folder)
+
+
+def _scored(spark: SparkSession, name: str, folder: str, n: int, order: int) -> DataFrame:
+    """The texts of the blocks in a bucketed table, with their log-probabilities; cut."""
     blocks = spark.table(name)
     asks = blocks.select("block", "lang", F.explode("asks").alias("x")).select("block", "lang", "x.shard", "x.codes", "x.counts")
-    asked = written(asks.repartition(n, "lang", "shard").select("lang", "codes", "counts").mapInArrow(_merged, "lang string, code long, n long"))
-    known = log_probabilities(asked.select("lang", "code"), asked.where("n > 0").select("lang", "code", F.col("n").alias("c")), order)
+    asked = written(asks.repartition(n, "lang", "shard").select("lang", "codes", "counts").mapInArrow(_merged, "lang string, code long, n long"), folder)
+    known = log_probabilities(asked.select("lang", "code"), asked.where("n > 0").select("lang", "code", F.col("n").alias("c")), order, folder)
     key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("key")
     shard = F.pmod(F.pmod("code", F.lit(_PRIME)), F.lit(n)).cast("int").alias("shard")
     nothing = lambda kind: F.lit(None).cast(kind)
@@ -318,21 +351,20 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     met = model.unionAll(lists).repartition(n, "key", "shard").sortWithinPartitions("key", "shard", F.col("block").asc_nulls_first())
     answers = met.mapInArrow(_answered, "block long, shard int, log_p binary")
     scored = blocks.select("block", "lang", "roles", "ids", "sizes", "packed", "asks").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_perplexities(order), "doc_id long, role int, lang string, n_symbols long, log_p double")
-    scored = cut(scored.withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_symbols"))))
-    spark.sql(f"DROP TABLE {name}")
-    return scored
+    return cut(scored.withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_symbols"))))
 
 
-def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, name: Column | None = None) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, threshold, keep) for every row of docs (doc_id, text, lang).
 
     labels: (doc_id, quality); quality 1 marks trusted text.  The threshold is `margin` times the
     quantile of the perplexities, less the scatter of a text of that length, of the language's trusted
     documents that were set aside; a language (null is one) without any has no threshold, and its
-    documents are kept.  Empty texts are kept.  Rows that repeat an id are judged one by one.
+    documents are kept.  Empty texts are kept.  Rows that repeat an id are judged one by one; `name`
+    may tell them apart in the result.
     """
     trusted = cut(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    scored = perplexities(docs, trusted, order)
+    scored = perplexities(docs, trusted, order, name)
     score = F.log("perplexity") - SCATTER / F.sqrt("n_symbols")
     # on a grid of 0.0001, so that the table the quantile is read off is bounded
     bins = scored.where("role = 2 and n_symbols > 1").groupBy("lang").agg(F.percentile(F.round(score, 4), quantile).alias("q"))

@@ -1,12 +1,13 @@
 """Mixing sources to target weights by entropy balancing.
 
 Each document i of source s gets the rate r_i that stays closest to 1 in relative entropy over
-words, subject to sum(size_i * r_i) = target_s and r_i <= CAP.  The dual has one multiplier a
-source and r_i = min(CAP, exp(lambda_s)): Newton steps on it need the sums of the gradient and the
-curvature over a source's documents, which are distributed sums over (source, size) counts.
-Rates are rounded into whole copies in runs of a source's documents (dealt by hash), from the
-largest down, each error handed on to the next document: a run misses its share by about the size
-of its smallest document, and reruns agree.
+documents, subject to sum(size_i * r_i) = target_s and r_i <= CAP.  The dual has one multiplier a source
+and r_i = min(CAP, exp(lambda_s * size_i / mean size)): Newton steps on it need the sums of the
+gradient and the curvature over a source's documents, which are distributed sums over (source, size)
+counts, in decimals, so that no order of summing changes them.  Steps are held inside the bracket that
+earlier ones have found.  Rates are rounded into whole copies in runs of a source's documents (dealt by
+hash), from the largest down, each error handed on to the next document: a run misses its share by
+about the size of its smallest document, and reruns agree.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from playsight.llm.common import cut, if_small
+from playsight.llm.common import BROADCAST_ROWS, cut, if_small
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -53,68 +54,103 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("source", "source_size", F.least(F.col("top"), F.col("w") * F.coalesce(stop, F.lit(float("inf")))).alias("target"))
 
 
-def newton_rates(counts: DataFrame, goal: DataFrame, cap: float = CAP, tolerance: float = 1e-10, most: int = 60) -> DataFrame:
-    """counts: (source, size, n), goal: (source, source_size, target).  Adds `rate` to goal.
+def newton_rates(counts: DataFrame, goal: DataFrame, cap: float = CAP, tolerance: float = 1e-9, most: int = 60) -> DataFrame:
+    """counts: (source, size, n), goal: (source, source_size, target).  Adds `lam`, `mean` and `documents`: a document's rate is min(cap, exp(lam * size / mean)).
 
-    Newton steps on the dual; each sums gradient and curvature over all (source, size) counts.
+    Each Newton step (on the logarithm of the words taken, which is nearly straight) sums gradient and
+    curvature over all (source, size) counts.  Lambda lies between 0 and where the smallest document
+    alone has the wanted rate; a step that leaves what is left of that bracket is replaced by its middle.
+    A target of nothing gives lam = -inf, one of cap times the source +inf.
     """
-    state = cut(goal.withColumn("lam", F.lit(0.0)))
-    rate = F.least(F.lit(cap), F.exp("lam"))
+    some = counts.where("size > 0").groupBy(F.col("source").alias("_s")).agg(F.sum("n").alias("documents"), F.min("size").alias("least"))
+    state = goal.join(some, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    state = state.withColumn("documents", F.coalesce("documents", F.lit(0).cast("long"))).withColumn("mean", F.col("source_size") / F.greatest("documents", F.lit(1)))
+    edge = F.when(F.coalesce(F.col("target"), F.lit(0.0)) <= 0, F.lit(float("-inf"))).when(F.col("target") >= cap * F.col("source_size"), F.lit(float("inf")))
+    ratio = F.log(F.col("target") / F.col("source_size"))
+    end = F.when(ratio > 0, F.lit(math.log(cap))).otherwise(ratio) * F.col("mean") / F.col("least")
+    state = state.withColumn("lam", F.coalesce(edge, ratio)).withColumn("low", F.least(F.lit(0.0), end)).withColumn("high", F.greatest(F.lit(0.0), end)).withColumn("done", edge.isNotNull())
+    state = cut(state.select("source", "source_size", "target", "mean", "documents", "lam", "low", "high", "done"))
+    small = (lambda df: F.broadcast(df)) if state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)  # a row a source
+    each = counts.where("size > 0")
     for _ in range(most):
-        same = counts["source"].eqNullSafe(state["source"])
-        sums = counts.join(if_small(state.select("source", "lam")), same).groupBy(counts["source"]).agg(F.sum(F.col("n") * F.col("size") * rate).alias("words"))
-        step = state.join(sums, state["source"].eqNullSafe(sums["source"]), "left").select(state["*"], "words")
-        gap = F.col("words") - F.col("target")
-        # curvature of the dual at an uncapped point is the words taken; at the cap the gap can only close downwards
-        moved = F.when((F.col("words") > 0) & (F.col("target") > 0), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.col("words")))).otherwise(0.0)
-        step = cut(step.withColumn("moved", moved).withColumn("lam", F.least(F.log(F.lit(cap)), F.col("lam") - F.col("moved"))))
-        state = step.drop("words", "moved")
-        if (step.agg(F.max(F.abs("moved"))).first()[0] or 0.0) <= tolerance:
+        if state.where("not done").isEmpty():
             break
-    return state.withColumn("rate", F.when(F.col("target") > 0, rate).otherwise(0.0)).drop("lam")
+        known = small(state.where("not done").select(F.col("source").alias("_s"), "lam", "mean"))
+        rows = each.join(known, F.col("source").eqNullSafe(F.col("_s"))).withColumn("z", F.col("lam") * F.col("size") / F.col("mean"))
+        words = F.col("n") * F.col("size") * F.least(F.lit(cap), F.exp("z"))
+        bend = F.when(F.col("z") < math.log(cap), words * F.col("size") / F.col("mean")).otherwise(0.0)
+        exact = lambda c, name: F.sum(c.cast("decimal(38,9)")).cast("double").alias(name)
+        sums = rows.groupBy("_s").agg(exact(words, "words"), exact(bend, "bend"))
+        step = state.join(small(sums), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        gap = F.col("words") - F.col("target")
+        step = step.withColumn("low", F.when(gap < 0, F.greatest("low", "lam")).otherwise(F.col("low"))).withColumn("high", F.when(gap > 0, F.least("high", "lam")).otherwise(F.col("high")))
+        newton = F.col("lam") - F.log(F.col("words") / F.col("target")) * F.try_divide("words", "bend")
+        inside = F.coalesce((newton > F.col("low")) & (newton < F.col("high")), F.lit(False))
+        moved = F.when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
+        ended = F.col("done") | (F.abs(gap) <= tolerance * F.col("target")) | (F.col("high") - F.col("low") <= 1e-13 * (1 + F.abs(F.col("lam"))))
+        state = cut(step.select("source", "source_size", "target", "mean", "documents", F.when(ended, F.col("lam")).otherwise(moved).alias("lam"), "low", "high", ended.alias("done")))
+    return state.drop("low", "high", "done")
+
+
+def _rate(cap: float) -> Column:
+    """A document's rate by `lam`, `size` and `mean`; exact at both ends."""
+    bent = F.least(F.lit(cap), F.exp(F.col("lam") * F.col("size") / F.col("mean")))
+    return F.when(F.col("size") == 0, 0.0).when(F.col("lam") == float("-inf"), 0.0).when(F.col("lam") == float("inf"), cap).otherwise(bent)
+
+
+def _units(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """(doc_id, source, th, size, n, source_size, target, whole, more): rows that repeat id, source and text are one unit of n rows, of which `more` are taken once more than `whole` times."""
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    units = cut(sized.groupBy("doc_id", "source", "th", "size").agg(F.count("*").alias("n")))
+    counts = cut(units.groupBy("source", "size").agg(F.sum("n").alias("n")))
+    goal = cut(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap))
+    rates = if_small(newton_rates(counts, goal, cap).withColumnRenamed("source", "_source"))
+    rated = units.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("rate", _rate(cap))
+    # runs of about RUN documents of one source, each dealt out on its own
+    width = F.greatest(F.lit(1), F.ceil(F.col("documents") / RUN))
+    rated = rated.withColumn("tie", F.xxhash64("th", "doc_id")).withColumn("run", F.pmod("tie", width))
+    rated = rated.withColumn("no_source", F.col("source").isNull()).withColumn("_source", F.coalesce("source", F.lit("")))
+    return rated.groupBy("no_source", "_source", "run").applyInPandas(_rounded, "doc_id long, source string, th long, size long, n long, source_size long, target double, whole long, more long")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, source, th) for every row of docs (doc_id, source, text).
+    """(doc_id, size, source_size, target, taken, copies, source, th) for every row of docs (doc_id, source, text; others are ignored).
 
     Null and empty texts have size 0 and take nothing.  A null source is a source of its own, the
-    last.  Ties in size are broken by hash of the text and id; rows that repeat both are
-    interchangeable.  An empty table gives an empty result.
+    last.  Ties in size are broken by hash of the text and id; rows that repeat id, source and text are
+    interchangeable.  A text of any length is one document.  An empty table gives an empty result.
     """
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")))
-    counts = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
-    goal = cut(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap))
-    rates = newton_rates(counts, goal, cap).join(counts.groupBy(F.col("source").alias("_s")).agg(F.sum("n").alias("documents")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rates = cut(rates)
-    small = if_small(rates.withColumnRenamed("source", "_source"))
-    rated = sized.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    # runs of about RUN documents of one source, each dealt out on its own
-    width = F.greatest(F.lit(1), F.ceil(F.col("documents") / RUN))
-    rated = rated.withColumn("tie", F.xxhash64("th", "doc_id")).withColumn("run", F.pmod("tie", width))
-    rated = rated.withColumn("no_source", F.col("source").isNull()).withColumn("_source", F.coalesce("source", F.lit("")))
-    rounded = rated.groupBy("no_source", "_source", "run").applyInPandas(_rounded, "doc_id long, size long, source_size long, target double, taken long, copies long, source string, th long")
-    return rounded
+    each = _units(docs, weights, share, cap).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    copies = F.col("whole") + (F.col("k") <= F.col("more")).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "th")
 
 
 def _rounded(rows: pd.DataFrame) -> pd.DataFrame:
     """Whole copies, from the largest document down: each rounding error is handed on to the next."""
     rows = rows.sort_values(["size", "tie", "doc_id"], ascending=[False, True, True], kind="stable")
-    owed, copies = 0.0, []
-    for size, rate in zip(rows["size"].tolist(), rows["rate"].tolist(), strict=True):
+    owed, wholes, mores = 0.0, [], []
+    for size, n, rate in zip(rows["size"].tolist(), rows["n"].tolist(), rows["rate"].tolist(), strict=True):
         whole = math.floor(rate + 1e-9)
-        part = max(0.0, rate - whole)
-        more = 1 if part > 1e-9 and owed + part * size >= size / 2 else 0
-        owed += (part - more) * size
-        copies.append(whole + more if size else 0)
-    rows["copies"] = copies
-    rows["taken"] = rows["copies"] * rows["size"]
-    return rows[["doc_id", "size", "source_size", "target", "taken", "copies", "source", "th"]]
+        part = max(0.0, rate - whole) if size else 0.0
+        more = min(n, max(0, math.floor(owed / size + part * n + 0.5))) if part > 1e-9 else 0
+        owed += (part * n - more) * size
+        wholes.append(whole)
+        mores.append(more)
+    rows["whole"], rows["more"] = wholes, mores
+    return rows[["doc_id", "source", "th", "size", "n", "source_size", "target", "whole", "more"]]
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it (not at all: dropped)."""
-    taken = mix(docs, **options).where("copies > 0").groupBy("doc_id", "th").agg(F.max("copies").cast("int").alias("copies"))
-    taken = if_small(cut(taken.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "copies")))
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(taken, (F.col("_h") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """docs (doc_id, source, text and any other columns) with each row repeated as often as the mix takes it; not at all: dropped.
+
+    Null and empty texts are dropped.  Rows that repeat id, source and text are taken as often as all of
+    them together, as copies of one of them.
+    """
+    units = _units(docs, *(options.get(k, v) for k, v in (("weights", WEIGHTS), ("share", SHARE), ("cap", CAP))))
+    taken = units.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("th").alias("h"), "n", (F.col("whole") * F.col("n") + F.col("more")).alias("times"))
+    taken = if_small(cut(taken.where("times > 0")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    same = (F.col("th") == F.col("h")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("of"))
+    met = rows.join(taken, same).select("row", "id", "of", "h", "n", "times")
+    once = met.where("n = 1").unionAll(met.where("n > 1").dropDuplicates(["id", "of", "h"]))
+    return once.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")

@@ -2,7 +2,7 @@
 
 High-recall generators propose overlapping spans of each whole text: the four base kinds, the
 same kinds in looser or stricter shapes, secrets, and any run with a digit or an at sign.  Each
-has features of its format (digits, letters, groups, checksum, ...) and context (characters around
+has features of its format (digits, letters, groups, ...) and context (characters around
 it, words before it); the generator's name is not among them.  Boosted trees (Spark ML) learn on at
 most SAMPLE candidates to tell those that pass a kind's validation from those that don't; a
 threshold is calibrated on documents left out of the fit, for a precision of PRECISION.  Base spans
@@ -13,13 +13,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from playsight.llm.common import cut
 
@@ -44,7 +47,8 @@ _MORE = (
     ("secret", re.compile(r"(?i:password|passwd|token|secret|api[_-]?key) ?[=:] ?\"?([A-Za-z0-9+/_-]{12,128})")),
 )
 _AT = re.compile(r"[(\[]at[)\]]")
-_ANY = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SIGN = re.compile(r"[0-9@]")
 _HINT = re.compile(r"(?i:pass|token|secret|key|tel|phone|call|card|mail|ip|addr|version|section|no\.)[^\n]{0,12}$")
 
 
@@ -117,24 +121,38 @@ def _features(text: str, a: int, b: int) -> list[float]:
         float(s[0] == "+"),
         float("(" in s and ")" in s),
         float(s.count("-") + s.count(" ")),
-        float(16 <= len(digits) <= 19 and luhn(digits)),
-        float(len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)),
+        float(len(parts)),
+        float(max(map(len, parts))),
         float(len(set(s)) / n),
         float(max((len(x) for x in re.findall(r"[0-9A-Fa-f]+", s)), default=0)),
         float(s.startswith("AKIA")),
-        float(8 <= len(digits) <= 15),
         side(text[a - 1 : a]),
         side(text[b : b + 1]),
         float(bool(_HINT.search(text[max(0, a - 24) : a]))),
     ]
 
 
+class _Taken:
+    """Spans in order of their start, none inside another's reach forgotten: does one overlap [a, b)?"""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.reach = list(accumulate((b for _, b in spans), max))
+
+    def meets(self, a: int, b: int) -> bool:
+        before = bisect_left(self.starts, b)
+        return before > 0 and self.reach[before - 1] > a
+
+
 def _candidates(text: str, spans: list, failed: list) -> list[tuple[str, int, int, int, list[float]]]:
-    """(kind, start, end, label, features); label 1 valid, 0 not, -1 open: proposed, for the trees to decide."""
+    """(kind, start, end, label, features); label 1 valid, 0 not, -1 open, 2 strict in form: proposed, for the trees to decide.
+
+    Takes time in proportion to the text, whatever it holds.
+    """
     out = [(k, a, b, 1, _features(text, a, b)) for k, a, b in spans]
     out += [("", a, b, 0, _features(text, a, b)) for a, b in failed]
-    taken = {(a, b) for _, a, b in spans}
-    shut = sorted(taken)
+    shut = _Taken([(a, b) for _, a, b in spans])
     digit = bool(_DIGIT.search(text))
     for kind, pattern in _MORE:
         # without these a pattern has no match; secrets may be letters only
@@ -143,18 +161,14 @@ def _candidates(text: str, spans: list, failed: list) -> list[tuple[str, int, in
         for m in pattern.finditer(text):
             a, b = m.span(1) if kind == "secret" and pattern.groups else m.span()
             if kind == "secret":
-                # strict in form: learned from, and proposed
                 out.append((kind, a, b, 2, _features(text, a, b)))
-            elif (a, b) not in taken and not any(x < b and a < y for x, y in shut):
+            elif not shut.meets(a, b):
                 out.append((kind, a, b, -1, _features(text, a, b)))
     if digit or "@" in text:
-        covered = sorted((a, b) for _, a, b, _, _ in out)
-        at = 0
-        for m in _ANY.finditer(text):
+        covered = _Taken([(a, b) for _, a, b, _, _ in out])
+        for m in _WORD.finditer(text):
             a, b = m.span()
-            while at < len(covered) and covered[at][1] <= a:
-                at += 1
-            if not any(x < b and a < y for x, y in covered[at : at + 4]):
+            if _SIGN.search(text, a, b) and not covered.meets(a, b):
                 out.append(("", a, b, 0, _features(text, a, b)))
     return out
 
@@ -185,7 +199,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_personal_data(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for every row of docs (doc_id, text).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added, n_secret) for every row of docs (doc_id, text).
 
     Offsets are code points, the end exclusive.  The counts and base_sha256 are of base spans; `spans`
     names all, as kind:start:end, by kind (email, ip, card, phone, secret) and start.  Null and empty
@@ -200,7 +214,6 @@ def find_personal_data(docs: DataFrame, sample: int = SAMPLE, precision: float =
     bounded = cut(bounded.select("y", "features", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0).alias("aside")).coalesce(2))
     fit = bounded.where("not aside")
     kinds = fit.agg(F.count_distinct("y")).first()[0]
-    keep_all = ["row", "kind", "start", "stop", "label"]
     if kinds == 2:
         model = GBTClassifier(labelCol="y", featuresCol="features", maxIter=12, maxDepth=4, stepSize=0.3, seed=7, maxBins=32).fit(fit)
         odds = lambda df: model.transform(df).withColumn("score", vector_to_array("probability")[1])
@@ -209,16 +222,20 @@ def find_personal_data(docs: DataFrame, sample: int = SAMPLE, precision: float =
     else:  # nothing to learn from: only what is strict in form is added
         added = each.where("label = 2").withColumn("score", F.lit(1.0))
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
-    added = added.select(*keep_all, F.struct(number.alias("k"), "start", "stop", "score").alias("s"))
-    lists = added.groupBy("row").agg(F.collect_list("s").alias("added"))
-    # of overlapping additions the likeliest stays
-    apart = F.filter("added", lambda s: ~F.exists("added", lambda o: (o["start"] < s["stop"]) & (s["start"] < o["stop"]) & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & ((o["start"] < s["start"]) | ((o["start"] == s["start"]) & (o["k"] < s["k"])))))))
-    lists = lists.select(F.col("row").alias("_row"), F.transform(apart, lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("added"))
+    added = added.select("row", number.alias("k"), "start", "stop", "score")
+    # of a run of overlapping additions the likeliest stays
+    order = W.partitionBy("row").orderBy("start", "stop", "k")
+    reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+    added = added.withColumn("new", (F.coalesce(reach, F.lit(0)) <= F.col("start")).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    best = F.max_by(F.struct("k", "start", "stop"), F.struct("score", -F.col("start"), -F.col("k"))).alias("s")
+    lists = added.groupBy("row", "run").agg(best).groupBy(F.col("row").alias("_row")).agg(F.collect_list("s").alias("added"))
     out = rows.join(lists, F.col("row") == F.col("_row"), "left")
     named = F.array(*[F.lit(k) for k in KINDS])
     more = F.coalesce("added", F.array().cast("array<struct<k:int,start:int,stop:int>>"))
-    spans = F.array_join(F.transform(F.array_sort(F.concat("base", more)), lambda s: F.concat_ws(":", F.get(named, s["k"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), F.size(more).cast("long").alias("n_added"))
+    every = F.array_sort(F.concat("base", more))
+    spans = F.array_join(F.transform(every, lambda s: F.concat_ws(":", F.get(named, s["k"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    secrets = F.size(F.filter(more, lambda s: s["k"] == KINDS.index("secret"))).cast("long")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), F.size(every).cast("long").alias("n_spans"), F.size(more).cast("long").alias("n_added"), secrets.alias("n_secret"))
 
 
 def _calibrated(scored: DataFrame, precision: float) -> float:

@@ -26,6 +26,8 @@ SHARED = 2
 PER_PIVOT, FEWEST, MOST = 64, 32, 4096
 #: Rows of a list that one task compares at once.
 LIST = 2048
+#: Rows of them whose products are held at once.
+TILE = 256
 
 
 def _nearest(pivots: np.ndarray, nearest: int):
@@ -58,18 +60,22 @@ def _compared(cosine: float, shared: int):
         ids, codes = np.unique(near, return_inverse=True)
         has = np.zeros((len(rows), len(ids)), np.float32)
         has[np.arange(len(rows))[:, None], codes.reshape(near.shape)] = 1
-        common = has @ has.T >= shared
-        early = has[:, ids < pivot]
-        linked = (x @ x.T >= cosine) & common & (early @ early.T == 0)
+        early = np.ascontiguousarray(has[:, ids < pivot])
         block = np.array([r[2] for r in rows])
-        if pair[0] != pair[1]:
-            linked &= block[:, None] != block[None]
+        linked = np.zeros((len(rows), len(rows)), bool)
+        for t in range(0, len(rows), TILE):
+            part = slice(t, t + TILE)
+            near_by = (has[part] @ has.T >= shared) & (early[part] @ early.T == 0)
+            if pair[0] != pair[1]:
+                near_by &= block[part, None] != block[None]
+            linked[part] = near_by & (x[part] @ x.T >= cosine)
         np.fill_diagonal(linked, False)
         copies = np.array([r[5] for r in rows], np.float64)
-        count = linked @ copies
+        count = np.concatenate([linked[t : t + TILE] @ copies for t in range(0, len(rows), TILE)])
         root = np.arange(len(rows))
         while True:
-            low = np.minimum(root, np.where(linked, root[None], len(rows)).min(axis=1))
+            least = np.concatenate([np.where(linked[t : t + TILE], root[None], len(rows)).min(axis=1) for t in range(0, len(rows), TILE)])
+            low = np.minimum(root, least)
             low = low[low]
             if (low == root).all():
                 break
@@ -114,12 +120,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, nearest: int = N
     empty, zero, or hold null or non-finite components link with nothing, as do rows with a null id.
     Equal vectors are one entry of the index, and all linked.
     """
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    # floats travel as floats, and are compared as doubles
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("string").alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf"))) & ~F.isnan(v)) & F.exists("embedding", lambda v: v != 0)
     valid = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     valid = valid.withColumn("label", F.concat_ws(":", F.size("embedding").cast("string"), "label"))
     classed = cut(valid.withColumn("h", F.xxhash64("embedding")))
-    classes = cut(classed.groupBy("label", "h").agg(F.min("vec_id").alias("cid"), F.count("*").cast("int").alias("copies")))
+    classes = cut(classed.select("label", "h", "vec_id").distinct().groupBy("label", "h").agg(F.min("vec_id").alias("cid"), F.count("*").cast("int").alias("copies")))
     lead = classed.join(if_small(classes), ["label", "h"]).where("vec_id = cid").dropDuplicates(["vec_id"]).select("cid", "label", "embedding", "copies")
     lead = cut(lead)
     counted = []
@@ -128,10 +136,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, nearest: int = N
         n = own.count()
         wanted = min(MOST, max(FEWEST, n // PER_PIVOT))
         picked = own.orderBy(F.xxhash64("cid"), "cid").select("embedding").limit(wanted).collect()
-        pivots = np.array([r[0] for r in picked])
+        pivots = np.array([r[0] for r in picked], np.float64)
         pivots = pivots / np.abs(pivots).max(axis=1, keepdims=True)
         pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-        schema = "cid long, label string, embedding array<double>, copies int, near array<int>"
+        schema = f"cid long, label string, embedding {kind}, copies int, near array<int>"
         described = own.mapInArrow(_nearest(pivots, nearest), schema)
         listed = cut(described.select("cid", "label", "copies", "near", "embedding", F.explode("near").alias("pivot")))
         sizes = cut(listed.groupBy("label", "pivot").agg(F.count("*").alias("m")).where(F.col("m") > limit))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a single longer text is still handled whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,14 +41,16 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int, base: np.uint64 = _BASE, inverse: np.uint64 = _BASE_INV) -> tuple[np.ndarray, np.ndarray]:
-    """base**0..n-1 and their inverses modulo 2**64, kept per worker and grown when needed."""
+    """base**0..n-1 and their inverses modulo 2**64; those that a usual chunk needs are kept per worker."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) < n:
         size = max(n, CHUNK_BYTES + 1)
         up = np.full(size, base, np.uint64)
         down = np.full(size, inverse, np.uint64)
         up[0] = down[0] = 1
-        have = _powers[int(base)] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        if size == CHUNK_BYTES + 1:
+            _powers[int(base)] = have
     return have
 
 

@@ -3,22 +3,23 @@
 Documents are encoded with the tokenizers library; an end id follows each.  A rolling hash over
 the id stream of a document cuts it into chunks at content-defined places, so equal passages give
 equal chunks.  Unique chunks are stored once under the SHA-256 of their bytes; a recipe names the
-chunks of each document in order; a Merkle manifest holds, for each run of documents, the root over
-their recipes.  Reading joins recipes with chunks and checks every hash on the way.
+chunks of each document in order, and has their joint hash as its root.  A Merkle manifest is a tree
+over those roots: a node for each run of tokens, nodes over FAN nodes each, up to one.  Reading
+computes the roots anew from the recipes' chunks, compares all nodes of the tree, joins recipes with
+chunks and checks every chunk against its name.
 
 Layout under one folder (Parquet, written and read by Spark alone):
   chunks/     hash binary (of the ids as little-endian unsigned 32-bit), ids binary: a byte with the width (2 or 4), then zstd
-  recipes/    doc_id, seq (copy of an id), start, n_tokens, root, chunks array<binary>; sorted by (doc_id, seq)
-  manifest/   run, first and last doc_id, documents, root over the recipes' roots
+  recipes/    doc_id, start, n_tokens, root, chunks array<binary>; sorted by start
+  manifest/   level, node, first and last doc_id, documents, n_tokens, root over those below
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playsight.llm.common import cut, ensure_checkpoint_dir, if_small, running_total
+from playsight.llm.common import cut, discard, if_small, running_total
 from playsight.llm.textkit import _BASE, _BASE_INV, _BYTE_CODE, _power_tables, chunks, mix
 
 END_ID = 2
@@ -37,6 +38,8 @@ LEAST, MEAN, MOST = 64, 512, 4096
 ROLL = 16
 #: Entries of the per-worker memory of encoded pieces; it is emptied when full.
 MEMORY = 1_000_000
+#: Tokens of a run of documents that have one node of the manifest (log2); nodes under a higher node.
+LEAF, FAN = 14, 1024
 
 _UNUSUAL = "[\u001c-\u001f\u0085   -     　]|<\\|"
 #: 1: ASCII white space, 2: ASCII letter, 3: other ASCII, 0: the rest.
@@ -53,8 +56,10 @@ class Encoder:
     no piece crosses from a word to the white space behind it, nor from an ASCII letter to an ASCII
     digit or sign behind it.  Texts are cut there; each different piece is encoded by the library once
     and then looked up.  New pieces that start with white space, but hold more, are encoded in one string,
-    whose ids are dealt back by the bytes they stand for; should a token cross a join, they are encoded one by one.  Texts with other white space than ASCII's, or with a
-    special token's mark, are encoded whole.
+    whose ids are dealt back by the bytes they stand for; should a token cross a join, they are encoded one
+    by one.  Texts with other white space than ASCII's, or with a special token's mark, are encoded whole.
+    The result is that of encoding each whole text, but that pieces are known by a 64-bit hash: two
+    different pieces in one worker's memory share one with a probability of about 2**-64 a pair.
     """
 
     def __init__(self, path: str):
@@ -154,7 +159,7 @@ class Encoder:
         marked = pc.match_substring_regex(column, _UNUSUAL)
         unusual = marked.to_numpy(zero_copy_only=False)
         plain = pc.if_else(marked, pa.scalar("", column.type), column) if unusual.any() else column
-        for a, b, data, offsets in chunks(plain, 2 << 20):
+        for a, b, data, offsets in chunks(plain):
             ids, bounds = self._lookup(data, offsets)
             odd = np.flatnonzero(unusual[a:b])
             if len(odd):
@@ -230,6 +235,26 @@ def _chunked(path: str, end_id: int):
     return run
 
 
+def _root(names: F.Column) -> F.Column:
+    """The root of a recipe: the joint hash of its chunks' names."""
+    return F.sha2(F.array_join(F.transform(names, lambda x: F.hex(x)), "").cast("binary"), 256)
+
+
+def _tree(leaves: DataFrame) -> DataFrame:
+    """leaves: (doc_id, start, n_tokens, root).  All nodes over them, as (level, node, first_doc, last_doc, documents, n_tokens, root).
+
+    A node has at most 2**LEAF documents, or FAN nodes, below it.
+    """
+    level, step = leaves.select("doc_id", F.col("doc_id").alias("last"), F.lit(1).cast("long").alias("documents"), "n_tokens", F.col("start").alias("at"), "root"), 1 << LEAF
+    levels: list[DataFrame] = []
+    while not levels or level.limit(2).count() > 1:
+        roots = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "root"))), lambda x: x["root"]), "")
+        over = level.groupBy(F.floor(F.col("at") / step).alias("at")).agg(F.min("doc_id").alias("doc_id"), F.max("last").alias("last"), F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.sha2(roots.cast("binary"), 256).alias("root"))
+        level, step = cut(over), FAN
+        levels.append(level.select(F.lit(len(levels) + 1).alias("level"), F.col("at").alias("node"), F.col("doc_id").alias("first_doc"), F.col("last").alias("last_doc"), "documents", "n_tokens", "root"))
+    return reduce(DataFrame.unionAll, levels)
+
+
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encodes docs (doc_id, text; other columns are ignored) into a store at `folder`.
 
@@ -241,8 +266,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
     staged = f"{folder}/_encoded"
     encoded.withColumn("row", F.monotonically_increasing_id()).write.parquet(staged, compression="none")
     encoded = spark.read.parquet(staged)
-    recipes = encoded.select("doc_id", "n_tokens", F.col("parts.hash").alias("chunks"))
-    recipes = recipes.withColumn("root", F.sha2(F.concat(F.lit(b"").cast("binary"), F.array_join(F.transform("chunks", lambda x: F.hex(x)), "").cast("binary")), 256))
+    recipes = encoded.select("doc_id", "n_tokens", F.col("parts.hash").alias("chunks")).withColumn("root", _root(F.col("chunks")))
     placed = running_total(recipes, ["doc_id", "root"], "n_tokens", "start")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = placed.repartitionByRange(n, "start", "doc_id").sortWithinPartitions("start", "doc_id")
@@ -253,9 +277,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
     copies = cut(named.join(first, "hash").where(F.struct("row", "pos") != F.col("first")).select("row", "pos"))
     parts = encoded.select("row", F.posexplode("parts").alias("pos", "p")).join(if_small(copies), ["row", "pos"], "left_anti")
     parts.select("p.hash", "p.ids").write.parquet(f"{folder}/chunks", compression="none")
-    runs = spark.read.parquet(f"{folder}/recipes").withColumn("run", F.floor(F.col("start") / (1 << 22)))
-    leaves = runs.groupBy("run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("documents"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"]), "").cast("binary"), 256).alias("root"))
-    leaves.write.parquet(f"{folder}/manifest")
+    discard(spark, staged)
+    _tree(spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", "n_tokens", "root")).write.parquet(f"{folder}/manifest")
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,9 +373,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) per document, read back from the store.
 
-    Each stored chunk is read and checked once; a document's CRC-32 follows from those of its chunks,
-    so no chunk crosses the shuffle.  rebuild() gives the same by putting the ids together.
+    The recipes are checked against the manifest first: a ValueError if any root or node differs.  Each
+    stored chunk is read and checked once; a document's CRC-32 follows from those of its chunks, so no
+    chunk crosses the shuffle.  rebuild() gives the same by putting the ids together.
     """
+    if wrong := verify_manifest(spark, folder).limit(1).collect():
+        raise ValueError(f"the recipes do not give the manifest: level {wrong[0]['level']}, node {wrong[0]['node']}")
     read = spark.read.parquet(f"{folder}/chunks").mapInArrow(_read_chunks, "hash binary, size long, crc long")
     named = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", F.posexplode("chunks").alias("pos", "hash"))
     parts = named.join(read, "hash", "left").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "size", "crc"))).alias("parts"))
@@ -360,10 +386,11 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs of the manifest whose root does not follow from the recipes (none in a sound store)."""
-    runs = spark.read.parquet(f"{folder}/recipes").withColumn("run", F.floor(F.col("start") / (1 << 22)))
-    again = runs.groupBy("run").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"]), "").cast("binary"), 256).alias("again"))
-    return spark.read.parquet(f"{folder}/manifest").join(again, "run", "full").where("not (root <=> again)")
+    """(level, node) of the manifest's nodes that do not follow from the recipes' chunks (none in a sound store)."""
+    again = _tree(spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", "n_tokens", _root(F.col("chunks")).alias("root")))
+    same = F.struct("first_doc", "last_doc", "documents", "n_tokens", "root")
+    there = spark.read.parquet(f"{folder}/manifest").select("level", "node", same.alias("there"))
+    return there.join(again.select("level", "node", same.alias("again")), ["level", "node"], "full").where(~F.col("there").eqNullSafe(F.col("again"))).select("level", "node")
 
 
 def default_tokenizer() -> str:
@@ -373,10 +400,4 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint directory."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/token-store-{uuid.uuid4().hex}"
-
-
-__all__ = ["cut", "default_tokenizer", "digests", "read_documents", "scratch_folder", "verify_manifest", "write_store"]
+__all__ = ["default_tokenizer", "digests", "read_documents", "verify_manifest", "write_store"]

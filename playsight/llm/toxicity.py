@@ -1,9 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text are its lower-cased words and their leading 4, 5 and 6 bytes, each a 64-bit hash.
-The FEATURES terms that best tell the labelled training rows apart (by chi-squared) are the inputs,
-as present or absent.  A factorization machine gives each a weight and a vector; the products of
-the vectors of two present terms add what only the pair says.  It is fitted by Spark ML on at most
+Terms of a text are its lower-cased words, their leading 4, 5 and 6 bytes, and every two successive
+characters of scripts that are written without spaces, each a 64-bit hash.  The FEATURES terms that
+best tell the labelled training rows apart (by chi-squared, counted over all of those rows) are the
+inputs, as present or absent.  A factorization machine gives each a weight and a vector; the products
+of the vectors of two present terms add what only the pair says.  It is fitted by Spark ML on at most
 2 * SAMPLE labelled rows, and every text is scored inside the scan that reads it.
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import FMClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +25,11 @@ from playsight.llm.textkit import _BYTE_CODE, LOWER, NON_ALNUM, Words, _power_ta
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 4000
-FEATURES = 512
+FEATURES = 8192
 FACTORS = 4
 PREFIXES = (4, 5, 6)
+#: Lead bytes of the three-byte characters of scripts without spaces (kana, ideographs, hangul), first and last.
+UNSPACED = (0xE3, 0xED)
 _TABLE_BITS = 20
 
 
@@ -48,6 +51,14 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         start = words.start[long]
         found.append(mix((total[start + n] - total[start]) * down[start]) ^ np.uint64(n))
         at.append(rows[long])
+    wide = (data >= UNSPACED[0]) & (data <= UNSPACED[1])
+    if wide.any():
+        start = np.flatnonzero(wide[:-5] & wide[3:-2]) if len(data) > 5 else np.zeros(0, np.int64)
+        row = np.searchsorted(offsets, start, "right") - 1
+        inside = start + 6 <= offsets[row + 1]
+        start, row = start[inside], row[inside]
+        found.append(mix((total[start + 6] - total[start]) * down[start]) ^ np.uint64(2))
+        at.append(row)
     return np.concatenate(found), np.concatenate(at)
 
 
@@ -65,33 +76,35 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Inputs:
-    """Which of the chosen terms each text has."""
+    """Which of the chosen terms each text has: (row, place of the term), each pair once."""
 
     def __init__(self, terms: np.ndarray):
         self.terms = np.sort(terms.astype(np.int64).view(np.uint64))
         self.maybe = np.zeros(1 << _TABLE_BITS, bool)
         self.maybe[(self.terms >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found, rows = _terms(data, offsets)
         near = np.flatnonzero(self.maybe[(found >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
         found, rows = found[near], rows[near]
-        out = np.zeros((len(offsets) - 1, max(1, len(self.terms))), np.float32)
-        if len(self.terms):
-            at = np.minimum(np.searchsorted(self.terms, found), len(self.terms) - 1)
-            same = self.terms[at] == found
-            out[rows[same], at[same]] = 1
-        return out
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, found), len(self.terms) - 1)
+        same = self.terms[at] == found
+        pairs = np.unique(rows[same].astype(np.int64) * len(self.terms) + at[same])
+        return pairs // len(self.terms), pairs % len(self.terms)
 
 
-def _vectors(terms: np.ndarray):
+def _present(terms: np.ndarray):
+    """(doc_id, label, present): the places of the terms that a text has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inputs = _Inputs(terms)
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(1)):
-                x = inputs(data, offsets).astype(np.float64)
-                bounds = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a).cast(pa.float64()), pa.ListArray.from_arrays(bounds, pa.array(x.ravel()))], names=["doc_id", "label", "x"])
+                rows, at = inputs(data, offsets)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)), pa.array(at).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a).cast(pa.float64()), lists], names=["doc_id", "label", "present"])
 
     return run
 
@@ -101,10 +114,12 @@ def _scored(terms: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndar
         inputs = _Inputs(terms)
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(1)):
-                x = inputs(data, offsets)
-                pairs = ((x @ factors) ** 2 - x @ factors**2).sum(axis=1) / 2  # x is 0 or 1, so x * x is x
-                z = np.clip(bias + x @ linear + pairs, -40, 40)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array((1 / (1 + np.exp(-z))).astype(np.float64))], names=["doc_id", "score"])
+                rows, at = inputs(data, offsets)
+                z = bias + np.bincount(rows, linear[at], b - a)
+                for f in range(factors.shape[1]):  # terms are present or absent, so the square of an input is itself
+                    z += (np.bincount(rows, factors[at, f], b - a) ** 2 - np.bincount(rows, factors[at, f] ** 2, b - a)) / 2
+                z = np.clip(z, -40, 40)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
 
     return run
 
@@ -124,27 +139,30 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fe
     if n and bad in (0, n):
         bias = 40.0 if bad else -40.0
     elif n:
+        every = docs.join(if_small(cut(known)), "doc_id").select("doc_id", "text", "toxic")
+        terms = _chosen_terms(every, bad, n - bad, features)
         order = F.xxhash64("doc_id", F.lit("sample"))
         picked = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
-        picked = cut(picked[0].unionAll(picked[1]))
-        rows = cut(docs.join(if_small(picked), "doc_id").select("doc_id", "text", "toxic"))
-        terms = _chosen_terms(rows, features)
-        vectors = cut(rows.mapInArrow(_vectors(terms), "doc_id long, label double, x array<double>").select("doc_id", "label", array_to_vector("x").alias("features")).coalesce(4))
+        picked = if_small(cut(picked[0].unionAll(picked[1])))
+        rows = docs.join(picked, "doc_id").select("doc_id", "text", "toxic").mapInArrow(_present(terms), "doc_id long, label double, present array<string>")
+        counter = CountVectorizerModel.from_vocabulary([str(k) for k in range(max(1, len(terms)))], inputCol="present", outputCol="features").setBinary(True)
+        vectors = cut(counter.transform(rows).select("doc_id", "label", "features").coalesce(4))
         share = vectors.agg(F.avg("label")).first()[0]
-        machine = FMClassifier(factorSize=FACTORS, maxIter=80, stepSize=0.1, regParam=0.001, initStd=0.05, seed=7, solver="adamW").fit(vectors)
-        linear, factors = machine.linear.toArray(), machine.factors.toArray()
-        # fitted on a balanced sample: shift to the share of the labels
-        bias = machine.intercept + math.log(bad / (n - bad)) - math.log(max(share, 1e-9) / max(1 - share, 1e-9))
-    scored = docs.mapInArrow(_scored(terms, float(bias), linear.astype(np.float32), factors.astype(np.float32)), "doc_id long, score double")
+        if share is not None and 0 < share < 1:
+            machine = FMClassifier(factorSize=FACTORS, maxIter=80, stepSize=0.1, regParam=0.001, initStd=0.05, seed=7, solver="adamW").fit(vectors)
+            linear, factors = machine.linear.toArray(), machine.factors.toArray()
+            # fitted on a balanced sample: shift to the share of the labels
+            bias = machine.intercept + math.log(bad / (n - bad)) - math.log(share / (1 - share))
+        else:  # labelled texts of one kind only, or none, are there
+            terms, bias = np.zeros(0, np.int64), math.log(bad / (n - bad))
+    scored = docs.mapInArrow(_scored(terms, float(bias), linear, factors), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _chosen_terms(rows: DataFrame, features: int) -> np.ndarray:
-    """The `features` terms with the largest chi-squared statistic on the (bounded) sample."""
+def _chosen_terms(rows: DataFrame, bad: int, good: int, features: int) -> np.ndarray:
+    """The `features` terms with the largest chi-squared statistic over all training rows, of which `bad` are toxic."""
     per = rows.mapInArrow(_counted, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    per = per.where("bad + good >= 5")
-    size = rows.agg(F.sum("toxic").alias("nb"), F.sum(1 - F.col("toxic")).alias("ng"))
-    a, b = F.col("bad") / F.col("nb"), F.col("good") / F.col("ng")
+    a, b = F.col("bad") / F.lit(bad), F.col("good") / F.lit(good)
     stat = (a - b) ** 2 / (a + b + 0.002)
-    top = per.crossJoin(F.broadcast(size)).select("term", stat.alias("stat")).orderBy(F.desc("stat"), "term").limit(features)
+    top = per.where("bad + good >= 5").select("term", stat.alias("stat")).orderBy(F.desc("stat"), "term").limit(features)
     return np.array([r[0] for r in top.select("term").collect()], np.int64)

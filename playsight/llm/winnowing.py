@@ -26,14 +26,9 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def words_of(text: Column, exact: bool = True) -> Column:
-    """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of a lower-cased text; null has none.
-
-    exact lower-cases A-Z only; otherwise the faster Unicode lower-casing is used, under which
-    texts that are equal stay equal, so that it may serve to find candidates.
-    """
-    text = F.coalesce(text, F.lit(""))
-    lowered = F.translate(text, _UPPER, _UPPER.lower()) if exact else F.lower(text)
+def words_of(text: Column) -> Column:
+    """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of a text, A-Z lower-cased; null has none."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
     return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
@@ -61,11 +56,10 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int =
     docs = docs.select("doc_id", "text").withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     items = cut(benchmark.select("item_id", words_of(F.col("text")).alias("w")).where("size(w) > 0 and item_id is not null"))
     window = span - k + 1
-    loose = benchmark.where("item_id is not null").select("item_id", words_of(F.col("text"), exact=False).alias("w")).where(F.size("w") >= span)
-    prints = cut(_fingerprints(loose, k, window).select(F.explode("fp").alias("fp")).distinct())
+    prints = cut(_fingerprints(items.where(F.size("w") >= span), k, window).select(F.explode("fp").alias("fp")).distinct())
     lengths = [r[0] for r in items.where(F.size("w") < span).select(F.size("w").alias("n")).distinct().collect()]  # fewer than span numbers
 
-    with_words = docs.select("doc_id", "th", F.explode(F.array(words_of(F.col("text"), exact=False))).alias("w"))
+    with_words = docs.select("doc_id", "th", F.explode(F.array(words_of(F.col("text")))).alias("w"))
     marked = _fingerprints(with_words.withColumn("n_words", F.size("w")), k, window)
     tried = marked.select("doc_id", "th", "n_words", F.explode_outer("fp").alias("fp"))
     joined = tried.join(if_small(prints.withColumn("is_hit", F.lit(1))), "fp", "left")
