@@ -44,17 +44,17 @@ def shrinkage_constant(reliability: Column, n: Column) -> Column:
 
 
 def dispatch(events: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
-    """One pass over (keys, trait, week, n, d): each trait aggregated by its rule.
+    """One pass over (keys, trait, week, n, d): each trait aggregated by its rule, a row feeding only its own.
 
     rate and share: sum n / sum d; quantile20: 20th percentile of n / d with at least 4 rows; latest: n of the last week.
     """
-    ratio = safe_div("n", "d")
+    kind = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])[F.col("trait")]
+    ratio = F.when(kind == "quantile20", safe_div("n", "d"))
     agg = events.groupBy(*keys, "trait").agg(
         safe_div(F.sum("n"), F.sum("d")).alias("_rate"),
         F.when(F.count(ratio) >= 4, F.percentile(ratio, 0.2)).alias("_q"),
-        F.max_by("n", "week").alias("_latest"),
+        F.max_by(F.when(kind == "latest", F.col("n")), "week").alias("_latest"),
         F.count_distinct("week").alias("games"),
     )
-    kind = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])[F.col("trait")]
     value = F.when(kind == "quantile20", F.col("_q")).when(kind == "latest", F.col("_latest")).otherwise(F.col("_rate"))
     return agg.select(*keys, "trait", "games", value.alias("value"))
