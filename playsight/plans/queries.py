@@ -15,6 +15,7 @@ from playsight.operators import ledger as L
 from playsight.operators import ratio as R
 from playsight.operators import stats as S
 from playsight.operators import windows as X
+from playsight.plans import builders, traits
 from playsight.plans.bindings import EV, OF, PR, UD, offers, projections, ratio_events, table, user_days
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -632,3 +633,8 @@ def newer_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("corr_guarded", "SELECT l_suppkey, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY ALL")
 def corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(r(guarded_corr("l_quantity", "l_extendedprice")).alias("r"))
+
+
+for _more in (traits, builders):
+    QUERIES.update(_more.QUERIES)
+    SQL.update(_more.SQL)

@@ -20,7 +20,7 @@ COLUMNS = {
     "team": f"cast({_TEAM} as bigint)", "opponent": f"cast({_OTHER} as bigint)",
     "kind": "case when l_linenumber <= 3 then 'pass' when l_linenumber <= 5 then 'run' when l_linenumber = 6 then 'field_goal' else 'punt' end",
     "qtr": "cast(1 + l_orderkey % 4 as int)", "down": "cast(1 + (l_orderkey + l_linenumber) % 4 as int)", "togo": "cast(1 + l_partkey % 14 as int)", "yardline": "cast(1 + l_partkey % 99 as int)",
-    "yards": "cast(floor(l_quantity) as int) - 12", "epa": "cast((floor(l_quantity) - 16) / 8.0 as double)", "wpa": "cast((floor(l_quantity) - 16) / 128.0 as double)", "success": _FLAG.format("l_quantity > 16"),
+    "yards": "cast(floor(l_quantity) as int) - 12", "epa": "(floor(l_quantity) - 16) * cast(0.125 as double)", "wpa": "(floor(l_quantity) - 16) * cast(0.0078125 as double)", "success": _FLAG.format("l_quantity > 16"),
     "cpoe": "case when l_linenumber <= 3 and l_orderkey % 5 <> 0 then cast(l_partkey % 41 - 20 as double) end", "complete": _FLAG.format("l_returnflag <> 'R'"),
     "interception": _FLAG.format("l_linenumber <= 3 and l_partkey % 37 = 0"), "sack": _FLAG.format("l_linenumber <= 3 and l_returnflag = 'R' and l_orderkey % 3 = 0"), "hit": _FLAG.format("l_linenumber <= 3 and l_partkey % 6 = 0"),
     "scramble": _FLAG.format("l_linenumber <= 3 and l_partkey % 11 = 0"), "special": _FLAG.format("l_linenumber >= 6"), "fumble": _FLAG.format("l_partkey % 23 = 0"), "half_left": "cast((l_orderkey * 7) % 1800 as int)",
