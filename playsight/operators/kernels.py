@@ -16,18 +16,18 @@ def two_sided_ridge(games: DataFrame, offense: str, defense: str, value: str, we
     """
     pairs = games.groupBy(offense, defense).agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(value)).alias("wy"))
     sides = pairs.select(F.col(offense).alias("side")).union(pairs.select(F.col(defense))).distinct()
-    if sides.limit(2001).count() > 2000:
-        raise ValueError("two_sided_ridge solves densely for at most 2000 sides")
+    if sides.limit(501).count() > 500:
+        raise ValueError("two_sided_ridge solves densely for at most 500 sides")
     rows = pairs.toPandas().sort_values([offense, defense])
     names = sorted({*rows[offense], *rows[defense]})
-    at = {x: i for i, x in enumerate(names)}
     k = len(names)
     gram, right = np.zeros((2 * k + 1, 2 * k + 1)), np.zeros(2 * k + 1)
-    for o, d, w, wy in rows.itertuples(index=False):
-        x = np.array([0, 1 + at[o], 1 + k + at[d]])
-        s = np.array([1.0, 1.0, -1.0])
-        gram[np.ix_(x, x)] += w * np.outer(s, s)
-        right[x] += wy * s
+    x = np.stack([np.zeros(len(rows), np.int64), 1 + np.searchsorted(names, rows[offense]), 1 + k + np.searchsorted(names, rows[defense])])
+    sign, w = np.array([1.0, 1.0, -1.0]), rows["w"].to_numpy(float)
+    for i in range(3):
+        np.add.at(right, x[i], sign[i] * rows["wy"].to_numpy(float))
+        for j in range(3):
+            np.add.at(gram, (x[i], x[j]), sign[i] * sign[j] * w)
     gram[np.arange(1, 2 * k + 1), np.arange(1, 2 * k + 1)] += penalty
     beta = np.linalg.solve(gram, right) if k else right
     out = pd.DataFrame({"side": names, "off": beta[1 : k + 1], "def": beta[k + 1 :], "base": beta[0]})

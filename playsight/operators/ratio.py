@@ -25,6 +25,17 @@ def with_without(rows: DataFrame, keys: list[str], value: str, present: str, shr
     return both.select(*keys, F.col("p").alias("n_present"), F.col("a").alias("n_absent"), effect.alias("effect"))
 
 
+def with_without_totals(present: DataFrame, games: DataFrame, keys: list[str], value: str, shrink: float = 6.0, least_present: int = 3) -> DataFrame:
+    """The same from the rows present alone: absences are all games less those present, so no grid of keys and games is built."""
+    own = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("p"), F.sum(value).alias("sp"))
+    whole = games.agg(F.count(F.lit(1)).alias("t"), F.sum(value).alias("st"))  # one row
+    both = own.crossJoin(F.broadcast(whole)).withColumn("a", F.col("t") - F.col("p"))
+    pa = F.col("p") * F.col("a")
+    gap = safe_div(F.col("st") - F.col("sp"), F.col("a").cast("double")) - safe_div("sp", F.col("p").cast("double"))
+    effect = F.when((F.col("p") >= least_present) & (F.col("a") > 0), gap * pa / (pa + shrink))
+    return both.select(*keys, F.col("p").alias("n_present"), F.col("a").alias("n_absent"), effect.alias("effect"))
+
+
 def decayed_rate(events: DataFrame, keys: list[str], week: str, half_life: float) -> DataFrame:
     """Rate with weights 0.5 ** (weeks before the last / half_life)."""
     last = events.agg(F.max(week).alias("_last"))

@@ -101,3 +101,68 @@ def decayed_state(df: DataFrame, key: str, clock: str, gained: str, plays: str,
 def centred_mean(value: str, keys: Keys, order: str, reach: int) -> Column:
     """Mean over `reach` rows on each side, fewer at the ends."""
     return F.avg(value).over(W.partitionBy(*keys).orderBy(order).rowsBetween(-reach, reach))
+
+
+def z_scored(df: DataFrame, keys: Keys, value: str, out: str, most: float = 3.0) -> DataFrame:
+    """df with `out`, the clipped standard score within keys: one small aggregate joined back, so that no group meets in a task."""
+    stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_sd"))
+    z = F.when(F.col("_sd") > 0, safe_div(F.col(value) - F.col("_m"), F.col("_sd")))
+    return _met(df, stats, keys).withColumn(out, F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce(z, F.lit(0.0))))).drop("_m", "_sd")
+
+
+def group_shared(df: DataFrame, keys: Keys, value: str) -> DataFrame:
+    """df with `share` of the group's sum and the group's `mean`."""
+    stats = df.groupBy(*keys).agg(F.sum(value).alias("_s"), F.avg(value).alias("mean"))
+    return _met(df, stats, keys).withColumn("share", safe_div(value, "_s")).drop("_s")
+
+
+def _met(df: DataFrame, stats: DataFrame, keys: Keys) -> DataFrame:
+    """df with the row of `stats` of its keys; NULL keys meet too."""
+    other = stats.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in stats.columns if c not in keys])
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        on = same if on is None else on & same
+    return df.join(other, on, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def percentiled(df: DataFrame, keys: Keys, value: str, out: str) -> DataFrame:
+    """df with `out` = 100 * (average rank - 1) / (n - 1) within keys; 100 for a single row.
+
+    Values are counted first, and the window runs over different values only; rows take theirs by a join.
+    """
+    per = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    below = F.coalesce(F.sum("_c").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    n = F.sum("_c").over(W.partitionBy(*keys))
+    rank = below + (F.col("_c") + 1) / 2.0
+    table = per.select(*keys, value, F.when(n == 1, F.lit(100.0)).otherwise(100.0 * (rank - 1) / F.nullif(n - 1, F.lit(0))).alias(out))
+    return _met(df, table, [*keys, value])
+
+
+def prior_median(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
+    """(key, day, median): the median of all values of strictly earlier days, for each day that has a row.
+
+    A day's value counts as many earlier ones as there are: with the rank of each (key, value) known
+    once, the median of a prefix of days is found from counts per day and slice of ranks, in two
+    steps: the slice that holds the middle, then the values inside it.
+    """
+    counts = df.groupBy(key, day, value).agg(F.count(F.lit(1)).alias("c"))
+    sizes = counts.groupBy(key).agg(F.count_distinct(value).alias("_u"))
+    place = F.dense_rank().over(W.partitionBy(key).orderBy(value)) - 1
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt("_u"))).cast("int")
+    ranked = counts.join(sizes, key).withColumn("slice", F.floor(place / width).cast("int")).select(key, day, value, "c", "slice")
+    days = df.select(key, day).distinct()
+    # rows in each slice before each day
+    grid = days.join(ranked.select(key, "slice").distinct(), key).join(ranked.groupBy(key, day, "slice").agg(F.sum("c").alias("c")), [key, day, "slice"], "left")
+    before = F.coalesce(F.sum("c").over(W.partitionBy(key, "slice").orderBy(day).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    grid = grid.select(key, day, "slice", before.alias("b"))
+    run = W.partitionBy(key, day).orderBy("slice").rowsBetween(W.unboundedPreceding, 0)
+    total = F.sum("b").over(W.partitionBy(key, day))
+    upto = grid.select(key, day, "slice", "b", F.sum("b").over(run).alias("upto"), total.alias("n"))
+    wanted = upto.where("n > 0").select(key, day, "slice", "b", "upto", "n", F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("k"))
+    wanted = wanted.where("k < upto and k >= upto - b").withColumn("at", F.col("k") - (F.col("upto") - F.col("b")))
+    inside = wanted.join(ranked.select(F.col(key).alias("_k"), F.col(day).alias("_d"), F.col("slice").alias("_s"), value, "c"), (F.col(key) == F.col("_k")) & (F.col("slice") == F.col("_s")) & (F.col("_d") < F.col(day)))
+    per = inside.groupBy(key, day, "at", value).agg(F.sum("c").alias("c"))
+    passed = F.sum("c").over(W.partitionBy(key, day, "at").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    found = per.withColumn("passed", passed).where("at < passed and at >= passed - c").groupBy(key, day).agg(F.avg(value).alias("median"))
+    return days.join(found, [key, day], "left")

@@ -108,6 +108,11 @@ def expectation_tables(spark, sf_dir):
     return rows.select("season", F.col("_b0").alias("kind"), F.col("_b1").alias("down"), F.col("_b2").alias("togo_bucket"), r("expected", 6).alias("expected"))
 
 
+@query("P4_line_yards", f"WITH {PL} SELECT team, week, round(avg(CASE WHEN yards < 0 THEN 1.2 * yards WHEN yards <= 4 THEN yards WHEN yards <= 10 THEN 4 + 0.5 * (yards - 4) ELSE 7 END), 6) AS credited, count(*) FILTER (yards < 0) AS losses FROM pl GROUP BY ALL")
+def line_yards(spark, sf_dir):
+    return plays(spark, sf_dir).groupBy("team", "week").agg(r(F.avg(B.line_yards()), 6).alias("credited"), F.count_if(F.col("yards") < 0).alias("losses"))
+
+
 @query("P3_P5_situations", f"""WITH {PL} SELECT team, count(*) FILTER (kind IN ('pass', 'run')) AS scrimmage, count(*) FILTER (down >= 3) AS late, count(*) FILTER (togo <= 2 AND down >= 3) AS short, count(*) FILTER (half_left <= 120 AND qtr IN (2, 4)) AS two_minute,
 count(DISTINCT CAST(game AS VARCHAR) || ':' || CAST(ord AS VARCHAR)) AS keys FROM pl GROUP BY team""")
 def situations(spark, sf_dir):

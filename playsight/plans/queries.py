@@ -61,7 +61,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region"))
     rows = value.join(home, "l_suppkey").join(nation, "s_nationkey")
-    return rows.select("l_suppkey", "region", "value", r(X.percentile_within("value", ["region"])).alias("percentile"))
+    return X.percentiled(rows, ["region"], "value", "percentile").select("l_suppkey", "region", "value", r("percentile").alias("percentile"))
 
 
 @query("W1_prior_rate", f"""WITH {EV}, wk AS (SELECT l_suppkey, week, sum(n) AS n, sum(d) AS d FROM ev GROUP BY ALL)
@@ -80,7 +80,7 @@ def exclusive_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("W5_z_score", """WITH c AS (SELECT c_custkey, c_mktsegment, c_acctbal, avg(c_acctbal) OVER w AS m, stddev_samp(c_acctbal) OVER w AS s FROM customer WINDOW w AS (PARTITION BY c_mktsegment))
 SELECT c_custkey, round(greatest(-3.0, least(3.0, coalesce(CASE WHEN s > 0 THEN (c_acctbal - m) / s END, 0.0))), 6) AS z FROM c""")
 def z_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", r(X.z_score("c_acctbal", ["c_mktsegment"])).alias("z"))
+    return X.z_scored(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", "z").select("c_custkey", r("z").alias("z"))
 
 
 @query("W6_alternation", "SELECT event_id, (row_number() OVER w - 1) % 2 AS half, row_number() OVER w AS place, count(*) OVER (PARTITION BY user_id) AS size FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -92,7 +92,8 @@ def alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W7_group_share", "SELECT c_custkey, round(c_acctbal / nullif(sum(c_acctbal) OVER (PARTITION BY c_nationkey), 0), 6) AS share, round(avg(c_acctbal) OVER (PARTITION BY c_nationkey), 4) AS imputed FROM customer")
 def group_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", r(X.share_of_group("c_acctbal", ["c_nationkey"])).alias("share"), r(F.avg("c_acctbal").over(W.partitionBy("c_nationkey")), 4).alias("imputed"))
+    out = X.group_shared(table(spark, sf_dir, "customer"), ["c_nationkey"], "c_acctbal")
+    return out.select("c_custkey", r("share").alias("share"), r("mean", 4).alias("imputed"))
 
 
 @query("W8_group_latest_week", f"WITH {EV} SELECT DISTINCT l_suppkey, max(week) OVER (PARTITION BY l_suppkey) AS latest FROM ev")
@@ -122,12 +123,8 @@ def week_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("W11_prior_median", """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, value FROM events), k AS (SELECT DISTINCT event_type, day FROM d)
 SELECT k.event_type, k.day, round(quantile_cont(d.value, 0.5), 6) AS median FROM k LEFT JOIN d ON d.event_type = k.event_type AND d.day < k.day GROUP BY ALL""")
 def prior_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # per (type, day) the sorted values' counts would do for large days; here the range join is over days only
     d = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "value")
-    keys = d.select("event_type", "day").distinct()
-    past = d.groupBy(F.col("event_type").alias("_t"), F.col("day").alias("_d"), "value").agg(F.count(F.lit(1)).alias("c"))
-    joined = keys.join(past, (F.col("event_type") == F.col("_t")) & (F.col("_d") < F.col("day")), "left")
-    return joined.groupBy("event_type", "day").agg(r(F.expr("percentile(value, 0.5, coalesce(c, 1))")).alias("median"))
+    return X.prior_median(d, "event_type", "day", "value").select("event_type", "day", r("median").alias("median"))
 
 
 @query("W12_running_max", f"WITH {UD} SELECT user_id, day, round(max(n) OVER (PARTITION BY user_id ORDER BY day), 6) AS best FROM ud")
@@ -158,9 +155,10 @@ def rank_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W19_fringe", "WITH k AS (SELECT c_mktsegment, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS p, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_mktsegment, c_acctbal AS fringe FROM k WHERE p = least(32, n)")
 def fringe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = W.partitionBy("c_mktsegment")
-    k = table(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal", F.row_number().over(seg.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("p"), F.count(F.lit(1)).over(seg).alias("n"))
-    return k.where("p = least(32, n)").select("c_mktsegment", F.col("c_acctbal").alias("fringe"))
+    # only the 32 best matter: each part of a segment keeps its own first, then they are ranked together
+    c = table(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal", "c_custkey").withColumn("part", F.pmod(F.xxhash64("c_custkey"), F.lit(64)))
+    best = lambda df, *keys: df.withColumn("p", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("c_acctbal"), "c_custkey"))).where("p <= 32")
+    return best(best(c, "c_mktsegment", "part"), "c_mktsegment").groupBy("c_mktsegment").agg(F.max_by("c_acctbal", "p").alias("fringe"))
 
 
 # ---- ratio aggregations -----------------------------------------------------------------------
@@ -195,9 +193,8 @@ SELECT user_id, p AS n_present, a AS n_absent, round(CASE WHEN p >= 3 AND a > 0
 def with_without(spark: SparkSession, sf_dir: str) -> DataFrame:
     ud = user_days(spark, sf_dir)
     days = ud.groupBy("day").agg(F.sum("n").alias("v"))
-    grid = ud.select("user_id").distinct().crossJoin(F.broadcast(days))  # a row a day on the broadcast side
-    rows = grid.join(ud.select("user_id", "day", F.lit(True).alias("here")), ["user_id", "day"], "left").withColumn("present", is_true(F.col("here")))
-    return R.with_without(rows, ["user_id"], "v", "present").select("user_id", "n_present", "n_absent", r("effect").alias("effect"))
+    present = ud.select("user_id", "day").join(days, "day")
+    return R.with_without_totals(present, days, ["user_id"], "v").select("user_id", "n_present", "n_absent", r("effect").alias("effect"))
 
 
 @query("A12_role_shares", """WITH s AS (SELECT l_orderkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS pr FROM lineitem),
@@ -379,10 +376,10 @@ def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(urgent, "c_custkey", "left_semi")
 
 
-@query("J6_anti_join", "SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("J6_anti_join", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 100000)")
 def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand").join(back, "p_partkey", "left_anti")
+    seen = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(seen, "c_custkey", "left_anti")
 
 
 @query("J7_coalescing_full_outer", """WITH a AS (SELECT user_id, max(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY ALL), b AS (SELECT user_id, max(value) AS v FROM events WHERE event_type = 'click' AND value > 50 GROUP BY ALL), c AS (SELECT user_id, min(value) AS v FROM events GROUP BY ALL)
@@ -443,9 +440,9 @@ def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "checkpoint").agg(r(F.sum(F.when(early, F.col("n")))).alias("before"), r(F.sum(F.when(~early, F.col("n")))).alias("after"))
 
 
-@query("J20_unique_mapping", "SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1")
+@query("J20_unique_mapping", "SELECT l_orderkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1")
 def unique_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.unique_mapping(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
+    return J.unique_mapping(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag")
 
 
 @query("K2_latest_row", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS p FROM orders) SELECT o_custkey, o_orderkey, o_orderstatus FROM k WHERE p = 1")

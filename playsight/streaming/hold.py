@@ -24,7 +24,9 @@ def hold_last(events: DataFrame, key: str, within_s: int, late: str = "10 minute
             held.remove()
             return
         ts, price, done = held.get if held.exists else (None, None, False)
-        rows = pd.concat(list(frames)).sort_values(["ts", "kind"])
+        rows = pd.concat(list(frames))
+        # at one time an end comes before quotes, as in the batch form, and the highest quote last
+        rows = rows.assign(_o=rows["kind"].map({"off": 0, "start": 1, "quote": 2})).sort_values(["ts", "_o", "price"])
         out: list[dict[str, Any]] = []
         for r in rows.itertuples(index=False):
             at = r.ts.timestamp()
@@ -36,7 +38,7 @@ def hold_last(events: DataFrame, key: str, within_s: int, late: str = "10 minute
                 done = True
                 if ts is not None and at - within_s <= ts < at:
                     out.append({key: k[0], "start": r.ts, "price": price})
-            elif ts is None or at >= ts:
+            elif ts is None or (at, float(r.price)) >= (ts, price):
                 ts, price = at, float(r.price)
         held.update((ts, price, done))
         held.setTimeoutTimestamp(int((rows["ts"].max().timestamp() + 86_400) * 1000))

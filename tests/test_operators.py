@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,23 +14,55 @@ from playsight.functions.nulls import safe_div
 from playsight.operators import joins as J
 from playsight.operators import kernels as K
 from playsight.operators import simulate
+from playsight.operators import stats as S
 from playsight.operators import windows as X
 from playsight.sources import tables as T
 from playsight.streaming import hold
 
 
 def test_opponent_adjustment_sees_only_earlier_weeks(spark):
-    schema = "team string, opponent string, week int, n double, d double"
-    events = [("A", "B", 1, 1.0, 1.0), ("A", "B", 2, 0.0, 1.0), ("A", "B", 3, 1.0, 1.0), ("X", "C", 1, 0.0, 1.0), ("X", "C", 2, 0.0, 1.0), ("X", "C", 3, 0.0, 1.0)]
-
-    def adjusted(rows):
-        out = X.opponent_adjusted(spark.createDataFrame(rows, schema), "opponent").collect()
-        return {(r["team"], r["week"]): r["n_adj"] for r in out}
-
-    full = adjusted(events)
-    assert [full["A", w] for w in (1, 2, 3)] == [1.0, -0.5, 0.75]
-    early = adjusted([e for e in events if e[2] < 3])
-    assert all(full[k] == v for k, v in early.items())
+    # worked out by hand: against "hard", 4 of 10 were allowed in week 3 and 9 of 20 by week 5; the league stood at 14 of 30 and 22 of 50
+    rows = [("k", "hard", 3, 4.0, 10.0), ("m", "easy", 3, 10.0, 20.0), ("k", "hard", 5, 5.0, 10.0), ("m", "easy", 5, 3.0, 10.0), ("m", "hard", 8, 6.0, 10.0), ("k", "new", 8, 1.0, 2.0)]
+
+    def adjusted(some):
+        frame = spark.createDataFrame(some, "who string, opponent string, week int, n double, d double")
+        return {(r["who"], r["week"]): r["n_adj"] for r in X.opponent_adjusted(frame, "opponent").collect()}
+
+    want = {("k", 3): 4.0, ("m", 3): 10.0, ("k", 5): 5 - 10 * (4 / 10 - 14 / 30), ("m", 5): 3 - 10 * (10 / 20 - 14 / 30), ("m", 8): 6 - 10 * (9 / 20 - 22 / 50), ("k", 8): 1.0}
+    got = adjusted(rows)
+    assert got == pytest.approx(want)
+    # later rows, even in numbers, change nothing before them
+    more = adjusted(rows + [("z", "hard", 9, 99.0, 1.0)] * 50)
+    assert all(more[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_bootstrap_weights_are_poisson_and_draws_agree_with_a_loop(spark):
+    w = S.poisson_weights(np.arange(4000, dtype=np.int64) * 7919, 50, 3)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06
+    rows = [(k % 40, float(k % 7), float(k % 5)) for k in range(400)]
+    got = S.paired_bootstrap(spark.createDataFrame(rows, "g long, a double, b double"), "g", "a", "b", draws=200, seed=5).first()
+    hashes = {r["g"]: r["h"] for r in spark.range(40).select(F.col("id").alias("g"), F.xxhash64("id").alias("h")).collect()}
+    gaps = []
+    for t in range(200):
+        s = c = 0.0
+        for g in range(40):
+            n = S.poisson_weights(np.array([hashes[g]]), 200, 5)[0, t]
+            s += n * sum(a - b for x, a, b in rows if x == g)
+            c += n * sum(x == g for x, _, _ in rows)
+        gaps.append(s / c)
+    assert got["gap"] == pytest.approx(np.mean([a - b for _, a, b in rows]))
+    assert (got["low"], got["high"]) == pytest.approx(tuple(np.quantile(gaps, [0.025, 0.975])))
+
+
+def test_two_sided_ridge_agrees_with_least_squares(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(o), int(d), float(rng.normal()), float(rng.integers(1, 5))) for o, d in rng.integers(0, 6, (200, 2))]
+    got = K.two_sided_ridge(spark.createDataFrame(rows, "o long, d long, y double, w double"), "o", "d", "y", "w", 2.5).toPandas().sort_values("side")
+    x, y, w = np.zeros((200, 13)), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    for i, (o, d, _, _) in enumerate(rows):
+        x[i, 0], x[i, 1 + o], x[i, 7 + d] = 1, 1, -1
+    beta = np.linalg.solve(x.T @ (w[:, None] * x) + np.diag([0.0] + [2.5] * 12), x.T @ (w * y))
+    assert got["off"].to_numpy() == pytest.approx(beta[1:7]) and got["def"].to_numpy() == pytest.approx(beta[7:])
 
 
 def test_safe_division(spark):
@@ -53,8 +86,9 @@ def test_band_join_is_the_cross_join_filtered(spark):
 
 
 def test_contract_value_by_backward_induction(spark):
-    df = spark.createDataFrame([([2.0, 1.0, 0.5], [1.0, 3.0, 3.0], [1.0, 1.0, 0.0]), ([3.0, 3.0, 0.0], [1.0, 1.0, 0.0], [0.0, 0.0, 0.0])], "w array<double>, c array<double>, g array<double>")
-    assert [r["v"] for r in df.select(K.fair_values("w", "c", "g", 0.0).alias("v")).collect()] == pytest.approx([0.0, 4.0])
+    # by hand, last year first.  One: 4-6 is worse than owing 0, so 0; then 5-4+0 = 1, then 7-2+1 = 6.  Two: owes 2 whatever it does, 1-8 is worse
+    df = spark.createDataFrame([([7.0, 5.0, 4.0], [2.0, 4.0, 6.0], [0.0, 0.0, 0.0]), ([1.0], [8.0], [2.0])], "w array<double>, c array<double>, g array<double>")
+    assert [r["v"] for r in df.select(K.fair_values("w", "c", "g", 0.0).alias("v")).collect()] == pytest.approx([6.0, -2.0])
 
 
 def test_locked_places(spark):
@@ -81,11 +115,12 @@ def test_strict_csv_refuses(spark, tmp_path):
 
 def test_hold_last_streams_as_in_batch(spark, tmp_path):
     at = lambda s: dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(seconds=s)
-    rows = [(1, at(10), "quote", 1.5), (1, at(20), "quote", 2.5), (1, at(30), "start", None), (2, at(10), "quote", 9.0), (2, at(15), "off", None), (2, at(30), "start", None), (3, at(0), "quote", 4.0), (3, at(900), "start", None)]
+    rows = [(1, at(10), "quote", 1.5), (1, at(20), "quote", 2.5), (1, at(30), "start", None), (2, at(10), "quote", 9.0), (2, at(15), "off", None), (2, at(30), "start", None), (3, at(0), "quote", 4.0), (3, at(900), "start", None),
+            (4, at(5), "quote", 1.5), (4, at(30), "quote", 7.0), (4, at(30), "start", None), (5, at(8), "quote", 2.0), (5, at(8), "quote", 3.0), (5, at(40), "start", None)]
     events = spark.createDataFrame(rows, "game long, ts timestamp, kind string, price double")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     q = hold.hold_last(stream, "game", 600).writeStream.format("memory").queryName("held").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     batch = hold.hold_last_batch(events, "game", 600).collect()
-    assert sorted((r["game"], r["price"]) for r in spark.table("held").collect()) == sorted((r["game"], r["price"]) for r in batch) == [(1, 2.5)]
+    assert sorted((r["game"], r["price"]) for r in spark.table("held").collect()) == sorted((r["game"], r["price"]) for r in batch) == [(1, 2.5), (4, 1.5), (5, 3.0)]
