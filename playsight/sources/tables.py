@@ -58,3 +58,81 @@ def receipts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, bytes, sha256) of every file of a folder: a write-once manifest of inputs."""
     files = spark.read.format("binaryFile").load(folder)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def listing(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob, sorted; through Hadoop's file system, so any store that Spark reads will do."""
+    fs, where = _files(spark, pattern)
+    return sorted(str(s.getPath().toString()) for s in fs.globStatus(where) or [])
+
+
+def seasons(spark: SparkSession, folder: str, name: str, wanted: list[int], columns: list[str] | None = None) -> DataFrame:
+    """The union of the season files `name`_<season>.parquet that exist; columns that a season lacks are NULL."""
+    have = {p.rsplit("_", 1)[-1].removesuffix(".parquet"): p for p in listing(spark, f"{folder}/{name}_*.parquet")}
+    parts = [scan(spark, have[str(s)], columns) for s in wanted if str(s) in have]
+    if not parts:
+        raise FileNotFoundError(f"no season of {name} in {folder}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def probe(spark: SparkSession, path: str, required: list[str], version: tuple[str, int] | None = None) -> bool:
+    """Whether a table is fresh: its footers have the columns, and no row another version (a pushed-down filter that stops at the first)."""
+    df = spark.read.parquet(path)
+    if not set(required) <= set(df.columns):
+        return False
+    if version is None:
+        return True
+    column, value = version
+    return column in df.columns and df.where(~F.col(column).eqNullSafe(F.lit(value))).isEmpty()
+
+
+def write_atomic(df: DataFrame, path: str) -> None:
+    """Writes beside `path` and renames: a reader sees the old table, or none for a moment, but never half of one."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}.tmp")
+    fs, target = _files(spark, path)
+    _, staged = _files(spark, f"{path}.tmp")
+    fs.delete(target, True)
+    if not fs.rename(staged, target):
+        raise OSError(f"{path} could not be put in place")
+
+
+def replace_rows(df: DataFrame, path: str, target: str, keys: list[str], order: list[str]) -> None:
+    """Writes to `target` the table at `path` with all rows of the keys in df replaced, ranged and sorted by `order`."""
+    spark = df.sparkSession
+    kept = spark.read.parquet(path).join(df.select(*keys).distinct(), keys, "left_anti")
+    kept.unionByName(df, allowMissingColumns=True).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(target)
+
+
+def archive(spark: SparkSession, folder: str, into: str) -> DataFrame:
+    """Copies a folder's files under the SHA-256 of their bytes, each once, and returns their receipts (path, bytes, sha256).
+
+    Files are read and hashed in tasks; what is archived already is never written again.
+    """
+    files = spark.read.format("binaryFile").load(folder).withColumn("sha256", F.sha2("content", 256))
+    fs, where = _files(spark, into)
+    if fs.exists(where):
+        there = spark.read.parquet(into).select("sha256")
+        fresh = files.join(there, "sha256", "left_anti")
+    else:
+        fresh = files
+    fresh.dropDuplicates(["sha256"]).select("sha256", "content").write.mode("append").parquet(into)
+    return files.select("path", F.col("length").alias("bytes"), "sha256")
+
+
+def replace_version(old: DataFrame, fresh: DataFrame, version: str) -> DataFrame:
+    """Evaluation rows with each model version that `fresh` has replaced as a whole."""
+    return old.join(fresh.select(version).distinct(), version, "left_anti").unionByName(fresh)
+
+
+def frozen_at(log: DataFrame, identity: list[str], recorded: str, start: str) -> DataFrame:
+    """The last row of each identity of an append log that was recorded before its start: what was said before the game."""
+    return log.where(F.col(recorded) < F.col(start)).groupBy(*identity).agg(F.max_by(F.struct(*log.columns), F.struct(recorded, *[c for c in log.columns if c != recorded])).alias("_r")).select("_r.*")
