@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a text are its lower-cased words, their leading 4, 5 and 6 bytes, and every two successive
-characters of scripts that are written without spaces, each a 64-bit hash.  The FEATURES terms that
-best tell the labelled training rows apart (by chi-squared, counted over all of those rows) are the
-inputs, as present or absent.  A factorization machine gives each a weight and a vector; the products
+characters of scripts that are written without spaces, each a 64-bit hash.  Those that tell the
+labelled training rows apart (by chi-squared, counted over all of those rows), as many as there are rows
+up to FEATURES, are the inputs, as present or absent.  A factorization machine gives each a weight and a vector; the products
 of the vectors of two present terms add what only the pair says.  It is fitted by Spark ML on at most
 2 * SAMPLE labelled rows, and every text is scored inside the scan that reads it.
 """
@@ -25,7 +25,9 @@ from playsight.llm.textkit import _BYTE_CODE, LOWER, NON_ALNUM, Words, _power_ta
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 4000
-FEATURES = 8192
+#: Terms: as many as there are training rows, between these; a term must reach CHI (5 % by chance) too.
+FEWEST, FEATURES = 512, 8192
+CHI = 3.84
 FACTORS = 4
 PREFIXES = (4, 5, 6)
 #: Lead bytes of the three-byte characters of scripts without spaces (kana, ideographs, hangul), first and last.
@@ -140,7 +142,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fe
         bias = 40.0 if bad else -40.0
     elif n:
         every = docs.join(if_small(cut(known)), "doc_id").select("doc_id", "text", "toxic")
-        terms = _chosen_terms(every, bad, n - bad, features)
+        terms = _chosen_terms(every, bad, n - bad, min(features, max(FEWEST, n)))
         order = F.xxhash64("doc_id", F.lit("sample"))
         picked = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
         picked = if_small(cut(picked[0].unionAll(picked[1])))
@@ -163,6 +165,8 @@ def _chosen_terms(rows: DataFrame, bad: int, good: int, features: int) -> np.nda
     """The `features` terms with the largest chi-squared statistic over all training rows, of which `bad` are toxic."""
     per = rows.mapInArrow(_counted, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     a, b = F.col("bad") / F.lit(bad), F.col("good") / F.lit(good)
+    share = (F.col("bad") + F.col("good")) / F.lit(bad + good)
+    chi = (a - b) ** 2 / (F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / bad + 1 / good))
     stat = (a - b) ** 2 / (a + b + 0.002)
-    top = per.where("bad + good >= 5").select("term", stat.alias("stat")).orderBy(F.desc("stat"), "term").limit(features)
+    top = per.where("bad + good >= 5").where(chi >= CHI).select("term", stat.alias("stat")).orderBy(F.desc("stat"), "term").limit(features)
     return np.array([r[0] for r in top.select("term").collect()], np.int64)
