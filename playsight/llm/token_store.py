@@ -36,6 +36,8 @@ END_ID = 2
 LEAST, MEAN, MOST = 64, 512, 4096
 #: Ids that the rolling hash sees.
 ROLL = 16
+#: Bytes of text whose pieces are looked up together: each different one once.
+TOGETHER = 2 << 20
 #: Entries of the per-worker memory of encoded pieces; it is emptied when full.
 MEMORY = 1_000_000
 #: Tokens of a run of documents that have one node of the manifest (log2); nodes under a higher node.
@@ -159,7 +161,7 @@ class Encoder:
         marked = pc.match_substring_regex(column, _UNUSUAL)
         unusual = marked.to_numpy(zero_copy_only=False)
         plain = pc.if_else(marked, pa.scalar("", column.type), column) if unusual.any() else column
-        for a, b, data, offsets in chunks(plain):
+        for a, b, data, offsets in chunks(plain, TOGETHER):
             ids, bounds = self._lookup(data, offsets)
             odd = np.flatnonzero(unusual[a:b])
             if len(odd):
