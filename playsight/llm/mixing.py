@@ -105,7 +105,7 @@ def _units(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float
     counts = cut(units.groupBy("source", "size").agg(F.sum("n").alias("n")))
     goal = cut(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap))
     rates = if_small(newton_rates(counts, goal, cap).withColumnRenamed("source", "_source"))
-    rated = units.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("rate", _rate(cap))
+    rated = units.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("rate", _rate(cap)).withColumn("most", F.lit(math.floor(cap)))
     # runs of about RUN documents of one source, each dealt out on its own
     width = F.greatest(F.lit(1), F.ceil(F.col("documents") / RUN))
     rated = rated.withColumn("tie", F.xxhash64("th", "doc_id")).withColumn("run", F.pmod("tie", width))
@@ -126,16 +126,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def _rounded(rows: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies, from the largest document down: each rounding error is handed on to the next."""
+    """Whole copies, from the largest document down: each rounding error is handed on to the next, which may take any number of copies up to the cap."""
     rows = rows.sort_values(["size", "tie", "doc_id"], ascending=[False, True, True], kind="stable")
     owed, wholes, mores = 0.0, [], []
-    for size, n, rate in zip(rows["size"].tolist(), rows["n"].tolist(), rows["rate"].tolist(), strict=True):
-        whole = math.floor(rate + 1e-9)
-        part = max(0.0, rate - whole) if size else 0.0
-        more = min(n, max(0, math.floor(owed / size + part * n + 0.5))) if part > 1e-9 else 0
-        owed += (part * n - more) * size
-        wholes.append(whole)
-        mores.append(more)
+    for size, n, rate, most in zip(*(rows[c].tolist() for c in ("size", "n", "rate", "most")), strict=True):
+        times = min(most * n, max(0, math.floor(owed / size + rate * n + 0.5))) if size else 0
+        owed += (rate * n - times) * size
+        wholes.append(times // n)
+        mores.append(times % n)
     rows["whole"], rows["more"] = wholes, mores
     return rows[["doc_id", "source", "th", "size", "n", "source_size", "target", "whole", "more"]]
 
