@@ -72,6 +72,12 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
+def op13_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from playsight.llm.subword_lattice import text_scores
+
+    return text_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_entropy_mixing": op9_entropy_mixing,
         "op10_winnowing": op10_winnowing,
+        "op13_subword_lattice": op13_subword_lattice,
     }
 
 
