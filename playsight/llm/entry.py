@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playsight.llm import sharding, winnowing
+from playsight.llm import collocations, sharding, winnowing
 from playsight.llm.common import scratch_folder, table
 
 
@@ -72,6 +72,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     from playsight.llm.subword_lattice import text_scores
 
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_entropy_mixing": op9_entropy_mixing,
         "op10_winnowing": op10_winnowing,
+        "op11_collocations": op11_collocations,
         "op13_subword_lattice": op13_subword_lattice,
     }
 
@@ -98,4 +103,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_extendible_sharding": sharding.ORACLE_SQL,
         "op10_winnowing": winnowing.ORACLE_SQL,
+        "op11_collocations": collocations.ORACLE_SQL,
     }
