@@ -76,6 +76,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from playsight.llm.alignment import alignments
+
+    return alignments(table(spark, sf_dir, "documents"))
+
+
 def op13_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     from playsight.llm.subword_lattice import text_scores
 
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_entropy_mixing": op9_entropy_mixing,
         "op10_winnowing": op10_winnowing,
         "op11_collocations": op11_collocations,
+        "op12_token_alignment": op12_token_alignment,
         "op13_subword_lattice": op13_subword_lattice,
     }
 

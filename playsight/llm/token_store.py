@@ -73,6 +73,7 @@ class Encoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
+        self.memory = MEMORY
         self._forget()
 
     def _forget(self) -> None:
@@ -104,7 +105,10 @@ class Encoder:
             ids.append(got)
         ids += alone
         lengths.append(np.array([len(x) for x in alone], np.int64))
-        flat, length = np.concatenate(ids), np.concatenate(lengths)
+        self._file([codes[i] for i in spaced + others], np.concatenate(ids), np.concatenate(lengths))
+
+    def _file(self, codes: list[int], flat: np.ndarray, length: np.ndarray) -> None:
+        """Files the ids of pieces in a row, so many a piece, under their codes."""
         n, used = len(self.known), int(self.at[len(self.known)])
         while used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -112,16 +116,21 @@ class Encoder:
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         self.flat[used : used + len(flat)] = flat
         self.at[n + 1 : n + 1 + len(length)] = used + np.cumsum(length)
-        self.known.update(zip([codes[i] for i in spaced + others], range(n, n + len(length)), strict=True))
+        self.known.update(zip(codes, range(n, n + len(length)), strict=True))
 
-    def _lookup(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of a run of texts, and their n+1 bounds."""
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+    def _starts(self, data: np.ndarray) -> np.ndarray:
+        """Where pieces start (but for those at the start of a text)."""
         kind = _KIND[data]
         start = np.zeros(len(data), bool)
         # white space after anything else; an ASCII sign or digit after an ASCII letter
         start[1:] = ((kind[1:] == 1) & (kind[:-1] != 1)) | ((kind[1:] == 3) & (kind[:-1] == 2))
+        return start
+
+    def _lookup(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of a run of texts, and their n+1 bounds."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        start = self._starts(data)
         inner = offsets[:-1]
         start[inner[inner < len(data)]] = True
         start = np.flatnonzero(start)
@@ -138,7 +147,7 @@ class Encoder:
         unique = ranked[new].tolist()
         inverse = np.empty(len(code), np.int64)
         inverse[order] = np.cumsum(new) - 1
-        if len(self.known) + len(unique) > MEMORY:
+        if len(self.known) + len(unique) > self.memory:
             self._forget()
         number = list(map(self.known.get, unique))
         if None in number:
