@@ -31,6 +31,8 @@ ROUNDS = 4
 PRIOR = 200.0
 #: Bytes of words that go through the recursions together.
 TOGETHER = 1 << 20
+#: Parts that the pieces are dealt in where tasks' uses are added up: a row a task, slot and part.
+PARTS = 64
 #: Slots of languages that have probabilities of their own.
 SLOTS = 61
 _FILTER = 20
@@ -174,13 +176,18 @@ def _expected(pieces: list[bytes], log_p: dict[int, np.ndarray]):
                 counts = own.column(1).to_numpy(zero_copy_only=False)
                 for a, b, data, ends in _marked(own.column(0)):
                     uses[slot] += lattices[slot].forward(data, ends, counts[a:b])[1]
-        for slot, x in uses.items():
-            some = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), slot, np.int32)), pa.array(some.astype(np.int32)), pa.array(x[some])], names=["slot", "piece", "uses"])
+        rows = [(slot, k, part.astype("<f8").tobytes()) for slot, x in uses.items() for k, part in enumerate(np.array_split(x, PARTS)) if part.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["slot", "part", "uses"])
 
     return run
 
 
+def _added(table: pa.Table) -> pa.Table:
+    """One slot and part: the tasks' uses of its pieces, added up."""
+    total = sum(np.frombuffer(x, "<f8") for x in table.column("uses").to_pylist())
+    return table.slice(0, 1).set_column(2, "uses", pa.array([total.tobytes()], pa.binary()))
+
+
 def fit(words: DataFrame, pieces: list[bytes], prior: dict[int, np.ndarray], texts: dict[int, int], rounds: int = ROUNDS) -> dict[int, np.ndarray]:
     """Natural log-probabilities of the pieces and the end by slot, fitted to words (word, c, slot) of so many texts a slot.
 
@@ -188,11 +195,13 @@ def fit(words: DataFrame, pieces: list[bytes], prior: dict[int, np.ndarray], tex
     """
     p = prior
     for _ in range(rounds):
-        found = words.where("c > 0").select("word", "c", "slot").mapInArrow(_expected(pieces, {s: np.log(x) for s, x in p.items()}), "slot int, piece int, uses double")
-        got = found.groupBy("slot", "piece").agg(F.sum("uses").alias("uses")).toPandas()
+        found = words.where("c > 0").select("word", "c", "slot").mapInArrow(_expected(pieces, {s: np.log(x) for s, x in p.items()}), "slot int, part int, uses binary")
+        got = found.groupBy("slot", "part").applyInArrow(_added, "slot int, part int, uses binary").collect()
         uses = {s: PRIOR * x for s, x in prior.items()}
-        for slot, part in got.groupby("slot"):
-            uses[slot][part["piece"].to_numpy()] += part["uses"].to_numpy()
+        for row in got:
+            at = sum(len(x) for x in np.array_split(prior[row["slot"]], PARTS)[: row["part"]])
+            more = np.frombuffer(row["uses"], "<f8")
+            uses[row["slot"]][at : at + len(more)] += more
         for s, x in uses.items():
             x[-1] += texts.get(s, 0)
         p = {s: x / x.sum() for s, x in uses.items()}
