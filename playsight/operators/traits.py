@@ -1,14 +1,17 @@
-"""The trait registry: each trait is a declared ratio over plays; one aggregation a role computes them all.
-
-A play row has the columns of PLAY (NULL where a play has none); `expected` and the prior columns are
-added by `prepared`.  Expressions are SQL over those columns.  A trait's events are (athlete, game,
-week, team, opponent, trait, n, d): relative traits are taken against the others of the same context,
-adjusted ones against what the opponent allowed before, and `values` aggregates each by its rule.
+"""The trait registry: each trait is a declared ratio over an athlete's games, opponents and seasons.
+
+Plays (columns PLAY, NULL where a play has none) become role rows: who of the offense is credited with a play, and
+with which share.  One aggregation makes a row per athlete and game of them; priors (league, team, receiver)
+and what others of the same game did are joined to these rows, never to plays.  Defenders have a row for each
+game they were present in, counts or none.  An event is (season, week, game, team, opponent, athlete, trait, n, d);
+only athletes of a trait's groups have any.  Adjusted traits are taken against what the opponent allowed
+before in the season, and `values` aggregates each trait by its rule, season by season.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,81 +19,90 @@ from pyspark.sql import Window as W
 
 from playsight.functions.nulls import safe_div
 from playsight.operators.ratio import dispatch, leave_one_out
+from playsight.operators.windows import prior_median
 
 PLAY = (
-    "season week game team opponent kind qtr down togo yardline yards epa wpa success cpoe complete interception sack hit scramble special "
-    "fumble half_left passer receiver rusher defender kicker air yac xyac made distance tackle solo tfl forced defended"
+    "season week game team opponent kind qtr down togo yardline yards epa adj_epa wpa success cpoe complete interception sack hit "
+    "fumble fumble_lost fumbler quarter_left passer receiver rusher defender kicker yac xyac made distance tackle solo tfl forced defended "
+    "return_yards return_touchdown return_fumble"
 ).split()
+KEYS = ["season", "week", "game", "team", "opponent", "athlete"]
 
-LATE_DOWN = "down >= 3"
-SHORT = "togo <= 2 and down >= 3"
-TWO_MINUTE = "half_left <= 120 and qtr in (2, 4)"
-DROPBACK = "kind = 'pass'"
-CARRY = "kind = 'run' and scramble = 0"
-TARGET = "kind = 'pass' and sack = 0"
+# Fixed values of the definitions: downs, yards, seconds, floors and weights.
+LATE_DOWN = "down in (3, 4)"
+SHORT = f"((togo <= 2 and {LATE_DOWN}) or yardline <= 3)"
+TWO_MINUTE = "(qtr in (2, 4) and quarter_left <= 120)"
+CARRY = "role = 'rusher' and yards is not null"
+EXPLOSIVE, BREAKAWAY, FLOOR_DROPBACKS, OTHER_DROPBACKS, OTHER_TARGETS = 20, 10, 10, 30.0, 10.0
+#: Weight of a defensive role, in order of priority: an athlete has one role a play.
+DEFENSE_WEIGHTS = {"sack = 1": 0.96, "interception = 1": 1.48, "forced = 1": 1.08, "defended = 1": 1.90, "tfl = 1": 0.58, "hit = 1": 1.34, "tackle = 1 and epa < 0": 0.55}
+RETURN_EPA = {"return_yards": -0.0643, "return_touchdown": -0.851, "return_fumble": 5.218}
+WITH_WITHOUT_GAMES, LEAST_PRESENT = 6.0, 3
+LINE_YARDS = "case when yards < 0 then 1.2 * yards when yards <= 4 then yards when yards <= 10 then 4 + 0.5 * (yards - 4) else 7 end"
 
 
 @dataclass(frozen=True)
 class Trait:
-    """n and d summed over the rows of a role that meet `where`, per athlete and game."""
+    """n and d: SQL over role rows (summed where `where` holds), or over the columns of a row per game where `source` names one."""
 
     name: str
-    role: str
-    where: str
+    groups: tuple[str, ...]
     n: str
     d: str = "1"
+    where: str = "true"
+    source: str = "rows"
     rule: str = "rate"
     adjusted: bool = False
-    #: leave-one-out against the other athletes with equal values here
+    #: leave-one-out against the others of the same values here
     relative: tuple[str, ...] = ()
-    #: only games with at least so much of d count
-    least: float = 0.0
-    groups: str = ""
+    #: the others: of the trait's groups, or all
+    among_group: bool = True
 
 
-#: Names, groups and the yard, dropback and rule constants of the trait definitions.
+_QB, _RB, _RECEIVERS, _FRONT, _DEFENSE = ("QB",), ("RB",), ("WR", "TE"), ("DL", "LB"), ("DL", "LB", "DB")
+_EXPLOSIVE = f"case when complete = 1 and yards >= {EXPLOSIVE} then 1 else 0 end"
 REGISTRY: tuple[Trait, ...] = (
-    Trait("epa.credit", "passer", DROPBACK, "0.5 * epa", adjusted=True, groups="QB,RB,WR,TE,DL,LB,DB"),
-    Trait("qb.drive_engine", "passer", f"{DROPBACK} and ({LATE_DOWN} or ({TWO_MINUTE}))", "success - expected", adjusted=True, groups="QB"),
-    Trait("qb.explosive", "passer", DROPBACK, "case when complete = 1 and yards >= 20 then 1 else 0 end", adjusted=True, groups="QB"),
-    Trait("qb.accuracy", "passer", f"{DROPBACK} and cpoe is not null", "cpoe", adjusted=True, groups="QB"),
-    Trait("qb.ball_security", "passer", DROPBACK, "case when interception = 1 or fumble = 1 then wpa else 0 end", adjusted=True, groups="QB"),
-    Trait("qb.floor", "passer", DROPBACK, "epa", rule="quantile20", least=10, groups="QB"),
-    Trait("qb.legs", "passer", "kind = 'pass' and scramble = 1", "success - expected", adjusted=True, groups="QB"),
-    Trait("qb.pressure_handling", "passer", f"{DROPBACK} and pressure_base is not null", "pressure_base - sack", adjusted=True, groups="QB"),
-    Trait("qb.receiver_independence", "passer", f"{TARGET} and receiver_base is not null", "epa - receiver_base", groups="QB"),
-    Trait("rb.yards_over_expected", "rusher", CARRY, "yards - expected_yards", adjusted=True, groups="RB"),
-    Trait("rb.stuff_avoidance", "rusher", CARRY, "case when yards <= 0 then -1 else 0 end", relative=("game", "team"), groups="RB"),
-    Trait("rb.breakaway", "rusher", CARRY, "case when yards >= 10 then 1 else 0 end", adjusted=True, groups="RB"),
-    Trait("rb.short_yardage", "rusher", f"{CARRY} and {SHORT}", "success - expected", adjusted=True, groups="RB"),
-    Trait("rb.receiving", "receiver", f"{TARGET} and receiver % 2 = 0", "epa", adjusted=True, groups="RB"),
-    Trait("rb.ball_security", "rusher", CARRY, "case when fumble = 1 then wpa else 0 end", adjusted=True, groups="RB"),
-    Trait("rb.line_independence", "rusher", CARRY, "epa", relative=("game", "team"), groups="RB"),
-    Trait("rec.target_share", "receiver", TARGET, "1", "1.0 / team_targets", groups="WR,TE"),
-    Trait("rec.value_per_target", "receiver", TARGET, "epa", adjusted=True, groups="WR,TE"),
-    Trait("rec.explosive", "receiver", TARGET, "case when complete = 1 and yards >= 20 then 1 else 0 end", adjusted=True, groups="WR,TE"),
-    Trait("rec.late_down", "receiver", f"{TARGET} and {LATE_DOWN}", "success - expected", adjusted=True, groups="WR,TE"),
-    Trait("rec.yac_over_expected", "receiver", f"{TARGET} and complete = 1 and xyac is not null", "yac - xyac", adjusted=True, groups="WR,TE"),
-    Trait("rec.qb_independence", "receiver", TARGET, "epa", relative=("game", "passer"), groups="WR,TE"),
-    Trait("def.havoc", "defender", "defender is not null", "tfl + forced + defended + interception", adjusted=True, groups="DL,LB,DB"),
-    Trait("def.pass_rush", "defender", "defender is not null and sack_median is not null", "case when sack = 1 then -wpa when hit = 1 then sack_median else 0 end", groups="DL,LB"),
-    Trait("def.finishing", "defender", "sack = 1 or hit = 1", "sack", groups="DL,LB"),
-    Trait("def.run_stop", "defender", "defender is not null", "case when tfl = 1 and sack = 0 then 1 else 0 end", adjusted=True, groups="DL,LB"),
-    Trait("def.stops", "defender", "epa < 0", "case when tackle = 1 or tfl = 1 or sack = 1 then 1 else 0 end", adjusted=True, groups="DL,LB,DB"),
-    Trait("def.every_week", "defender", "defender is not null", "case when tfl + forced + defended + interception + sack > 0 then 1 else 0 end", rule="share", groups="DL,LB,DB"),
-    Trait("def.tackle_share", "defender", "tackle = 1", "1", "1.0 / team_tackles", groups="LB"),
-    Trait("def.coverage", "defender", DROPBACK, "defended + interception", adjusted=True, groups="LB"),
-    Trait("def.ball_production", "defender", f"{DROPBACK} and defender is not null", "interception + defended", adjusted=True, groups="DB"),
-    Trait("def.run_support", "defender", "kind = 'run'", "solo", adjusted=True, groups="DB"),
-    Trait("def.impact", "defender", "", "", rule="latest", groups="DL,LB,DB"),
-    Trait("def.pass_impact", "defender", DROPBACK, "", rule="latest", groups="DB"),
-    Trait("ol.protection", "team", f"{DROPBACK} and pressure_prior is not null", "pressure_prior - case when sack = 1 or hit = 1 then 1 else 0 end", adjusted=True, groups="OL"),
-    Trait("ol.stuff_rate", "team", CARRY, "case when yards <= 0 then -1 else 0 end", adjusted=True, groups="OL"),
-    Trait("ol.short_yardage", "team", f"{CARRY} and {SHORT}", "success - expected", adjusted=True, groups="OL"),
-    Trait("ol.line_yards", "team", CARRY, "case when yards < 0 then 1.2 * yards when yards <= 4 then yards when yards <= 10 then 4 + 0.5 * (yards - 4) else 7 end", adjusted=True, groups="OL"),
-    Trait("k.field_goal", "kicker", "kind = 'field_goal'", "made - expected_made", groups="K"),
-    Trait("p.punt_average", "kicker", "kind = 'punt' and punt_prior is not null", "yards - punt_prior", groups="P"),
-    Trait("p.punt_epa", "kicker", "kind = 'punt' and punt_epa_prior is not null", "epa - punt_epa_prior", groups="P"),
+    Trait("epa.credit", ("QB", "RB", "WR", "TE", "DL", "LB", "DB"), "credit", source="credits"),
+    Trait("qb.drive_engine", _QB, "success - expected", where=f"role in ('passer', 'rusher') and ({LATE_DOWN} or {TWO_MINUTE})", adjusted=True),
+    Trait("qb.explosive", _QB, _EXPLOSIVE, where="role = 'passer'", adjusted=True),
+    Trait("qb.accuracy", _QB, "cpoe", where="role = 'passer' and cpoe is not null", adjusted=True),
+    Trait("qb.ball_security", _QB, "qb_cost", "dropbacks", "dropbacks > 0", "games", adjusted=True),
+    Trait("qb.floor", _QB, "dropback_value / dropbacks", "1", f"dropbacks >= {FLOOR_DROPBACKS}", "games", rule="quantile20"),
+    Trait("qb.legs", _QB, "success - expected", where="role = 'rusher'", adjusted=True),
+    Trait("qb.pressure_handling", _QB, "dropbacks * sack_base - sacks", "dropbacks", "dropbacks > 0", "games", adjusted=True),
+    Trait("qb.receiver_independence", _QB, "over", "targets", "targets > 0", "throws"),
+    Trait("rb.yards_over_expected", _RB, "yards - expected_yards", where=CARRY, adjusted=True),
+    Trait("rb.stuff_avoidance", _RB, "case when yards <= 0 then -1 else 0 end", where=CARRY, relative=("game", "team")),
+    Trait("rb.breakaway", _RB, f"case when yards >= {BREAKAWAY} then 1 else 0 end", where=CARRY, adjusted=True),
+    Trait("rb.short_yardage", _RB, "success - expected", where=f"{CARRY} and {SHORT}", adjusted=True),
+    Trait("rb.receiving", _RB, "value", where="role = 'receiver'"),
+    Trait("rb.ball_security", _RB, "fumble_cost", "touches", "touches > 0", "games", adjusted=True),
+    Trait("rb.line_independence", _RB, "value", where=CARRY, relative=("game", "team")),
+    Trait("rec.target_share", _RECEIVERS, "own_targets", "team_targets", "team_targets > 0 and appeared > 0", "games"),
+    Trait("rec.value_per_target", _RECEIVERS, "value", where="role = 'receiver'"),
+    Trait("rec.explosive", _RECEIVERS, _EXPLOSIVE, where="role = 'receiver'", adjusted=True),
+    Trait("rec.late_down", _RECEIVERS, "success - expected", where=f"role = 'receiver' and {LATE_DOWN}", adjusted=True),
+    Trait("rec.yac_over_expected", _RECEIVERS, "yac - xyac", where="role = 'receiver' and complete = 1 and yac is not null and xyac is not null", adjusted=True),
+    Trait("rec.qb_independence", _RECEIVERS, "value", where="role = 'receiver'", relative=("game", "passer"), among_group=False),
+    Trait("def.havoc", _DEFENSE, "tfl + forced + defended + interceptions", source="defenders", adjusted=True),
+    Trait("def.pass_rush", _FRONT, "sack_wpa + case when hits > 0 then hits * sack_price else 0 end", source="defenders"),
+    Trait("def.finishing", _FRONT, "sacks", "sacks + hits", "sacks + hits > 0", "defenders"),
+    Trait("def.run_stop", _FRONT, "greatest(tfl - sacks, 0)", source="defenders", adjusted=True),
+    Trait("def.stops", _DEFENSE, "stops", source="defenders", adjusted=True),
+    Trait("def.every_week", _DEFENSE, "case when greatest(tfl, sacks, defended, interceptions, forced) > 0 then 1 else 0 end", source="defenders", rule="share"),
+    Trait("def.tackle_share", ("LB",), "tackles", "team_tackles", "team_tackles > 0", "defenders"),
+    Trait("def.coverage", ("LB",), "defended + interceptions", source="defenders", adjusted=True),
+    Trait("def.ball_production", ("DB",), "interceptions + defended", source="defenders", adjusted=True),
+    Trait("def.run_support", ("DB",), "solo", source="defenders", adjusted=True),
+    Trait("def.impact", _DEFENSE, "impact", source="impact", rule="latest"),
+    Trait("def.pass_impact", ("DB",), "pass_impact", source="impact", rule="latest"),
+    Trait("ol.protection", ("OL",), "dropbacks * pressure_base - pressures", "dropbacks", "dropbacks > 0", "units", adjusted=True),
+    Trait("ol.stuff_rate", ("OL",), "-stuffs", "carries", "carries > 0", "units", adjusted=True),
+    Trait("ol.short_yardage", ("OL",), "short_over", "shorts", "shorts > 0", "units", adjusted=True),
+    Trait("ol.line_yards", ("OL",), "line_yards", "carries", "carries > 0", "units", adjusted=True),
+    Trait("k.field_goal", ("K",), "made_over", "kicks", "kicks > 0", "kickers"),
+    Trait("p.punt_average", ("P",), "gross - gross_punts * gross_base", "gross_punts", "gross_punts > 0", "kickers"),
+    Trait("p.punt_epa", ("P",), "punt_value - punts * value_base", "punts", "punts > 0", "kickers"),
 )
 
 
@@ -107,135 +119,206 @@ def prior_season_means(plays: DataFrame, bucket: list[Column], values: dict[str,
     return per.select("season", *names, *[safe_div(F.sum(f"s_{k}").over(earlier), F.sum(f"c_{k}").over(earlier).cast("double")).alias(k) for k in values])
 
 
-def _prior_by_week(plays: DataFrame, where: str, keys: list[str], values: dict[str, str]) -> DataFrame:
-    """Totals of strictly earlier weeks per key: n_<name> for each value and d, the rows."""
-    per = plays.where(where).groupBy(*keys, "week").agg(*[F.sum(F.expr(v).cast("double")).alias(f"s_{k}") for k, v in values.items()], F.count(F.lit(1)).cast("double").alias("c"))
-    earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy("week").rowsBetween(W.unboundedPreceding, -1)
-    return per.select(*keys, "week", *[F.sum(f"s_{k}").over(earlier).alias(f"n_{k}") for k in values], F.sum("c").over(earlier).alias("d"))
-
+def with_expectations(plays: DataFrame) -> DataFrame:
+    """plays with `expected`, `expected_yards` and `expected_made`: means of earlier seasons by bucket, else by kind.
 
-def prepared(plays: DataFrame) -> DataFrame:
-    """plays with what traits compare with: expectations by bucket of earlier seasons, league, team and receiver priors by week, team totals of the game."""
-    bucket = [F.col("kind"), F.col("down"), F.expr(distance_bucket())]
-    table = prior_season_means(plays.where("kind in ('pass', 'run')"), bucket, {"b_success": "success", "b_yards": "yards"})
-    whole = prior_season_means(plays.where("kind in ('pass', 'run')"), [F.col("kind")], {"a_success": "success", "a_yards": "yards"}).withColumnRenamed("_b0", "_a0").withColumnRenamed("season", "_as")
-    made = prior_season_means(plays.where("kind = 'field_goal'"), [F.expr("5 * floor(distance / 5)")], {"b_made": "made"}).withColumnRenamed("season", "_ms").withColumnRenamed("_b0", "_m0")
-    # these tables have a row a season and bucket: a fixed few hundred
+    The tables have a row a season and bucket; Spark broadcasts them as long as they are small.
+    """
+    scrimmage = plays.where("kind in ('pass', 'run')")
+    table = prior_season_means(scrimmage, [F.col("kind"), F.col("down"), F.expr(distance_bucket())], {"b_success": "success", "b_yards": "yards"}).toDF("season", "kind", "down", "_k1", "b_success", "b_yards")
+    whole = prior_season_means(scrimmage, [F.col("kind")], {"a_success": "success", "a_yards": "yards"}).toDF("season", "kind", "a_success", "a_yards")
+    made = prior_season_means(plays.where("kind = 'field_goal'"), [F.expr("5 * floor(distance / 5)")], {"expected_made": "made"}).toDF("season", "_m", "expected_made")
     out = plays.withColumn("_k1", F.expr(distance_bucket())).withColumn("_m", F.expr("5 * floor(distance / 5)"))
-    t = table.withColumnRenamed("season", "_ts")
-    out = out.join(F.broadcast(t), (F.col("_ts") == F.col("season")) & (F.col("_b0") == F.col("kind")) & (F.col("_b1") == F.col("down")) & (F.col("_b2") == F.col("_k1")), "left")
-    out = out.join(F.broadcast(whole), (F.col("_as") == F.col("season")) & (F.col("_a0") == F.col("kind")), "left")
-    out = out.join(F.broadcast(made), (F.col("_ms") == F.col("season")) & (F.col("_m0") == F.col("_m")), "left")
-    league = _prior_by_week(plays, DROPBACK, [], {"sack": "sack", "pressure": "case when sack = 1 or hit = 1 then 1 else 0 end"}).select("week", safe_div("n_sack", "d").alias("sack_prior"), safe_div("n_pressure", "d").alias("pressure_prior"))
-    punts = _prior_by_week(plays, "kind = 'punt'", [], {"y": "yards", "e": "epa"}).select("week", safe_div("n_y", "d").alias("punt_prior"), safe_div("n_e", "d").alias("punt_epa_prior"))
-    # a row a week
-    out = out.join(league, "week", "left").join(punts, "week", "left").join(_sack_medians(plays), "week", "left")
-    team = _prior_by_week(plays, DROPBACK, ["team"], {"sack": "sack"}).select("team", "week", F.col("n_sack").alias("_tn"), F.col("d").alias("_td"))
-    own = _carried(_prior_by_week(plays, DROPBACK, ["team", "passer"], {"sack": "sack"}), "n_sack", "_on", "_od", ["team", "passer"])
-    out = out.join(team, ["team", "week"], "left").join(own, ["team", "passer", "week"], "left")
-    others = F.coalesce("_td", F.lit(0.0)) - F.coalesce("_od", F.lit(0.0))
-    base = F.when(others >= 30, safe_div(F.col("_tn") - F.coalesce("_on", F.lit(0.0)), others)).otherwise(F.col("sack_prior"))
-    every = _prior_by_week(plays, TARGET, ["receiver"], {"epa": "epa"}).select("receiver", "week", F.col("n_epa").alias("_rn"), F.col("d").alias("_rd"))
-    pair = _carried(_prior_by_week(plays, TARGET, ["receiver", "passer"], {"epa": "epa"}), "n_epa", "_pn", "_pd", ["receiver", "passer"])
-    out = out.join(every, ["receiver", "week"], "left").join(pair, ["receiver", "passer", "week"], "left")
-    rest = F.coalesce("_rd", F.lit(0.0)) - F.coalesce("_pd", F.lit(0.0))
-    receiver = F.when(rest >= 10, safe_div(F.col("_rn") - F.coalesce("_pn", F.lit(0.0)), rest))
-    totals = plays.groupBy("game", "team").agg(F.sum(F.expr(f"case when {TARGET} then 1.0 end")).alias("team_targets"), F.sum(F.expr("case when tackle = 1 then 1.0 end")).alias("team_tackles"))
-    out = out.join(totals, ["game", "team"])
-    return out.select(
-        *PLAY, F.coalesce("b_success", "a_success").alias("expected"), F.coalesce("b_yards", "a_yards").alias("expected_yards"), F.col("b_made").alias("expected_made"),
-        "pressure_prior", "punt_prior", "punt_epa_prior", "sack_median", base.alias("pressure_base"), receiver.alias("receiver_base"), "team_targets", "team_tackles",
-    )
-
-
-def _carried(prior: DataFrame, n: str, name: str, plays: str, keys: list[str]) -> DataFrame:
-    return prior.select(*keys, "week", F.col(n).alias(name), F.col("d").alias(plays))
-
-
-def _sack_medians(plays: DataFrame) -> DataFrame:
-    """(week, sack_median): median cost of the sacks of strictly earlier weeks.
-
-    A running list of one number a sack would grow with the table; costs are counted to 0.001 instead,
-    and the counts (bounded by the range of a win probability) are summed along the weeks.
+    out = out.join(table, ["season", "kind", "down", "_k1"], "left").join(whole, ["season", "kind"], "left").join(made, ["season", "_m"], "left")
+    return out.withColumn("expected", F.coalesce("b_success", "a_success")).withColumn("expected_yards", F.coalesce("b_yards", "a_yards")).drop("_k1", "_m", "b_success", "a_success", "b_yards", "a_yards")
+
+
+def role_rows(plays: DataFrame) -> DataFrame:
+    """plays, a row for each credited athlete: role, athlete, share and value (share of the adjusted, else raw, EPA).
+
+    Passer and receiver share a pass, the passer has it alone without a receiver or when intercepted; a run is its
+    runner's; a lost fumble its fumbler's alone.  Every fumble also gives a row `fumbled` that shares in nothing.
+    """
+    who = lambda role, column, share: F.when(F.col(column).isNotNull(), F.struct(F.lit(role).alias("role"), F.col(column).alias("athlete"), share.cast("double").alias("share")))
+    tagged = F.col("receiver").isNotNull() & (F.col("interception") != 1)
+    lost = (F.col("fumble_lost") == 1) & F.col("fumbler").isNotNull()
+    passing = F.array(who("passer", "passer", F.when(tagged, 0.5).otherwise(1.0)), F.when(tagged, who("receiver", "receiver", F.lit(0.5))))
+    shared = F.when(lost, F.array(who("fumbler", "fumbler", F.lit(1.0)))).when(F.col("kind") == "run", F.array(who("rusher", "rusher", F.lit(1.0)))).otherwise(passing)
+    every = F.array_compact(F.concat(shared, F.array(F.when(F.col("fumble") == 1, who("fumbled", "fumbler", F.lit(0.0))))))
+    rows = plays.where("kind in ('pass', 'run')").withColumn("x", F.explode(every))
+    return rows.select("*", "x.role", "x.athlete", "x.share").drop("x").withColumn("value", F.col("share") * F.coalesce("adj_epa", "epa"))
+
+
+def _sum(where: str, value: str = "1") -> Column:
+    return F.coalesce(F.sum(F.expr(f"case when {where} then cast({value} as double) end")), F.lit(0.0))
+
+
+def _before(per_game: DataFrame, keys: list[str], columns: list[str], suffix: str) -> DataFrame:
+    """Sums of columns over strictly earlier weeks of the season, for each week that keys have a game in."""
+    weekly = per_game.groupBy("season", *keys, "week").agg(*[F.sum(c).alias(c) for c in columns])
+    earlier = W.partitionBy("season", *keys).orderBy("week").rowsBetween(W.unboundedPreceding, -1)
+    return weekly.select("season", *keys, "week", *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"{c}{suffix}") for c in columns])
+
+
+def offense_games(rows: DataFrame) -> DataFrame:
+    """A row per athlete and game of role rows: what the traits of source `games` need, with the sack rate to compare with."""
+    per = rows.groupBy(*KEYS).agg(
+        _sum("role = 'passer'").alias("dropbacks"), _sum("role = 'passer'", "sack").alias("sacks"), _sum("role = 'passer'", "value").alias("dropback_value"),
+        (_sum("role = 'passer' and interception = 1", "wpa") + _sum("role = 'fumbled'", "wpa")).alias("qb_cost"), _sum("role = 'fumbled'", "wpa").alias("fumble_cost"),
+        _sum(f"({CARRY}) or role = 'receiver'").alias("touches"), _sum("role = 'receiver'").alias("own_targets"), _sum("role <> 'fumbled'").alias("appeared"),
+    )
+    per = per.withColumn("team_targets", F.sum("own_targets").over(W.partitionBy("season", "game", "team")))
+    counts, passing = ["dropbacks", "sacks"], per.where("dropbacks > 0")
+    team, own, league = (_before(passing, keys, counts, f"_{name}") for keys, name in ((["team"], "team"), (["team", "athlete"], "own"), ([], "league")))
+    per = per.join(league, ["season", "week"], "left").join(team, ["season", "team", "week"], "left").join(own, ["season", "team", "athlete", "week"], "left")
+    others = F.coalesce("dropbacks_team", F.lit(0.0)) - F.coalesce("dropbacks_own", F.lit(0.0))
+    base = F.when(others >= OTHER_DROPBACKS, (F.col("sacks_team") - F.coalesce("sacks_own", F.lit(0.0))) / others).otherwise(safe_div("sacks_league", "dropbacks_league"))
+    return per.withColumn("sack_base", base)
+
+
+def throws(rows: DataFrame) -> DataFrame:
+    """A row per passer and game: value over each receiver's earlier rate with other passers, where that has enough targets."""
+    pairs = rows.where("role = 'receiver' and sack = 0 and passer is not null").groupBy(*KEYS[:-1], "passer", "athlete").agg(F.sum("value").alias("v"), F.count(F.lit(1)).cast("double").alias("t"))
+    receiver = _before(pairs, ["athlete"], ["v", "t"], "_all")
+    pair = _before(pairs, ["athlete", "passer"], ["v", "t"], "_pair")
+    both = pairs.join(receiver, ["season", "athlete", "week"]).join(pair, ["season", "athlete", "passer", "week"])
+    rest = F.col("t_all") - F.col("t_pair")
+    over = F.when(rest >= OTHER_TARGETS, F.col("v") - F.col("t") * (F.col("v_all") - F.col("v_pair")) / rest)
+    both = both.withColumn("over", over).withColumn("targets", F.when(F.col("over").isNotNull(), F.col("t")))
+    return both.groupBy(*KEYS[:-1], F.col("passer").alias("athlete")).agg(F.sum("over").alias("over"), F.sum("targets").alias("targets"))
+
+
+def credits(rows: DataFrame, plays: DataFrame) -> DataFrame:
+    """A row per credited athlete and game: the offense's values, and minus the play's for a defender by the weight of the first role that holds."""
+    offense = rows.where("role <> 'fumbled'").select(*KEYS, F.col("value").alias("credit"))
+    weight = reduce(lambda w, x: w.when(F.expr(x[0]), x[1]), list(DEFENSE_WEIGHTS.items())[1:], F.when(F.expr(next(iter(DEFENSE_WEIGHTS))), next(iter(DEFENSE_WEIGHTS.values()))))
+    defense = plays.where("kind in ('pass', 'run') and defender is not null").withColumn("w", weight).where("w is not null")
+    defense = defense.select("season", "week", "game", F.col("opponent").alias("team"), F.col("team").alias("opponent"), F.col("defender").alias("athlete"), (-F.coalesce("adj_epa", "epa") * F.col("w")).alias("credit"))
+    return offense.unionByName(defense).groupBy(*KEYS).agg(F.sum("credit").alias("credit"))
+
+
+def defender_games(plays: DataFrame, presence: DataFrame) -> DataFrame:
+    """A row per defender and game present (KEYS of presence): counts, zero where there are none, and the price of a hit.
+
+    The price is the median win probability that sacks of earlier weeks of the season swung.
     """
-    cost = plays.where("sack = 1").select("week", F.round(-F.col("wpa"), 3).alias("cost"))
-    weeks = plays.select("week").distinct()
-    counts = cost.groupBy("week", "cost").agg(F.count(F.lit(1)).alias("c"))
-    later = weeks.join(counts.withColumnRenamed("week", "_w"), F.col("_w") < F.col("week"))
-    return later.groupBy("week").agg(F.expr("percentile(cost, 0.5, c)").alias("sack_median"))
+    flags = {"tfl": "tfl", "forced": "forced", "defended": "defended", "interceptions": "interception", "sacks": "sack", "hits": "hit", "solo": "solo", "tackles": "tackle"}
+    rows = plays.where("defender is not null").withColumnsRenamed({"team": "_offense", "opponent": "team"}).withColumn("athlete", F.col("defender"))
+    stops = _sum("kind in ('pass', 'run') and epa < 0 and (tackle = 1 or tfl = 1 or sack = 1)").alias("stops")
+    box = rows.groupBy("season", "game", "team", "athlete").agg(*[_sum("true", c).alias(k) for k, c in flags.items()], _sum("sack = 1", "abs(wpa)").alias("sack_wpa"), stops)
+    team = box.groupBy("season", "game", "team").agg(F.sum("tackles").alias("team_tackles"))
+    sacks = plays.where("sack = 1").select("season", "week", F.abs("wpa").alias("wpa"))
+    price = prior_median(sacks, "season", "week", "wpa", presence.select("season", "week")).withColumnRenamed("median", "sack_price")
+    counts = [*flags, "sack_wpa", "stops"]
+    out = presence.select(*KEYS).join(box, ["season", "game", "team", "athlete"], "left").fillna(0.0, counts)
+    return out.join(team, ["season", "game", "team"], "left").join(price, ["season", "week"], "left")
+
+
+def impact(plays: DataFrame, presence: DataFrame) -> DataFrame:
+    """A row per defender and week: with/without of the EPA a play his team allowed through that week, all and passing.
+
+    (mean absent - mean present) * p a / (p a + 6) with p >= 3 games present and a > 0 missed, over all completed
+    games of the teams he was present for.
+    """
+    unit = plays.where("kind in ('pass', 'run')").groupBy("season", "week", "game", F.col("opponent").alias("team"), F.col("team").alias("opponent")).agg(F.avg("epa").alias("v"), F.avg(F.expr("case when kind = 'pass' then epa end")).alias("pv"))
+    mine = presence.select("season", "team", "athlete").distinct()
+    there = presence.select("season", "game", "team", "athlete", F.lit(True).alias("here"))
+    grid = mine.join(unit, ["season", "team"]).join(there, ["season", "game", "team", "athlete"], "left")
+    sums = [(f"{kind}{k}", F.sum(F.expr(f"case when here is {'not null' if k == 'p' else 'null'} and {c} is not null then {v} end"))) for kind, c in (("", "v"), ("q", "pv")) for k in ("p", "a") for v in (c,)]
+    counts = [(f"{kind}n{k}", F.count(F.expr(f"case when here is {'not null' if k == 'p' else 'null'} and {c} is not null then 1 end"))) for kind, c in (("", "v"), ("q", "pv")) for k in ("p", "a")]
+    weekly = grid.groupBy("season", "athlete", "week").agg(F.max("team").alias("team"), F.max("opponent").alias("opponent"), *[e.alias(n) for n, e in sums + counts])
+    run = W.partitionBy("season", "athlete").orderBy("week").rowsBetween(W.unboundedPreceding, 0)
+
+    def shrunk(kind: str) -> Column:
+        p, a = (F.sum(f"{kind}n{k}").over(run).cast("double") for k in ("p", "a"))
+        gap = F.sum(f"{kind}a").over(run) / F.nullif(a, F.lit(0.0)) - F.sum(f"{kind}p").over(run) / F.nullif(p, F.lit(0.0))
+        return F.when((p >= LEAST_PRESENT) & (a > 0), gap * (p * a) / (p * a + WITH_WITHOUT_GAMES))
+
+    return weekly.select("season", "week", F.lit(None).cast("long").alias("game"), "team", "opponent", "athlete", shrunk("").alias("impact"), shrunk("q").alias("pass_impact"))
+
+
+def unit_games(rows: DataFrame) -> DataFrame:
+    """A row per team and game of role rows, as the athlete of its line, with the league's earlier pressure rate."""
+    per = rows.groupBy(*KEYS[:-1]).agg(
+        _sum("role = 'passer'").alias("dropbacks"), _sum("role = 'passer' and (sack = 1 or hit = 1)").alias("pressures"), _sum(CARRY).alias("carries"), _sum(f"{CARRY} and yards <= 0").alias("stuffs"),
+        _sum(f"{CARRY} and {SHORT} and expected is not null").alias("shorts"), _sum(f"{CARRY} and {SHORT}", "success - expected").alias("short_over"), _sum(CARRY, LINE_YARDS).alias("line_yards"),
+    )
+    per = per.join(_before(per.where("dropbacks > 0"), [], ["dropbacks", "pressures"], "_league"), ["season", "week"], "left")
+    return per.withColumn("pressure_base", safe_div("pressures_league", "dropbacks_league")).withColumn("athlete", F.col("team"))
+
 
+def kicker_games(plays: DataFrame) -> DataFrame:
+    """A row per kicker and game: field goals over expectation, punts beside the league's earlier averages.
 
-def trait_events(rows: DataFrame, traits: tuple[Trait, ...] = REGISTRY) -> DataFrame:
-    """prepared rows -> (athlete, game, week, team, opponent, trait, n, d, context): one aggregation a role and kind of context."""
+    A punt's value leaves out what its return added: yards, a touchdown, a lost fumble.
+    """
+    rows = plays.where("kind in ('field_goal', 'punt') and kicker is not null").withColumn("athlete", F.col("kicker"))
+    returned = " + ".join(f"coalesce({c}, 0) * {w}" for c, w in RETURN_EPA.items())
+    kick, gross, valued = "kind = 'field_goal' and made is not null and expected_made is not null", "kind = 'punt' and distance is not null", "kind = 'punt' and epa is not null"
+    per = rows.groupBy(*KEYS).agg(_sum(kick).alias("kicks"), _sum(kick, "made - expected_made").alias("made_over"), _sum(gross).alias("gross_punts"), _sum(gross, "distance").alias("gross"), _sum(valued).alias("punts"), _sum(valued, f"epa - ({returned})").alias("punt_value"))
+    per = per.join(_before(per, [], ["gross", "gross_punts", "punt_value", "punts"], "_league"), ["season", "week"], "left")
+    return per.withColumn("gross_base", safe_div("gross_league", "gross_punts_league")).withColumn("value_base", safe_div("punt_value_league", "punts_league"))
+
+
+def _of_groups(events: DataFrame, positions: DataFrame, traits: list[Trait]) -> DataFrame:
+    """events of athletes in the groups of their trait; units are their own group."""
+    groups = F.create_map(*[x for t in traits for x in (F.lit(t.name), F.array(*[F.lit(g) for g in t.groups]))])[F.col("trait")]
+    return events.join(positions.select("season", "athlete", "grp"), ["season", "athlete"]).where(F.array_contains(groups, F.col("grp"))).drop("grp")
+
+
+def trait_events(plays: DataFrame, positions: DataFrame, presence: DataFrame, traits: tuple[Trait, ...] = REGISTRY) -> DataFrame:
+    """(season, week, game, team, opponent, athlete, trait, n, d) of the chosen traits, before opponent adjustment.
+
+    plays: PLAY; positions: (season, athlete, grp), one row each; presence: KEYS of defenders' games.
+    """
+    plays = with_expectations(plays)
+    rows = role_rows(plays)
+    sources = {"games": lambda: offense_games(rows), "throws": lambda: throws(rows), "credits": lambda: credits(rows, plays), "defenders": lambda: defender_games(plays, presence), "impact": lambda: impact(plays, presence), "units": lambda: unit_games(rows), "kickers": lambda: kicker_games(plays)}
     parts: list[DataFrame] = []
-    shapes = sorted({(t.role, t.relative) for t in traits if t.n})
-    for role, relative in shapes:
-        some = [t for t in traits if t.n and (t.role, t.relative) == (role, relative)]
-        keys = [F.col(role).cast("long").alias("athlete"), "game", "week", F.col("team").cast("long").alias("team"), F.col("opponent").cast("long").alias("opponent")]
-        context = [F.col(c).cast("long").alias(f"x_{c}") for c in relative if c not in ("game", "team")]
-        sums = []
-        for k, t in enumerate(some):
-            sums += [F.sum(F.expr(f"case when {t.where} then cast({t.n} as double) end")).alias(f"n{k}"), F.sum(F.expr(f"case when {t.where} then cast({t.d} as double) end")).alias(f"d{k}")]
-        per = rows.where(F.col(role).isNotNull()).groupBy(*keys, *context).agg(*sums)
+
+    def long(per: DataFrame, some: list[Trait], context: list[str]) -> DataFrame:
         each = F.array(*[F.struct(F.lit(t.name).alias("trait"), F.col(f"n{k}").alias("n"), F.col(f"d{k}").alias("d")) for k, t in enumerate(some)])
-        long = per.select("athlete", "game", "week", "team", "opponent", *[f"x_{c}" for c in relative if c not in ("game", "team")], F.explode(each).alias("e")).select("*", "e.trait", "e.n", "e.d").drop("e").where("d is not null and n is not null")
-        least = [t for t in some if t.least]
-        if least:
-            floor = F.create_map(*[x for t in least for x in (F.lit(t.name), F.lit(float(t.least)))])[F.col("trait")]
-            long = long.where(floor.isNull() | (F.col("d") >= floor))
-        if relative:
-            on = [c if c in ("game", "team") else f"x_{c}" for c in relative]
-            long = leave_one_out(long, ["trait", *on]).where("n_rel is not null").withColumn("n", F.col("n_rel"))
-        parts.append(long.select("athlete", "game", "week", "team", "opponent", "trait", "n", "d"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return per.select(*KEYS, *context, F.explode(each).alias("e")).select(*KEYS, *context, "e.trait", "e.n", "e.d").where("n is not null and d is not null")
+
+    for relative in sorted({t.relative for t in traits if t.source == "rows"}):
+        some = [t for t in traits if t.source == "rows" and t.relative == relative]
+        context = [c for c in relative if c not in KEYS]
+        sums = [F.sum(F.expr(f"case when {t.where} then cast({x} as double) end")).alias(f"{letter}{k}") for k, t in enumerate(some) for letter, x in (("n", t.n), ("d", f"case when ({t.n}) is not null then {t.d} end"))]
+        out = long(rows.groupBy(*KEYS, *context).agg(*sums), some, context)
+        if not relative:
+            parts.append(_of_groups(out, positions, some))
+            continue
+        for among in sorted({t.among_group for t in some}):
+            part = out.where(F.col("trait").isin([t.name for t in some if t.among_group == among]))
+            part = _of_groups(part, positions, some) if among else part
+            part = leave_one_out(part, ["trait", "season", *relative]).where("n_rel is not null").withColumn("n", F.col("n_rel"))
+            part = part.groupBy(*KEYS, "trait").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+            parts.append(part if among else _of_groups(part, positions, some))
+    for source in sorted({t.source for t in traits if t.source != "rows"}):
+        some = [t for t in traits if t.source == source]
+        per = sources[source]()
+        per = per.select(*KEYS, *[F.expr(f"case when {t.where} then cast({x} as double) end").alias(f"{letter}{k}") for k, t in enumerate(some) for letter, x in (("n", t.n), ("d", t.d))])
+        out = long(per, some, [])
+        parts.append(out if source == "units" else _of_groups(out, positions, some))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def adjusted_events(events: DataFrame, traits: tuple[Trait, ...] = REGISTRY) -> DataFrame:
-    """events with n of adjusted traits less d * (allowed by the opponent before - league before), a trait at a time in one plan."""
-    which = [t.name for t in traits if t.adjusted]
-    flagged = events.where(F.col("trait").isin(which))
-    weekly = flagged.groupBy("trait", "opponent", "week").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    before = W.partitionBy("trait", "opponent").orderBy("week").rowsBetween(W.unboundedPreceding, -1)
+    """events with n of adjusted traits less d * (allowed by the opponent before - league before), all traits in one plan."""
+    weekly = events.where(F.col("trait").isin([t.name for t in traits if t.adjusted])).groupBy("season", "trait", "opponent", "week").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     rate = lambda w: F.when(F.sum("d").over(w) > 0, safe_div(F.sum("n").over(w), F.sum("d").over(w)))
-    allowed = weekly.select("trait", "opponent", "week", rate(before).alias("allowed"))
-    league = weekly.groupBy("trait", "week").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    league = league.select("trait", "week", rate(W.partitionBy("trait").orderBy("week").rowsBetween(W.unboundedPreceding, -1)).alias("league"))
-    joined = events.join(allowed, ["trait", "opponent", "week"], "left").join(league, ["trait", "week"], "left")
+    earlier = lambda *keys: W.partitionBy("season", "trait", *keys).orderBy("week").rowsBetween(W.unboundedPreceding, -1)
+    allowed = weekly.select("season", "trait", "opponent", "week", rate(earlier("opponent")).alias("allowed"))
+    league = weekly.groupBy("season", "trait", "week").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).select("season", "trait", "week", rate(earlier()).alias("league"))
+    joined = events.join(allowed, ["season", "trait", "opponent", "week"], "left").join(league, ["season", "trait", "week"], "left")
     return joined.withColumn("n", F.coalesce(F.col("n") - F.col("d") * (F.col("allowed") - F.col("league")), F.col("n"))).select(*events.columns)
 
 
-def impact(plays: DataFrame, role: str, where: str, name: str, shrink: float = 6.0) -> DataFrame:
-    """With/without: mean EPA a game of the side that an athlete's team faces, absent less present, shrunk by p * a / (p * a + shrink).
-
-    Absences aren't listed: what a team's games sum to, less the games with the athlete, is the rest.
-    """
-    games = plays.where(where).groupBy("opponent", "game").agg(F.sum("epa").alias("v"), F.max("week").alias("week"))
-    total = games.groupBy("opponent").agg(F.sum("v").alias("tv"), F.count(F.lit(1)).alias("tg"), F.max("week").alias("week"))
-    there = plays.where(F.col(role).isNotNull()).select(F.col(role).cast("long").alias("athlete"), "opponent", "game").distinct()
-    own = there.join(games.select("opponent", "game", "v"), ["opponent", "game"]).groupBy("athlete", "opponent").agg(F.sum("v").alias("pv"), F.count(F.lit(1)).alias("p"))
-    both = own.join(total, "opponent").withColumn("a", F.col("tg") - F.col("p"))
-    pa = (F.col("p") * F.col("a")).cast("double")
-    gap = safe_div(F.col("tv") - F.col("pv"), F.col("a").cast("double")) - safe_div("pv", F.col("p").cast("double"))
-    return both.where("p >= 3 and a > 0").select("athlete", F.col("opponent").cast("long").alias("opponent"), "week", F.lit(name).alias("trait"), (gap * pa / (pa + shrink)).alias("n"), F.lit(1.0).alias("d"))
+def values(events: DataFrame, traits: tuple[Trait, ...] = REGISTRY) -> DataFrame:
+    """(season, athlete, trait, games, value): each trait by its rule."""
+    return dispatch(events, ["season", "athlete"], {t.name: t.rule for t in traits})
 
 
-def values(events: DataFrame, traits: tuple[Trait, ...] = REGISTRY) -> DataFrame:
-    """(athlete, trait, games, value): each trait by its rule."""
-    return dispatch(events, ["athlete"], {t.name: t.rule for t in traits})
-
-
-def evaluated(plays: DataFrame, traits: tuple[Trait, ...] = REGISTRY) -> DataFrame:
-    """(athlete, trait, games, value) of the chosen traits from plays."""
-    ratio = tuple(t for t in traits if t.n)
-    out = None
-    if ratio:
-        out = values(adjusted_events(trait_events(prepared(plays), ratio), ratio), ratio)
-    for t in traits:
-        if not t.n:
-            part = impact(plays, t.role, t.where or "true", t.name).select("athlete", "trait", F.lit(1).cast("long").alias("games"), F.col("n").alias("value"))
-            part = part.groupBy("athlete", "trait").agg(F.max("games").alias("games"), F.max("value").alias("value"))
-            out = part if out is None else out.unionByName(part)
-    return out
+def evaluated(plays: DataFrame, positions: DataFrame, presence: DataFrame, traits: tuple[Trait, ...] = REGISTRY) -> DataFrame:
+    """(season, athlete, trait, games, value) of the chosen traits from plays."""
+    return values(adjusted_events(trait_events(plays, positions, presence, traits), traits), traits)

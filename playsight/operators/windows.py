@@ -139,30 +139,31 @@ def percentiled(df: DataFrame, keys: Keys, value: str, out: str) -> DataFrame:
     return _met(df, table, [*keys, value])
 
 
-def prior_median(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
-    """(key, day, median): the median of all values of strictly earlier days, for each day that has a row.
+def prior_median(df: DataFrame, key: str, day: str, value: str, asked: DataFrame | None = None) -> DataFrame:
+    """(key, day, median): the median of all values of strictly earlier days, for each day that has a row, or that is `asked` (key, day).
 
     A day's value counts as many earlier ones as there are: with the rank of each (key, value) known
     once, the median of a prefix of days is found from counts per day and slice of ranks, in two
     steps: the slice that holds the middle, then the values inside it.
     """
-    counts = df.groupBy(key, day, value).agg(F.count(F.lit(1)).alias("c"))
+    counts = df.groupBy(key, day, value).agg(F.count(F.lit(1)).alias("_n"))
     sizes = counts.groupBy(key).agg(F.count_distinct(value).alias("_u"))
     place = F.dense_rank().over(W.partitionBy(key).orderBy(value)) - 1
     width = F.greatest(F.lit(1), F.ceil(F.sqrt("_u"))).cast("int")
-    ranked = counts.join(sizes, key).withColumn("slice", F.floor(place / width).cast("int")).select(key, day, value, "c", "slice")
-    days = df.select(key, day).distinct()
+    ranked = counts.join(sizes, key).withColumn("_slice", F.floor(place / width).cast("int")).select(key, day, value, "_n", "_slice")
+    days = (df.select(key, day) if asked is None else df.select(key, day).unionByName(asked.select(key, day))).distinct()
     # rows in each slice before each day
-    grid = days.join(ranked.select(key, "slice").distinct(), key).join(ranked.groupBy(key, day, "slice").agg(F.sum("c").alias("c")), [key, day, "slice"], "left")
-    before = F.coalesce(F.sum("c").over(W.partitionBy(key, "slice").orderBy(day).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    grid = grid.select(key, day, "slice", before.alias("b"))
-    run = W.partitionBy(key, day).orderBy("slice").rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum("b").over(W.partitionBy(key, day))
-    upto = grid.select(key, day, "slice", "b", F.sum("b").over(run).alias("upto"), total.alias("n"))
-    wanted = upto.where("n > 0").select(key, day, "slice", "b", "upto", "n", F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("k"))
-    wanted = wanted.where("k < upto and k >= upto - b").withColumn("at", F.col("k") - (F.col("upto") - F.col("b")))
-    inside = wanted.join(ranked.select(F.col(key).alias("_k"), F.col(day).alias("_d"), F.col("slice").alias("_s"), value, "c"), (F.col(key) == F.col("_k")) & (F.col("slice") == F.col("_s")) & (F.col("_d") < F.col(day)))
-    per = inside.groupBy(key, day, "at", value).agg(F.sum("c").alias("c"))
-    passed = F.sum("c").over(W.partitionBy(key, day, "at").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    found = per.withColumn("passed", passed).where("at < passed and at >= passed - c").groupBy(key, day).agg(F.avg(value).alias("median"))
-    return days.join(found, [key, day], "left")
+    grid = days.join(ranked.select(key, "_slice").distinct(), key).join(ranked.groupBy(key, day, "_slice").agg(F.sum("_n").alias("_n")), [key, day, "_slice"], "left")
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key, "_slice").orderBy(day).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    grid = grid.select(key, day, "_slice", before.alias("_b"))
+    run = W.partitionBy(key, day).orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)
+    total = F.sum("_b").over(W.partitionBy(key, day))
+    upto = grid.select(key, day, "_slice", "_b", F.sum("_b").over(run).alias("_upto"), total.alias("_total"))
+    wanted = upto.where("_total > 0").select(key, day, "_slice", "_b", "_upto", "_total", F.explode(F.array_distinct(F.array(F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)))).alias("_mid"))
+    wanted = wanted.where("_mid < _upto and _mid >= _upto - _b").withColumn("_at", F.col("_mid") - (F.col("_upto") - F.col("_b")))
+    inside = wanted.join(ranked.select(F.col(key).alias("_k"), F.col(day).alias("_d"), F.col("_slice").alias("_s"), value, "_n"), (F.col(key) == F.col("_k")) & (F.col("_slice") == F.col("_s")) & (F.col("_d") < F.col(day)))
+    # the two middles may lie at one offset of two slices: k tells them apart
+    per = inside.groupBy(key, day, "_mid", "_at", value).agg(F.sum("_n").alias("_n"))
+    passed = F.sum("_n").over(W.partitionBy(key, day, "_mid").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    found = per.withColumn("_passed", passed).where("_at < _passed and _at >= _passed - _n").groupBy(key, day).agg(F.avg(value).alias("median"))
+    return (days if asked is None else asked.select(key, day).distinct()).join(found, [key, day], "left")

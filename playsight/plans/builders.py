@@ -218,14 +218,16 @@ def movers(spark, sf_dir):
 
 
 @query("A41_contract_years", """WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal, unnest(range(0, 1 + c_custkey % 4)) AS year FROM customer WHERE c_acctbal > 0), s AS (SELECT c_nationkey, list_sort(list(c_acctbal), 'DESC') AS v FROM customer GROUP BY ALL)
-SELECT c_nationkey, count(*) AS seasons, round(sum(c_acctbal / (1 + year)), 3) AS paid, round(any_value(list_avg(v[1:10])), 4) AS top, round(any_value(list_avg(v[3:25])), 4) AS middle FROM c JOIN s USING (c_nationkey) GROUP BY c_nationkey""")
+SELECT c_nationkey, count(*) AS seasons, round(sum(CAST(round(c_acctbal * 100) AS BIGINT) * (12 // (1 + year))) / 1200.0::DOUBLE, 3) AS paid, round(any_value(list_avg(v[1:10])), 4) AS top, round(any_value(list_avg(v[3:25])), 4) AS middle FROM c JOIN s USING (c_nationkey) GROUP BY c_nationkey""")
 def contract_years(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     years = c.where("c_acctbal > 0").select("c_nationkey", "c_acctbal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c_custkey") % 4)).alias("year"))
+    # whole cents in twelfths (a contract has four years at most), so sums are exact
+    cents = F.round(F.col("c_acctbal") * 100).cast("long")
     # only the 25 largest of a group matter, so ranks are taken by a bounded top list
     s = c.withColumn("k", F.row_number().over(W.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))).where("k <= 25")
     s = s.groupBy("c_nationkey").agg(r(F.avg(F.when(F.col("k") <= 10, F.col("c_acctbal"))), 4).alias("top"), r(F.avg(F.when(F.col("k") >= 3, F.col("c_acctbal"))), 4).alias("middle"))
-    return years.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("seasons"), r(F.sum(F.col("c_acctbal") / (1 + F.col("year"))), 3).alias("paid")).join(s, "c_nationkey")
+    return years.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("seasons"), r(F.sum(cents * F.expr("12 div (1 + year)")) / F.lit(1200.0), 3).alias("paid")).join(s, "c_nationkey")
 
 
 @query("W13_reliability_curve", "SELECT p_partkey, round(CASE WHEN p_size < 8 THEN (p_size / 8.0 * 0.4) / (1 + (p_size / 8.0 - 1) * 0.4) WHEN p_size <= 20 THEN 0.4 + 0.2 * (p_size - 8) / 12.0 WHEN p_size <= 40 THEN 0.6 + 0.15 * (p_size - 20) / 20.0 ELSE 0.75 END, 6) AS reliability FROM part")

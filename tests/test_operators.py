@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import random
+import statistics
 
 import numpy as np
 import pytest
@@ -124,3 +126,60 @@ def test_hold_last_streams_as_in_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = hold.hold_last_batch(events, "game", 600).collect()
     assert sorted((r["game"], r["price"]) for r in spark.table("held").collect()) == sorted((r["game"], r["price"]) for r in batch) == [(1, 2.5), (4, 1.5), (5, 3.0)]
+
+
+def test_prior_median_of_random_small_inputs(spark):
+    """Even and odd counts, ties and single values, against a plain median."""
+    rng = random.Random(11)
+    rows = [(f"k{case}", day, float(rng.randrange(1, 6) * 10)) for case in range(40) for day in range(1, 6) for _ in range(rng.randrange(0, 4))]
+    rows += [("two", 1, 10.0), ("two", 1, 20.0), ("two", 2, 5.0)]
+    got = {(r["k"], r["day"]): r["median"] for r in X.prior_median(spark.createDataFrame(rows, "k string, day int, v double"), "k", "day", "v").collect()}
+    assert set(got) == {r[:2] for r in rows}
+    for (k, day), median in got.items():
+        earlier = [v for kk, d, v in rows if kk == k and d < day]
+        assert median == (statistics.median(earlier) if earlier else None), (k, day)
+    assert got["two", 2] == 15.0
+
+
+def _trait_play(**own):
+    from playsight.operators.traits import PLAY
+
+    base = dict.fromkeys(PLAY) | {"season": 2020, "week": 1, "game": 1, "team": 1, "opponent": 2, "kind": "pass", "qtr": 1, "down": 1, "togo": 10, "yardline": 50, "quarter_left": 800, "yards": 5, "epa": 1.0, "wpa": 0.1}
+    base |= dict.fromkeys("success complete interception sack hit fumble fumble_lost tackle solo tfl forced defended".split(), 0)
+    return base | own
+
+
+def _trait_values(spark, plays, positions, presence=()):
+    from playsight.operators import traits
+    from playsight.plans.traits import COLUMNS
+
+    kinds = {"kind": "string", **dict.fromkeys("epa adj_epa wpa cpoe yac xyac return_yards".split(), "double")}
+    assert set(traits.PLAY) <= set(COLUMNS)
+    schema = ", ".join(f"{c} {kinds.get(c, 'long')}" for c in traits.PLAY)
+    frame = spark.createDataFrame([tuple(p[c] for c in traits.PLAY) for p in plays], schema)
+    here = spark.createDataFrame(list(presence), "season long, week long, game long, team long, opponent long, athlete long")
+    where = spark.createDataFrame([(2020, a, g) for a, g in positions.items()], "season long, athlete long, grp string")
+    return {(r["athlete"], r["trait"]): r["value"] for r in traits.evaluated(frame, where, here).collect()}
+
+
+def test_shares_are_shares_and_games_without_a_target_count(spark):
+    # game 1: receiver 30 has one of three targets and runs once; game 2: a run only, none of two targets
+    plays = [_trait_play(passer=10, receiver=r) for r in (30, 31, 31)] + [_trait_play(kind="run", rusher=30, game=g, week=g) for g in (1, 2)] + [_trait_play(game=2, week=2, passer=10, receiver=31)] * 2
+    got = _trait_values(spark, plays, {10: "QB", 30: "WR", 31: "TE"})
+    assert got[30, "rec.target_share"] == pytest.approx(1 / 5) and got[31, "rec.target_share"] == pytest.approx(4 / 5)
+    assert (30, "rb.breakaway") not in got  # a receiver's run is no back's
+    assert got[30, "rec.value_per_target"] == 0.5  # half of the play's value
+
+
+def test_defenders_count_by_game_not_by_play(spark):
+    plays = [_trait_play(passer=10, defender=70, tfl=1, tackle=1, sack=s, epa=-1.0, wpa=-0.2, game=g, week=g) for g, s in ((1, 1), (1, 0), (3, 0))] + [_trait_play(passer=10, defender=71, tackle=1, hit=1, game=3, week=3)]
+    presence = [(2020, g, g, 2, 1, a) for g in (1, 2, 3) for a in (70, 71)]
+    got = _trait_values(spark, plays, {10: "QB", 70: "DL", 71: "LB"}, presence)
+    assert got[70, "def.every_week"] == pytest.approx(2 / 3) and got[71, "def.every_week"] == 0
+    assert got[70, "def.finishing"] == 1 and got[71, "def.finishing"] == 0
+    assert got[71, "def.tackle_share"] == pytest.approx(1 / 4) and (70, "def.tackle_share") not in got
+    # a game's own sack, and the hit of week 3 at the median sack before it
+    assert got[70, "def.pass_rush"] == pytest.approx(0.2 / 3) and got[71, "def.pass_rush"] == pytest.approx(0.2 / 3)
+    # three losses less one sack over three games
+    assert got[70, "def.run_stop"] == pytest.approx(2 / 3, abs=0.5)
+    assert (71, "qb.legs") not in got
