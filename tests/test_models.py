@@ -193,3 +193,94 @@ def test_publishing_gate(spark):
     assert not gate(good[:7])["publishable"] and not gate([(*r[:4], 0.7, *r[5:]) for r in good])["publishable"] and not gate([(*r[:5], 2.0, *r[6:]) for r in good])["publishable"]
     assert not gate([(r[0], r[0] > 2020, *r[2:]) for r in good])["publishable"]
     assert gate([(*r[:8], "development") for r in good])["status"] == "insufficient_validation"
+
+
+def _season(rng, weeks=6, teams=6):
+    rows = []
+    for season in (2020, 2021):
+        for week in range(1, weeks + 1):
+            order = rng.permutation(teams)
+            for k in range(0, teams, 2):
+                rows.append((season, week, f"{season}-{week}-{k}", f"t{order[k]}", f"t{order[k + 1]}", bool(rng.random() < 0.2), *map(float, rng.normal(2, 0.6, 2)), *map(float, rng.normal(0.1, 0.4, 2)), float(rng.integers(8, 14)), float(rng.integers(3, 40)), float(rng.integers(3, 40))))
+    return rows
+
+
+def _plain_fit(rows, cut):
+    """The two passes on the whole design, a game at a time."""
+    some = [r for r in rows if r[1] < cut]
+    teams = sorted({t for r in some for t in r[3:5]})
+    n, at = len(teams), {t: i for i, t in enumerate(teams)}
+    x, y, e, w = np.zeros((2 * len(some), 2 * n + 1)), [], [], []
+    for i, r in enumerate(some):
+        for k, (o, d) in enumerate(((3, 4), (4, 3))):
+            x[2 * i + k, at[r[o]]], x[2 * i + k, n + at[r[d]]] = 1, -1
+            x[2 * i + k, -1] = 0 if r[5] else 0.5 - k
+            y.append(r[6 + k])
+            e.append(r[8 + k])
+            w.append(0.5 ** ((cut - 1 - r[1]) / 6))
+    y, e, w = np.array(y), np.array(e), np.array(w)
+    cp, ce = y - np.average(y, weights=w), e - np.average(e, weights=w)
+    pp = np.clip(np.average(ce * cp, weights=w) / np.average(ce**2, weights=w), 0.1, 2.0) * ce
+    drives = np.array([r[10] for r in some])
+    mean, sd = np.zeros(2 * n + 1), np.full(2 * n + 1, 0.35)
+    mean[-1], sd[-1] = 2 / drives.mean(), 1 / drives.mean()
+
+    def solve(x, y, w, mean, sd):
+        c = np.linalg.inv(x.T @ (w[:, None] * x) + np.diag(sd**-2.0))
+        return c @ (x.T @ (w * y) + mean / sd**2), c
+
+    def shrunk(r, floor):
+        c = np.cov(r, rowvar=False)
+        return 0.9 * c + 0.1 * np.diag(np.diag(c)) + floor * np.eye(2)
+
+    b, _ = solve(x, 0.5 * (cp + pp), w, mean, sd)
+    inverse = np.linalg.inv(shrunk(np.column_stack([cp - x @ b, pp - x @ b]), 0.01))
+    b, c = solve(x, np.column_stack([cp, pp]) @ inverse.sum(1) / inverse.sum(), w * inverse.sum(), mean, sd)
+    off, dfn = b[:n] - b[:n].mean(), b[n:-1] - b[n:-1].mean()
+    t = np.eye(2 * n + 1)
+    t[:n, :n] -= 1 / n
+    t[n:-1, n:-1] -= 1 / n
+    c = t @ c @ t.T
+    wg = w[::2]
+    ppd = np.average([r[11] + r[12] for r in some], weights=wg) / (2 * np.average(drives, weights=wg)) + b[:n].mean() - b[n:-1].mean()
+    pd_ = np.zeros((len(some), n))
+    for i, r in enumerate(some):
+        pd_[i, [at[r[3]], at[r[4]]]] = 0.5
+    pace, _ = solve(pd_, drives - drives.mean(), wg, np.zeros(n), np.ones(n))
+    bd, pace = drives.mean() + pace.mean(), pace - pace.mean()
+
+    def expect(r):
+        i, j, h = at[r[3]], at[r[4]], 0 if r[5] else bd * b[-1] / 2
+        base = ppd * (bd + 0.5 * (pace[i] + pace[j]))
+        return base + bd * (off[i] - dfn[j]) + h, base + bd * (off[j] - dfn[i]) - h
+
+    score = shrunk(np.array([np.subtract(r[11:13], expect(r)) for r in some]), 4.0)
+
+    def project(r):
+        i, j, s = at[r[3]], at[r[4]], np.zeros((2, 2 * n + 1))
+        s[0, i], s[0, n + j], s[1, j], s[1, n + i] = bd, -bd, bd, -bd
+        s[:, -1] = 0 if r[5] else [0.5 * bd, -0.5 * bd]
+        m = np.array([[1, -1], [1, 1]]) @ (score + s @ c @ s.T) @ np.array([[1, -1], [1, 1]]).T
+        return *expect(r), m[0, 0] ** 0.5, m[1, 1] ** 0.5, m[0, 1] / (m[0, 0] * m[1, 1]) ** 0.5
+
+    return project
+
+
+def test_joint_scoring_equals_the_whole_design(spark):
+    from playsight.operators import scoring
+
+    rows = _season(np.random.default_rng(4))
+    games = spark.createDataFrame(rows, "season long, week long, game string, home string, away string, neutral boolean, home_ppd double, away_ppd double, home_epa double, away_epa double, drives double, home_points double, away_points double")
+    cuts = spark.createDataFrame([(s, c) for s in (2020, 2021) for c in (1, 4, 6)], "season long, cut long")
+    fitted = scoring.fits(games, cuts)
+    got = {r["game"]: r for r in scoring.projections(fitted, games.select("season", "week", "game", "home", "away", "neutral")).collect()}
+    want = [r for r in rows if r[1] in (4, 6)]
+    assert set(got) == {r[2] for r in want}
+    for r in want:
+        project = _plain_fit([x for x in rows if x[0] == r[0]], r[1])
+        g = got[r[2]]
+        assert (g["expected_home"], g["expected_away"], g["margin_sd"], g["total_sd"], g["correlation"]) == pytest.approx(project(r), rel=1e-8, abs=1e-10)
+    # games of the cut's week and later change nothing
+    later = games.withColumn("home_points", F.when(F.col("week") >= 4, 99.0).otherwise(F.col("home_points")))
+    again = scoring.fits(later, cuts.where("cut = 4")).select("season", "offense", "base_ppd").collect()
+    assert {r["season"]: r["base_ppd"] for r in again} == {r["season"]: pytest.approx(r["base_ppd"]) for r in fitted.where("cut = 4").select("season", "base_ppd").collect()}
