@@ -1,11 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text are its lower-cased words, their leading 4, 5 and 6 bytes, and every two successive
-characters of scripts that are written without spaces, each a 64-bit hash.  Those that tell the
-labelled training rows apart (by chi-squared, counted over all of those rows), as many as there are rows
-up to FEATURES, are the inputs, as present or absent.  A factorization machine gives each a weight and a vector; the products
-of the vectors of two present terms add what only the pair says.  It is fitted by Spark ML on at most
-2 * SAMPLE labelled rows, and every text is scored inside the scan that reads it.
+Terms of a text are its lower-cased words, their leading 4, 5 and 6 characters, and every two successive
+characters of scripts that are written without spaces.  All are hashed into a fixed space of 2 ** BITS
+places.  Every place that tells the labelled training rows apart (its chi-squared, counted over all of
+those rows, reaches CHI) is an input, however many there are, as present or absent.  A factorization machine
+gives each a weight and a vector; the products of the vectors of two present terms add what only the pair says.
+It is fitted by Spark ML on at most 2 * SAMPLE labelled rows, and every text is scored inside the scan
+that reads it.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from playsight.llm.textkit import _BYTE_CODE, LOWER, NON_ALNUM, Words, _power_ta
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 4000
-#: Terms: as many as there are training rows, between these; a term must reach CHI (5 % by chance) too.
-FEWEST, FEATURES = 512, 8192
-CHI = 3.84
+#: Places that terms are hashed to (log2).
+BITS = 22
+#: What a place must reach to be an input (one in twenty does by chance), and in how many training rows it must be.
+CHI, LEAST_ROWS = 3.84, 5
 FACTORS = 4
 PREFIXES = (4, 5, 6)
-#: Lead bytes of the three-byte characters of scripts without spaces (kana, ideographs, hangul), first and last.
-UNSPACED = (0xE3, 0xED)
-_TABLE_BITS = 20
+#: Three-byte characters of scripts without spaces: Thai and Lao, Burmese, Khmer, and kana, ideographs and hangul; first and last as lead byte and next byte.
+UNSPACED = ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xED9F))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,19 +42,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms and the row of each."""
+    """The places of all terms and the row of each."""
     words = Words(data, offsets, NON_ALNUM)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(words.bounds))
     up, down = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_CODE[LOWER[data]] * up[: len(data)], out=total[1:])
     found, at = [words.hash], [rows]
+    # where characters start, and which of them a word starts and ends at
+    char = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    first, last = np.searchsorted(char, words.start), np.searchsorted(char, words.end)
     for n in PREFIXES:
-        long = words.end - words.start > n
-        start = words.start[long]
-        found.append(mix((total[start + n] - total[start]) * down[start]) ^ np.uint64(n))
+        long = last - first > n
+        start, end = words.start[long], char[first[long] + n]
+        found.append(mix((total[end] - total[start]) * down[start]) ^ np.uint64(n))
         at.append(rows[long])
-    wide = (data >= UNSPACED[0]) & (data <= UNSPACED[1])
+    pair = (data[:-1].astype(np.int64) << 8) | data[1:] if len(data) > 1 else np.zeros(0, np.int64)
+    wide = np.zeros(len(data), bool)
+    for low, high in UNSPACED:
+        wide[: len(pair)] |= (pair >= low) & (pair <= high)
     if wide.any():
         start = np.flatnonzero(wide[:-5] & wide[3:-2]) if len(data) > 5 else np.zeros(0, np.int64)
         row = np.searchsorted(offsets, start, "right") - 1
@@ -61,7 +68,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         start, row = start[inside], row[inside]
         found.append(mix((total[start + 6] - total[start]) * down[start]) ^ np.uint64(2))
         at.append(row)
-    return np.concatenate(found), np.concatenate(at)
+    return (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(at)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,31 +77,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         for a, b, data, offsets in chunks(batch.column(1)):
             terms, rows = _terms(data, offsets)
-            both = np.unique(np.stack([terms, rows.astype(np.uint64)]), axis=1) if len(terms) else np.zeros((2, 0), np.uint64)
-            term, inverse = np.unique(both[0], return_inverse=True)
-            bad = np.bincount(inverse, toxic[a:b][both[1].astype(np.int64)], len(term)).astype(np.int64)
+            both = np.unique(terms * (b - a) + rows)
+            term, inverse = np.unique(both // (b - a), return_inverse=True)
+            bad = np.bincount(inverse, toxic[a:b][both % (b - a)], len(term)).astype(np.int64)
             every = np.bincount(inverse, minlength=len(term))
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(bad), pa.array(every - bad)], names=["term", "bad", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(bad), pa.array(every - bad)], names=["term", "bad", "good"])
 
 
 class _Inputs:
-    """Which of the chosen terms each text has: (row, place of the term), each pair once."""
+    """Which of the chosen places each text has: (row, number of the place), each pair once."""
 
     def __init__(self, terms: np.ndarray):
-        self.terms = np.sort(terms.astype(np.int64).view(np.uint64))
-        self.maybe = np.zeros(1 << _TABLE_BITS, bool)
-        self.maybe[(self.terms >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+        self.number = np.full(1 << BITS, -1, np.int32)
+        self.number[np.sort(terms)] = np.arange(len(terms))
+        self.many = max(1, len(terms))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found, rows = _terms(data, offsets)
-        near = np.flatnonzero(self.maybe[(found >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-        found, rows = found[near], rows[near]
-        if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.terms, found), len(self.terms) - 1)
-        same = self.terms[at] == found
-        pairs = np.unique(rows[same].astype(np.int64) * len(self.terms) + at[same])
-        return pairs // len(self.terms), pairs % len(self.terms)
+        at = self.number[found]
+        pairs = np.unique(rows[at >= 0].astype(np.int64) * self.many + at[at >= 0])
+        return pairs // self.many, pairs % self.many
 
 
 def _present(terms: np.ndarray):
@@ -126,12 +128,14 @@ def _scored(terms: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndar
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text).
 
     labels: (doc_id, toxic); rows with a null id or label, and those held out, are never learned
     from.  Null and empty texts get the score of a text without any of the terms.  Without labels of
-    both kinds every score is the share of the kind there is (0 without any).
+    both kinds every score is the share of the kind there is (0 without any).  `features` may name a
+    number of inputs to keep; by default there is no such number.  Texts are read whole, rows that repeat an id are scored
+    one by one, and where labels of one id differ the toxic one counts.  An empty table gives no row.
     """
     docs = docs.select("doc_id", "text")
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
@@ -142,7 +146,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fe
         bias = 40.0 if bad else -40.0
     elif n:
         every = docs.join(if_small(cut(known)), "doc_id").select("doc_id", "text", "toxic")
-        terms = _chosen_terms(every, bad, n - bad, min(features, max(FEWEST, n)))
+        terms = _chosen_terms(every, bad, n - bad, features)
         order = F.xxhash64("doc_id", F.lit("sample"))
         picked = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
         picked = if_small(cut(picked[0].unionAll(picked[1])))
@@ -161,12 +165,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fe
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _chosen_terms(rows: DataFrame, bad: int, good: int, features: int) -> np.ndarray:
-    """The `features` terms with the largest chi-squared statistic over all training rows, of which `bad` are toxic."""
+def _chosen_terms(rows: DataFrame, bad: int, good: int, features: int | None) -> np.ndarray:
+    """The places that tell the training rows, of which `bad` are toxic, apart: at most 2 ** BITS."""
     per = rows.mapInArrow(_counted, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     a, b = F.col("bad") / F.lit(bad), F.col("good") / F.lit(good)
     share = (F.col("bad") + F.col("good")) / F.lit(bad + good)
     chi = (a - b) ** 2 / (F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / bad + 1 / good))
-    stat = (a - b) ** 2 / (a + b + 0.002)
-    top = per.where("bad + good >= 5").where(chi >= CHI).select("term", stat.alias("stat")).orderBy(F.desc("stat"), "term").limit(features)
+    top = per.where(F.col("bad") + F.col("good") >= LEAST_ROWS).where(chi >= CHI)
+    if features is not None:
+        top = top.orderBy(chi.desc(), "term").limit(features)
     return np.array([r[0] for r in top.select("term").collect()], np.int64)
