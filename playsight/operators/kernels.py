@@ -1,37 +1,17 @@
-"""Model kernels: the Gram matrix is a Spark aggregation, only its small solve runs on the driver."""
+"""Model kernels: ratings, choice probabilities and fair values."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playsight.operators.context import two_sided
 
-def two_sided_ridge(games: DataFrame, offense: str, defense: str, value: str, weight: str, penalty: float) -> DataFrame:
-    """Ratings of both sides: value = base + off[offense] - def[defense], ridge around 0, weighted.
 
-    The data enter through sums by (offense, defense), so rows never leave the cluster; the number of
-    unknowns is the number of sides, which is checked to be small.
-    """
-    pairs = games.groupBy(offense, defense).agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(value)).alias("wy"))
-    sides = pairs.select(F.col(offense).alias("side")).union(pairs.select(F.col(defense))).distinct()
-    if sides.limit(501).count() > 500:
-        raise ValueError("two_sided_ridge solves densely for at most 500 sides")
-    rows = pairs.toPandas().sort_values([offense, defense])
-    names = sorted({*rows[offense], *rows[defense]})
-    k = len(names)
-    gram, right = np.zeros((2 * k + 1, 2 * k + 1)), np.zeros(2 * k + 1)
-    x = np.stack([np.zeros(len(rows), np.int64), 1 + np.searchsorted(names, rows[offense]), 1 + k + np.searchsorted(names, rows[defense])])
-    sign, w = np.array([1.0, 1.0, -1.0]), rows["w"].to_numpy(float)
-    for i in range(3):
-        np.add.at(right, x[i], sign[i] * rows["wy"].to_numpy(float))
-        for j in range(3):
-            np.add.at(gram, (x[i], x[j]), sign[i] * sign[j] * w)
-    gram[np.arange(1, 2 * k + 1), np.arange(1, 2 * k + 1)] += penalty
-    beta = np.linalg.solve(gram, right) if k else right
-    out = pd.DataFrame({"side": names, "off": beta[1 : k + 1], "def": beta[k + 1 :], "base": beta[0]})
-    return games.sparkSession.createDataFrame(out, "side long, off double, def double, base double")
+def two_sided_ridge(games: DataFrame, offense: str, defense: str, value: str, weight: str, penalty: float) -> DataFrame:
+    """Ratings of both sides: value = base + off[offense] - def[defense], ridge around 0, weighted; by conjugate gradients, for any number of sides."""
+    out = two_sided(games, offense, defense, value, weight, penalty)
+    return out.withColumn("side", F.col("side").cast(games.schema[offense].dataType))
 
 
 def softmax(df: DataFrame, keys: list[str], score: str, out: str = "p") -> DataFrame:

@@ -15,7 +15,7 @@ from playsight.operators import ledger as L
 from playsight.operators import ratio as R
 from playsight.operators import stats as S
 from playsight.operators import windows as X
-from playsight.plans import builders, traits
+from playsight.plans import builders, models, traits
 from playsight.plans.bindings import EV, OF, PR, UD, offers, projections, ratio_events, table, user_days
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -566,14 +566,14 @@ def value_over_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("M1_two_sided_ridge")
 def two_sided_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from playsight.operators.kernels import two_sided_ridge as fit
+    from playsight.operators.context import two_sided as fit
 
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("offense"))
     supp = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("defense"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(cust, "o_custkey")
     lines = ratio_events(spark, sf_dir).join(orders, "l_orderkey").join(supp, "l_suppkey").withColumn("y", F.col("n") / F.col("d"))
     out = fit(lines, "offense", "defense", "y", "d", 1000.0)
-    return out.select("side", r("off", 4).alias("off"), r("def", 4).alias("def"), r("base", 4).alias("base"))
+    return out.select(F.col("side").cast("long").alias("side"), r("off", 4).alias("off"), r("def", 4).alias("def"), r("base", 4).alias("base"))
 
 
 @query("M16_softmax", "WITH s AS (SELECT c_custkey, c_nationkey, c_acctbal / 1000 AS x FROM customer), e AS (SELECT *, exp(x - max(x) OVER (PARTITION BY c_nationkey)) AS e FROM s) SELECT c_custkey, round(e / sum(e) OVER (PARTITION BY c_nationkey), 6) AS p FROM e")
@@ -632,6 +632,6 @@ def corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(r(guarded_corr("l_quantity", "l_extendedprice")).alias("r"))
 
 
-for _more in (traits, builders):
+for _more in (traits, builders, models):
     QUERIES.update(_more.QUERIES)
     SQL.update(_more.SQL)
