@@ -411,6 +411,18 @@ def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.band_join(p, v, "user_id", "t", "s", 7200).select("a", "b", (F.col("t") - F.col("s")).alias("lag"))
 
 
+@query("J13_similar_names", """WITH l AS (SELECT c_custkey AS who, c_custkey * 60 AS t, 'Customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS n, c_mktsegment AS m FROM customer),
+r AS (SELECT s_suppkey AS other, s_suppkey * 420 + 30 AS s, 'Customer#' || lpad(CAST(s_suppkey * 7 + s_suppkey % 3 AS VARCHAR), 9, '0') AS n, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDINGS' ELSE 'FURNITURE' END AS m FROM supplier),
+p AS (SELECT who, other, t - s AS lag, ((1 - levenshtein(l.n, r.n)::DOUBLE / greatest(length(l.n), length(r.n))) + (1 - levenshtein(l.m, r.m)::DOUBLE / greatest(length(l.m), length(r.m)))) / 2 AS score FROM l JOIN r ON abs(t - s) <= 7200)
+SELECT who, other, round(score, 6) AS score, lag FROM p WHERE score >= 0.9 - 1e-12 QUALIFY row_number() OVER (PARTITION BY who ORDER BY round(score, 12) DESC, abs(lag), other) = 1""")
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda c: F.concat(F.lit("Customer#"), F.lpad(c.cast("string"), 9, "0"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("who"), (F.col("c_custkey") * 60).alias("t"), name(F.col("c_custkey")).alias("n"), F.col("c_mktsegment").alias("m"))
+    s = F.col("s_suppkey")
+    o = table(spark, sf_dir, "supplier").select(s.alias("other"), (s * 420 + 30).alias("s"), name(s * 7 + s % 3).alias("n"), F.when(s % 2 == 0, "BUILDINGS").otherwise("FURNITURE").alias("m"))
+    return J.similar_in_band(c, o, "who", "other", "t", "s", 7200, [("n", "n"), ("m", "m")], 0.9).select("who", "other", r("score").alias("score"), "lag")
+
+
 @query("J14_mirrored_offers", f"WITH {EV}, {OF} SELECT a.game, a.book, a.side, a.point, b.book AS other_book, b.price AS other_price FROM of a JOIN of b ON a.game = b.game AND a.week = b.week AND a.side <> b.side AND a.point = -b.point")
 def mirrored_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = offers(spark, sf_dir)

@@ -183,3 +183,30 @@ def test_defenders_count_by_game_not_by_play(spark):
     # three losses less one sack over three games
     assert got[70, "def.run_stop"] == pytest.approx(2 / 3, abs=0.5)
     assert (71, "qb.legs") not in got
+
+
+def test_similar_names_are_all_found(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randrange(0, 14)))
+    change = lambda w: "".join(c if rng.random() < 0.9 else rng.choice("abé") for c in w)
+    left = [(k, rng.randrange(0, 100), word()) for k in range(60)]
+    right = [(k, rng.randrange(0, 100), change(rng.choice(left)[2])) for k in range(60)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, last = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    for least in (0.7, 0.85, 1.0):
+        want = {}
+        for i, t, a in left:
+            near = [(-round(1 - edits(a, b) / max(len(a), len(b), 1), 12), abs(t - s), j) for j, s, b in right if abs(t - s) <= 30 and 1 - edits(a, b) / max(len(a), len(b), 1) >= least - 1e-12]
+            if near:
+                want[i] = min(near)[2]
+        got = J.similar_in_band(spark.createDataFrame(left, "i long, t long, a string"), spark.createDataFrame(right, "j long, s long, b string"), "i", "j", "t", "s", 30, [("a", "b")], least)
+        assert {r["i"]: r["j"] for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        J.similar_in_band(spark.createDataFrame(left, "i long, t long, a string"), spark.createDataFrame(right, "j long, s long, b string"), "i", "j", "t", "s", 30, [("a", "b")], 0.6)
