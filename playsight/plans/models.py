@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playsight.operators import choice, context, scoring, solvers
+from playsight.operators import choice, context, decisions, ratings, scoring, solvers
 from playsight.plans.bindings import table
 from playsight.plans.traits import plays
 
@@ -95,3 +95,44 @@ def choice_evaluation(spark, sf_dir):
     inf = float("inf")
     out = choice.evaluated(races(spark, sf_dir), "season", "race", "who", "won", ["games", "account", "noise"], [0.0, -inf, 0.0], [inf, inf, inf])
     return out.select("season", "race", "candidates", "winner_in_pool", "winner_hit", "top_three_hit", *[F.round(c, 6).alias(c) for c in ("winner_probability", "leader_probability", "log_loss", "brier", "uniform_log_loss")], "split")
+
+
+@query("M5_unit_ratings")
+def unit_ratings(spark, sf_dir):
+    x = F.col("o_orderkey")
+    part = lambda k, m, a: (F.pmod(x * k, F.lit(m)) - float(a)).cast("double")
+    games = scored_games(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("game")), "game")
+    games = games.select("season", "week", F.col("home").alias("team"), F.col("away").alias("opponent"), part(7, 31, 15).alias("rush_epa"), part(11, 29, 14).alias("pass_epa"), part(13, 17, 8).alias("st_epa"), F.when(x % 4 != 0, F.pmod(x, F.lit(9)).cast("double")).alias("pressures"),
+                         F.pmod(x * 3, F.lit(40)).cast("double").alias("dropbacks"), F.when(x % 5 != 0, 2.0 + F.pmod(x, F.lit(13)) / 10.0).alias("time_to_throw"), part(5, 11, 5).alias("protection_epa"), part(3, 97, -40).alias("line_yards"), F.pmod(x * 7, F.lit(35)).cast("double").alias("carries"))
+    out = ratings.unit_ratings(games, games.select("season", F.lit(9).cast("long").alias("cut")).distinct())
+    return out.select("season", "cut", "team", *[F.round(c, 6).alias(c) for c in out.columns[3:]])
+
+
+@query("M6_market_ratings")
+def market_ratings(spark, sf_dir):
+    games = scored_games(spark, sf_dir)
+    lined = games.select(F.lit("league").alias("league"), "season", "week", "home", "away", "neutral", F.when(F.col("game").cast("long") % 6 != 0, F.pmod(F.col("game").cast("long") * 5, F.lit(29)) / 2.0 - 7.0).alias("spread"))
+    cuts = games.select(F.lit("league").alias("league"), "season").distinct().withColumn("cut", F.explode(F.array(F.lit(1).cast("long"), F.lit(9).cast("long"))))
+    return ratings.market_ratings(lined, cuts).select("chain", "season", "cut", "team", F.round("rating", 6).alias("rating"), "games")
+
+
+@query("L1_decisions")
+def priced_decisions(spark, sf_dir):
+    """Parts as games, suppliers as books that quote both sides."""
+    import datetime as dt
+
+    now = dt.datetime(2024, 9, 8, 12)
+    at = lambda minutes: (F.lit(now) - F.make_interval(mins=minutes)).cast("timestamp")
+    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    k = F.pmod(F.col("l_partkey") * 31 + F.col("l_suppkey") * 17, F.lit(60))
+    market = F.element_at(F.array(F.lit("h2h"), F.lit("spreads"), F.lit("totals")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    rows = pairs.withColumn("market", market).withColumn("side", F.explode(F.when(F.col("market") == "totals", F.array(F.lit("over"), F.lit("under"))).otherwise(F.array(F.lit("home"), F.lit("away")))))
+    first = F.col("side").isin("home", "over")
+    point = F.when(F.col("market") == "totals", 40.0 + F.pmod("l_partkey", F.lit(11)) / 2.0).when(F.col("market") == "spreads", F.when(first, 1.0).otherwise(-1.0) * (F.pmod("l_partkey", F.lit(27)) / 2.0 - 6.5))
+    offers = rows.select(
+        F.col("l_partkey").cast("string").alias("game"), "market", "side", point.alias("point"), F.when(first, -100.0 - k).otherwise(F.when(k < 20, -120.0 + k).otherwise(80.0 + k)).alias("price"), F.col("l_suppkey").cast("string").alias("book"), at((F.col("l_suppkey") % 70).cast("int")).alias("updated"),
+        at(F.lit(0)).alias("fetched"), F.lit("e").alias("event"), F.lit("api").alias("source"), F.lit(dt.datetime(2024, 9, 8, 17)).alias("offer_start"), (F.col("l_suppkey") % 7 != 0).alias("verified"), F.lit(1.0).alias("match"),
+    )
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("game"), F.lit(dt.datetime(2024, 9, 8, 17)).alias("start"), at(F.lit(180)).alias("as_of"), F.lit(3.0).alias("home_margin"), F.lit(4.0).alias("pure_margin"), F.lit(44.0).alias("model_total"), F.lit(13.0).alias("margin_sd"), F.lit(13.0).alias("total_sd"), F.when(F.col("p_partkey") % 9 == 0, 1).otherwise(0).alias("home_missing"), F.lit(0).alias("away_missing"), F.lit(None).cast("string").alias("input_reason"))
+    out = decisions.decisions(p, offers, now)
+    return out.select("game", "market", "side", "point", "price", "book", *[F.round(c, 6).alias(c) for c in ("priced_mean", "win", "push", "edge", "edge_points", "ev")], "reason", "status", "stake")

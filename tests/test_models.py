@@ -284,3 +284,66 @@ def test_joint_scoring_equals_the_whole_design(spark):
     later = games.withColumn("home_points", F.when(F.col("week") >= 4, 99.0).otherwise(F.col("home_points")))
     again = scoring.fits(later, cuts.where("cut = 4")).select("season", "offense", "base_ppd").collect()
     assert {r["season"]: r["base_ppd"] for r in again} == {r["season"]: pytest.approx(r["base_ppd"]) for r in fitted.where("cut = 4").select("season", "base_ppd").collect()}
+
+
+def test_unit_ratings_equal_a_dense_solve(spark):
+    from playsight.operators import ratings
+
+    rng = np.random.default_rng(6)
+    names = "rush_epa pass_epa st_epa pressures dropbacks time_to_throw protection_epa line_yards carries".split()
+    rows = [(2020, int(rng.integers(1, 9)), f"t{t}", f"t{o}", *map(float, rng.normal(size=3)), None if rng.random() < 0.3 else float(rng.integers(0, 9)), float(rng.integers(0, 30)), None if rng.random() < 0.3 else float(rng.normal(2.7, 0.3)), float(rng.normal()), float(rng.normal(80, 20)), float(rng.integers(0, 30))) for t in range(6) for o in range(6) for _ in range(14) if t != o]
+    frame = spark.createDataFrame(rows, "season long, week long, team string, opponent string, " + ", ".join(f"{n} double" for n in names))
+    got = {r["team"]: r for r in ratings.unit_ratings(frame, spark.createDataFrame([(2020, 7)], "season long, cut long")).collect()}
+    some = [dict(zip(["season", "week", "team", "opponent", *names], r, strict=True)) for r in rows if r[1] < 7]
+    w = np.array([0.5 ** ((6 - r["week"]) / 6) for r in some])
+    charted = [r["pressures"] is not None and r["dropbacks"] > 0 for r in some]
+    timed = [i for i, r in enumerate(some) if charted[i] and r["time_to_throw"] is not None]
+    rate = np.array([r["pressures"] / r["dropbacks"] if c else np.nan for r, c in zip(some, charted, strict=True)])
+    ttt = np.array([some[i]["time_to_throw"] for i in timed])
+    assert len(timed) >= 100
+    adjusted = rate.copy()
+    adjusted[timed] -= ((ttt - ttt.mean()) * (rate[timed] - rate[timed].mean())).sum() / ((ttt - ttt.mean()) ** 2).sum() * (ttt - ttt.mean())
+    block = np.array([(adjusted[i] - np.nanmean(adjusted)) * r["dropbacks"] * -0.45 if charted[i] else r["protection_epa"] for i, r in enumerate(some)])
+    per = sum(r["line_yards"] for r in some if r["carries"] > 0) / sum(r["carries"] for r in some if r["carries"] > 0)
+    run = np.array([(r["line_yards"] - per * r["carries"]) * 0.08 if r["carries"] > 0 else 0.0 for r in some])
+    x = np.array([[float(r["team"] == f"t{k}") for k in range(6)] + [-float(r["opponent"] == f"t{k}") for k in range(6)] for r in some])
+
+    def both(y, penalty):
+        b = np.linalg.solve(x.T @ (w[:, None] * x) + penalty * np.eye(12), x.T @ (w * (y - np.average(y, weights=w))))
+        return b[:6] - b[:6].mean(), b[6:] - b[6:].mean()
+
+    of = lambda c: np.array([r[c] for r in some])
+    (ro, rd), (po, pd_), (b, _), (ru, _), (s1, s2) = both(of("rush_epa"), 12), both(of("pass_epa"), 8), both(block, 12), both(run, 8), both(of("st_epa"), 16)
+    for k in range(6):
+        r = got[f"t{k}"]
+        assert [r[c] for c in ("rush_offense", "rush_defense", "pass_offense", "pass_defense", "pass_block", "run_block", "special_teams")] == pytest.approx([ro[k], rd[k], po[k], pd_[k], b[k], ru[k], s1[k] + s2[k]], abs=1e-9)
+
+
+def test_market_ratings_are_carried_from_season_to_season(spark):
+    from playsight.operators import ratings
+
+    rng = np.random.default_rng(8)
+    rows = [(lg, s, int(rng.integers(1, 7)), f"t{h}", f"t{a}", bool(rng.random() < 0.2), None if rng.random() < 0.1 else float(rng.normal(-2, 5))) for lg in ("x", "y") for s in (2019, 2020, 2022) for h, a in (rng.choice(5, 2, replace=False) for _ in range(25))]
+    frame = spark.createDataFrame(rows, "league string, season long, week long, home string, away string, neutral boolean, spread double")
+    cuts = [(lg, s, c) for lg in ("x", "y") for s, c in ((2019, 4), (2022, 1), (2022, 5), (2023, 1))]
+    got = {(r["chain"], r["season"], r["cut"], r["team"]): (r["rating"], r["games"]) for r in ratings.market_ratings(frame, spark.createDataFrame(cuts, "league string, season long, cut long")).collect()}
+
+    def fit(some, prior, teams, last):
+        x = np.array([[float(g[3] == t) - float(g[4] == t) for t in teams] + [float(not g[5])] for g in some])
+        w, y = np.array([0.5 ** ((last - g[2]) / 1.29) for g in some]), np.array([-g[6] for g in some])
+        lam = np.array([0.105] * len(teams) + [0.01])
+        b = np.linalg.solve(x.T @ (w[:, None] * x) + np.diag(lam), x.T @ (w * y) + lam * np.array([prior.get(t, 0.0) for t in teams] + [0.0]))
+        return dict(zip(teams, b[:-1] - b[:-1].mean(), strict=True))
+
+    want = {}
+    for lg, season, cut in cuts:
+        prior = {}
+        lined = [g for g in rows if g[0] == lg and g[6] is not None]
+        for s in (2019, 2020, 2022):
+            own = [g for g in lined if g[1] == s]
+            if s < season:
+                prior = {t: 0.82 * r for t, r in fit(own, prior, sorted({t for g in own for t in g[3:5]}), max(g[2] for g in own)).items()}
+        now = [g for g in lined if g[1] == season and g[2] < cut]
+        rated = fit(now, prior, sorted({*prior, *(t for g in now for t in g[3:5])}), cut - 1) if now else prior
+        want |= {(lg, season, cut, t): (r, sum(t in g[3:5] for g in now)) for t, r in rated.items()}
+    assert set(got) == set(want) and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-9) for k in want)
