@@ -38,13 +38,14 @@ def _chances(total: np.ndarray, up: np.ndarray, point: np.ndarray, mean: np.ndar
     s = TOTAL_SD * math.sqrt(5 / 7)
     over, under = _cdf((mean - np.floor(point) - 0.5) / s), _cdf((np.ceil(point) - 0.5 - mean) / s)
     tie = np.where(point == np.floor(point), np.maximum(0.0, 1.0 - over - under), 0.0)
+    win, push = over, tie
+    some = np.flatnonzero(~total)
     k = np.arange(-RANGE, RANGE + 1)
-    steps = _cdf((k[:-1] + 0.5 - mean[:, None]) / (MARGIN_SD * math.sqrt(5 / 7)))
-    mass = np.diff(np.concatenate([np.zeros((len(mean), 1)), steps, np.ones((len(mean), 1))], axis=1), axis=1) * weights
+    steps = _cdf((k[:-1] + 0.5 - mean[some, None]) / (MARGIN_SD * math.sqrt(5 / 7)))
+    mass = np.diff(np.concatenate([np.zeros((len(some), 1)), steps, np.ones((len(some), 1))], axis=1), axis=1) * weights
     mass /= mass.sum(axis=1, keepdims=True)
-    edge = k + np.where(up, point, -point)[:, None]
-    home, level = (mass * (edge > 1e-9)).sum(1), (mass * (np.abs(edge) <= 1e-9)).sum(1)
-    win, push = np.where(total, over, home), np.where(total, tie, level)
+    edge = k + np.where(up, point, -point)[some, None]
+    win[some], push[some] = (mass * (edge > 1e-9)).sum(1), (mass * (np.abs(edge) <= 1e-9)).sum(1)
     return np.where(up, win, 1.0 - win - push), push
 
 
@@ -56,7 +57,7 @@ def _root(share, target: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     """Where share, increasing, is the target; NaN where it isn't between its ends."""
     with np.errstate(invalid="ignore"):
         inside = (share(low) <= target) & (share(high) >= target)
-        for _ in range(60):
+        for _ in range(36):
             mid = (low + high) / 2
             less = share(mid) < target
             low, high = np.where(less, mid, low), np.where(less, high, mid)

@@ -118,20 +118,20 @@ def market_ratings(spark, sf_dir):
 
 @query("L1_decisions")
 def priced_decisions(spark, sf_dir):
-    """Parts as games, suppliers as books that quote both sides."""
+    """Parts as games, five groups of suppliers as books that quote both sides."""
     import datetime as dt
 
     now = dt.datetime(2024, 9, 8, 12)
     at = lambda minutes: (F.lit(now) - F.make_interval(mins=minutes)).cast("timestamp")
-    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_suppkey") % 5).alias("l_suppkey")).distinct()
     k = F.pmod(F.col("l_partkey") * 31 + F.col("l_suppkey") * 17, F.lit(60))
     market = F.element_at(F.array(F.lit("h2h"), F.lit("spreads"), F.lit("totals")), (F.col("l_suppkey") % 3 + 1).cast("int"))
     rows = pairs.withColumn("market", market).withColumn("side", F.explode(F.when(F.col("market") == "totals", F.array(F.lit("over"), F.lit("under"))).otherwise(F.array(F.lit("home"), F.lit("away")))))
     first = F.col("side").isin("home", "over")
     point = F.when(F.col("market") == "totals", 40.0 + F.pmod("l_partkey", F.lit(11)) / 2.0).when(F.col("market") == "spreads", F.when(first, 1.0).otherwise(-1.0) * (F.pmod("l_partkey", F.lit(27)) / 2.0 - 6.5))
     offers = rows.select(
-        F.col("l_partkey").cast("string").alias("game"), "market", "side", point.alias("point"), F.when(first, -100.0 - k).otherwise(F.when(k < 20, -120.0 + k).otherwise(80.0 + k)).alias("price"), F.col("l_suppkey").cast("string").alias("book"), at((F.col("l_suppkey") % 70).cast("int")).alias("updated"),
-        at(F.lit(0)).alias("fetched"), F.lit("e").alias("event"), F.lit("api").alias("source"), F.lit(dt.datetime(2024, 9, 8, 17)).alias("offer_start"), (F.col("l_suppkey") % 7 != 0).alias("verified"), F.lit(1.0).alias("match"),
+        F.col("l_partkey").cast("string").alias("game"), "market", "side", point.alias("point"), F.when(first, -100.0 - k).otherwise(F.when(k < 20, -120.0 + k).otherwise(80.0 + k)).alias("price"), F.col("l_suppkey").cast("string").alias("book"), at((F.col("l_partkey") % 70).cast("int")).alias("updated"),
+        at(F.lit(0)).alias("fetched"), F.lit("e").alias("event"), F.lit("api").alias("source"), F.lit(dt.datetime(2024, 9, 8, 17)).alias("offer_start"), ((F.col("l_partkey") + F.col("l_suppkey")) % 7 != 0).alias("verified"), F.lit(1.0).alias("match"),
     )
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("game"), F.lit(dt.datetime(2024, 9, 8, 17)).alias("start"), at(F.lit(180)).alias("as_of"), F.lit(3.0).alias("home_margin"), F.lit(4.0).alias("pure_margin"), F.lit(44.0).alias("model_total"), F.lit(13.0).alias("margin_sd"), F.lit(13.0).alias("total_sd"), F.when(F.col("p_partkey") % 9 == 0, 1).otherwise(0).alias("home_missing"), F.lit(0).alias("away_missing"), F.lit(None).cast("string").alias("input_reason"))
     out = decisions.decisions(p, offers, now)
