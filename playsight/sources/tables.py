@@ -95,14 +95,33 @@ def probe(spark: SparkSession, path: str, required: list[str], version: tuple[st
 
 
 def write_atomic(df: DataFrame, path: str) -> None:
-    """Writes beside `path` and renames: a reader sees the old table, or none for a moment, but never half of one."""
+    """Writes beside `path`, sets the old table aside, and renames the new one into place.
+
+    A failed job leaves the old table as it is; a crash between the two renames leaves both, whole, at `path`.old and `path`.tmp,
+    and the next call (or restore_atomic) puts one back.  A reader never sees half of one.
+    """
     spark = df.sparkSession
+    restore_atomic(spark, path)
     df.write.mode("overwrite").parquet(f"{path}.tmp")
     fs, target = _files(spark, path)
-    _, staged = _files(spark, f"{path}.tmp")
-    fs.delete(target, True)
+    (_, staged), (_, aside) = _files(spark, f"{path}.tmp"), _files(spark, f"{path}.old")
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"{path} could not be set aside")
     if not fs.rename(staged, target):
+        fs.rename(aside, target)
         raise OSError(f"{path} could not be put in place")
+    fs.delete(aside, True)
+
+
+def restore_atomic(spark: SparkSession, path: str) -> None:
+    """After a crash in write_atomic: the table set aside comes back where none is in place, and is removed otherwise."""
+    fs, target = _files(spark, path)
+    _, aside = _files(spark, f"{path}.old")
+    if fs.exists(aside):
+        if fs.exists(target):
+            fs.delete(aside, True)
+        elif not fs.rename(aside, target):
+            raise OSError(f"{path} could not be restored")
 
 
 def replace_rows(df: DataFrame, path: str, target: str, keys: list[str], order: list[str]) -> None:
