@@ -103,7 +103,7 @@ class PieceTokens(Encoder):
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, np.uint32) for x in self.model.encode(texts, num_threads=1)]
 
-    def _learn(self, codes: list[int], raw: list[bytes]) -> None:
+    def _learn(self, codes: np.ndarray, raw: list[bytes]) -> None:
         # the library gives nothing for nothing: a space alone is the mark alone
         alone = np.array([self.model.piece_to_id("▁")], np.uint32)
         ids = [alone if x == b" " else y for x, y in zip(raw, self._encode([x[1:].decode() for x in raw]), strict=True)]

@@ -77,13 +77,14 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        # codes of the known pieces, sorted, and the number of each: arrays, as a dictionary of a million is ten times as large
+        self.codes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.at = np.zeros(1 << 20, np.uint16 if len(self.width) <= 1 << 16 else np.uint32), np.zeros(1 << 18, np.int64)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, codes: list[int], raw: list[bytes]) -> None:
+    def _learn(self, codes: np.ndarray, raw: list[bytes]) -> None:
         """Encodes pieces and files them under their codes."""
         # white space alone (the end of a text) would run into the white space of the next piece
         joined = [_KIND[x[0]] == 1 != _KIND[x[-1]] for x in raw]
@@ -105,18 +106,24 @@ class Encoder:
             ids.append(got)
         ids += alone
         lengths.append(np.array([len(x) for x in alone], np.int64))
-        self._file([codes[i] for i in spaced + others], np.concatenate(ids), np.concatenate(lengths))
+        self._file(codes[spaced + others], np.concatenate(ids), np.concatenate(lengths))
 
-    def _file(self, codes: list[int], flat: np.ndarray, length: np.ndarray) -> None:
+    def _file(self, codes: np.ndarray, flat: np.ndarray, length: np.ndarray) -> None:
         """Files the ids of pieces in a row, so many a piece, under their codes."""
-        n, used = len(self.known), int(self.at[len(self.known)])
+        n, used = len(self.codes), int(self.at[len(self.codes)])
         while used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(length) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         self.flat[used : used + len(flat)] = flat
         self.at[n + 1 : n + 1 + len(length)] = used + np.cumsum(length)
-        self.known.update(zip(codes, range(n, n + len(length)), strict=True))
+        order = np.argsort(codes)
+        place = np.searchsorted(self.codes, codes[order])
+        self.codes, self.number = np.insert(self.codes, place, codes[order]), np.insert(self.number, place, (n + order).astype(np.int32))
+
+    def _has(self, codes: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return self.codes[place] == codes
 
     def _starts(self, data: np.ndarray) -> np.ndarray:
         """Where pieces start (but for those at the start of a text)."""
@@ -144,19 +151,17 @@ class Encoder:
         new = np.empty(len(code), bool)
         new[0], new[1:] = True, ranked[1:] != ranked[:-1]
         first = order[new]
-        unique = ranked[new].tolist()
+        unique = ranked[new]
         inverse = np.empty(len(code), np.int64)
         inverse[order] = np.cumsum(new) - 1
-        if len(self.known) + len(unique) > self.memory:
+        if len(self.codes) + len(unique) > self.memory:
             self._forget()
-        number = list(map(self.known.get, unique))
-        if None in number:
-            missing = [i for i, x in enumerate(number) if x is None]
+        missing = np.flatnonzero(~self._has(unique)) if len(self.codes) else np.arange(len(unique))
+        if len(missing):
             raw = data.tobytes()
             at = first[missing]
-            self._learn([unique[i] for i in missing], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-            number = list(map(self.known.get, unique))
-        which = np.array(number, np.int64)[inverse]
+            self._learn(unique[missing], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        which = self.number[np.searchsorted(self.codes, unique)].astype(np.int64)[inverse]
         begin = self.at[which]
         length = self.at[which + 1] - begin
         after = np.cumsum(length)
