@@ -37,7 +37,7 @@ LEAST, MEAN, MOST = 64, 512, 4096
 #: Ids that the rolling hash sees.
 ROLL = 16
 #: Bytes of text whose pieces are looked up together: each different one once.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 20
 #: Entries of the per-worker memory of encoded pieces; it is emptied when full.
 MEMORY = 1_000_000
 #: Tokens of a run of documents that have one node of the manifest (log2); nodes under a higher node.
