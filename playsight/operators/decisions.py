@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from playsight.functions.market import devig, expected_value, implied, profit
 from playsight.operators.ledger import balance, best_offer, first_reason, settled, settled_profit
 from playsight.operators.selection import valid_offer
+from playsight.operators.solvers import cut
 
 # Pricing deviations, the model's weight against the market, slate, ages and search range.
 MARGIN_SD, TOTAL_SD = 12.82, 13.28
@@ -33,13 +34,28 @@ def _cdf(x: np.ndarray) -> np.ndarray:
     return 0.5 + (theta + np.sin(theta) * (cos + 2 / 3 * cos**3 + 8 / 15 * cos**5)) / math.pi
 
 
-def _chances(total: np.ndarray, up: np.ndarray, point: np.ndarray, mean: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(win, push) of offers, of arrays: totals by the rounded line, others by whole margins within RANGE, the tails folded in, weighted and made to sum to one."""
+def _whole(mean: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(win, push) by whole margins of equal weight: their masses telescope, so the ends of a sum are enough.  A margin k wins where k + line > 0."""
+    s = MARGIN_SD * math.sqrt(5 / 7)
+
+    def up_to(k: np.ndarray) -> np.ndarray:
+        return np.where(k < -RANGE, 0.0, np.where(k >= RANGE, 1.0, _cdf((k + 0.5 - mean) / s)))
+
+    loses, even = np.floor(1e-9 - line), np.round(-line)
+    tie = (np.abs(even + line) <= 1e-9) & (np.abs(even) <= RANGE)
+    return 1.0 - up_to(loses), np.where(tie, up_to(even) - up_to(even - 1), 0.0)
+
+
+def _chances(total: np.ndarray, up: np.ndarray, point: np.ndarray, mean: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(win, push) of offers, of arrays: totals by the rounded line, others by whole margins within RANGE, the tails folded in, weighted (None: equally) and made to sum to one."""
     s = TOTAL_SD * math.sqrt(5 / 7)
     over, under = _cdf((mean - np.floor(point) - 0.5) / s), _cdf((np.ceil(point) - 0.5 - mean) / s)
     tie = np.where(point == np.floor(point), np.maximum(0.0, 1.0 - over - under), 0.0)
     win, push = over, tie
     some = np.flatnonzero(~total)
+    if weights is None:
+        win[some], push[some] = _whole(mean[some], np.where(up, point, -point)[some])
+        return np.where(up, win, 1.0 - win - push), push
     k = np.arange(-RANGE, RANGE + 1)
     steps = _cdf((k[:-1] + 0.5 - mean[some, None]) / (MARGIN_SD * math.sqrt(5 / 7)))
     mass = np.diff(np.concatenate([np.zeros((len(some), 1)), steps, np.ones((len(some), 1))], axis=1), axis=1) * weights
@@ -64,9 +80,15 @@ def _root(share, target: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     return np.where(inside, (low + high) / 2, np.nan)
 
 
+def _different(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different rows of arrays, and the place of each row among them: prices and points come in steps, so a batch has few."""
+    rows, place = np.unique(np.column_stack([np.asarray(c, float) for c in columns]), axis=0, return_inverse=True)
+    return list(rows.T), place.ravel()
+
+
 def _priced(weights: list[float] | None):
     """Vectorised functions over Arrow batches: the chances of an offer, the mean that gives it a fair share, and the shift that takes its edge."""
-    w = np.ones(2 * RANGE + 1) if weights is None else np.asarray(weights, float)
+    w = None if weights is None else np.asarray(weights, float)
 
     def share(arrays, mean):
         win, push = _chances(*arrays, mean, w)
@@ -79,15 +101,17 @@ def _priced(weights: list[float] | None):
 
     @F.pandas_udf("double")
     def fair_mean(market: pd.Series, side: pd.Series, point: pd.Series, fair: pd.Series) -> pd.Series:
-        a = _arrays(market, side, point)
-        base = np.where(a[0], a[2], -a[2])
-        return pd.Series(_root(lambda m: share(a, m), fair.to_numpy(float), base - SEARCH, base + SEARCH))
+        (total, up, line, target), place = _different(*_arrays(market, side, point), fair.to_numpy(float))
+        a = total > 0, up > 0, line
+        base = np.where(a[0], line, -line)
+        return pd.Series(_root(lambda m: share(a, m), target, base - SEARCH, base + SEARCH)[place])
 
     @F.pandas_udf("double")
     def shift(market: pd.Series, side: pd.Series, point: pd.Series, mean: pd.Series, even: pd.Series) -> pd.Series:
-        a, m = _arrays(market, side, point), mean.to_numpy(float)
+        (total, up, line, m, target), place = _different(*_arrays(market, side, point), mean.to_numpy(float), even.to_numpy(float))
+        a = total > 0, up > 0, line
         way, ends = np.where(a[1], -1.0, 1.0), np.full(len(m), EDGE_SEARCH)
-        return pd.Series(_root(lambda delta: -share(a, m + way * delta), -even.to_numpy(float), -ends, ends))
+        return pd.Series(_root(lambda delta: -share(a, m + way * delta), -target, -ends, ends)[place])
 
     return chances, fair_mean, shift
 
@@ -137,7 +161,7 @@ def decisions(projections: DataFrame, offers: DataFrame, now: dt.datetime, weigh
     every = games.withColumn("market", F.explode(F.array(*[F.lit(m) for m in ("h2h", "spreads", "totals")])))
     centers = market_centers(offers.join(games.select("game"), "game"), weights)
     moved = lambda c: F.when(F.col("market") == "totals", F.col(c) + TOTAL_WEIGHT * (F.col("model_total") - F.col(c))).otherwise(F.col(c) + SIDE_WEIGHT * (F.col("pure_margin") - F.col(c)))
-    priced = every.join(centers, ["game", "market"], "left").withColumn("_first", moved("first")).withColumn("_second", moved("second"))
+    priced = cut(every.join(centers, ["game", "market"], "left").withColumn("_first", moved("first")).withColumn("_second", moved("second")))
     valid = offers.where(valid_offer(F.col("market"), F.col("side"), F.col("point"), F.col("price")))
     other = F.when(F.col("side") == "home", "away").when(F.col("side") == "away", "home").when(F.col("side") == "over", "under").otherwise("over")
     keys = ["game", "market", "book", "event", "offer_start", "updated", "fetched"]
@@ -160,7 +184,7 @@ def decisions(projections: DataFrame, offers: DataFrame, now: dt.datetime, weigh
     best = best.select("game", "market", "side", "point", "price", "book", "priced_mean", F.col("_q.win").alias("win"), F.col("_q.push").alias("push"), "edge", "edge_points", "ev", F.coalesce("_block", F.when(F.col("edge_points").isNull(), "invalid_probability"), F.lit("outside_slate")).alias("_reason"))
     empty = F.coalesce("_game_reason", F.when(F.col("_first").isNull() | F.col("_second").isNull(), "missing_market_line").otherwise("no_valid_price"))
     rows = priced.join(best, ["game", "market"], "left").withColumn("reason", F.coalesce("_reason", empty)).select("game", "market", "start", "side", "point", "price", "book", "priced_mean", "win", "push", "edge", "edge_points", "ev", "reason")
-    return _recommended(rows, picked)
+    return _recommended(cut(rows), picked)
 
 
 def _recommended(rows: DataFrame, picked: DataFrame | None) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from playsight.operators import decisions as D
 
@@ -100,6 +101,19 @@ def test_decisions(spark):
     assert only.count() == 0  # five games are picked already
 
 
+def test_equal_weights_need_a_few_terms_an_offer(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 3000
+    total, up = rng.random(n) < 0.3, rng.random(n) < 0.5
+    point, mean = np.where(total, 40.0, 0.0) + rng.integers(-250, 251, n) / 2.0, rng.normal(0, 40, n)
+    seen, cdf = [], D._cdf
+    monkeypatch.setattr(D, "_cdf", lambda x: seen.append(x.size) or cdf(x))
+    got = D._chances(total, up, point, mean, None)
+    assert sum(seen) <= 5 * n
+    want = D._chances(total, up, point, mean, np.ones(2 * D.RANGE + 1))
+    assert np.abs(np.array(got) - np.array(want)).max() < 1e-12
+
+
 COLUMNS = "id string, game string, market string, side string, point double, price double, status string, outcome string, start timestamp, home_team string, away_team string, published_at timestamp, forecast_at timestamp, win double, push double, ev double, edge double, receipts map<string,struct<observed_at:timestamp,sha256:string>>, flags map<string,string>, home_points long, away_points long, profit double, graded_at timestamp, settlement_reason string, result_at timestamp"
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 HOUR = dt.timedelta(hours=1)
