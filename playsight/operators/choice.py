@@ -5,13 +5,20 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from playsight.operators.solvers import bounded_quadratic
+from playsight.operators.solvers import bounded_quadratic, cut
 
 # Seasons that a fit needs, and what publishing asks of the validation.
 LEAST_SEASONS, LEAST_VALIDATED, LARGEST_GAP, DEVELOPMENT_THROUGH = 4, 8, 0.10, 2019
 ROUNDS, TOLERANCE = 100, 1e-10
+#: Rows of narrow tables, one a race, up to which they are broadcast: a race may hold a large part of all candidates.
+BROADCAST_RACES = 1_000_000
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_RACES else df
 
 
 def _windows(spark, frames: dict[int, np.ndarray], features: list[str], scale: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -23,20 +30,21 @@ def _windows(spark, frames: dict[int, np.ndarray], features: list[str], scale: d
 def fit_windows(rows: DataFrame, season: str, race: str, winner: str, features: list[str], lower: list[float], upper: list[float], cuts: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """cut -> (mean, scale, coefficients) of the logit with penalty |beta|^2 / 2 and bounds, on the races of seasons before the cut that have a winner.
 
-    All cuts are fitted together: a Newton round is one aggregation over candidates (by cut and race, then by
+    Candidates are prepared once.  All cuts are fitted together: a Newton round is one aggregation over candidates (by cut and race, then by
     cut) that brings one row a cut, the gradient and the curvature, to the driver.  A race's winners
     share its weight.  Raises where a fit has fewer than LEAST_SEASONS seasons or an input isn't finite.
     """
     spark, d = rows.sparkSession, len(features)
     x = F.array(*[F.col(f).cast("double") for f in features])
-    base = rows.select(F.col(season).cast("long").alias("s"), F.col(race).alias("race"), F.col(winner).cast("double").alias("won"), x.alias("x"))
+    base = cut(rows.select(F.col(season).cast("long").alias("s"), F.col(race).alias("race"), F.col(winner).cast("double").alias("won"), x.alias("x")))
     if base.where(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).limit(1).count():
         raise ValueError("award inputs are finite")
-    won = base.groupBy("s", "race").agg(F.sum("won").alias("all")).where(F.col("all") > 0)
-    base = base.join(won, ["s", "race"]).withColumn("t", F.col("won") / F.col("all"))
+    won = cut(base.groupBy("s", "race").agg(F.sum("won").alias("all")).where(F.col("all") > 0))
+    races_ = won.count()
+    base = cut(base.join(_small(won, races_), ["s", "race"]).select("s", "race", (F.col("won") / F.col("all")).alias("t"), *[F.col("x")[j].alias(f"x{j}") for j in range(d)]))
     every = spark.createDataFrame([(int(c),) for c in cuts], "cut long")  # as many as seasons are forecast
     rows = base.join(F.broadcast(every), F.col("s") < F.col("cut"))
-    moments = rows.groupBy("cut").agg(F.count_distinct("s").alias("seasons"), *[F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(d)], *[F.stddev_pop(F.col("x")[j]).alias(f"s{j}") for j in range(d)]).collect()
+    moments = rows.groupBy("cut").agg(F.count_distinct("s").alias("seasons"), *[F.avg(f"x{j}").alias(f"m{j}") for j in range(d)], *[F.stddev_pop(f"x{j}").alias(f"s{j}") for j in range(d)]).collect()
     if len(moments) < len(set(cuts)) or any(m["seasons"] < LEAST_SEASONS for m in moments):
         raise ValueError(f"at least {LEAST_SEASONS} earlier seasons with a winner are required")
     scale = {}
@@ -48,14 +56,15 @@ def fit_windows(rows: DataFrame, season: str, race: str, winner: str, features:
     open_ = set(scale)
     for _ in range(ROUNDS):
         table = _windows(spark, {c: beta[c] for c in open_}, features, scale)
-        z = F.zip_with(F.zip_with("x", "mean", lambda a, b: a - b), "scale", lambda a, b: a / b)
-        scored = rows.join(F.broadcast(table), "cut").select("cut", "s", "race", "t", z.alias("z"), F.aggregate(F.zip_with(z, "beta", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b).alias("v"))
+        z = [((F.col(f"x{j}") - F.col("mean")[j]) / F.col("scale")[j]).alias(f"z{j}") for j in range(d)]
+        scored = rows.join(F.broadcast(table), "cut").select("cut", "s", "race", "t", "beta", *z)
+        scored = scored.select("cut", "s", "race", "t", *[f"z{j}" for j in range(d)], sum((F.col(f"z{j}") * F.col("beta")[j] for j in range(d)), F.lit(0.0)).alias("v"))
         top = scored.groupBy("cut", "s", "race").agg(F.max("v").alias("top"))
         e = F.exp(F.col("v") - F.col("top"))
         pairs = [(i, j) for i in range(d) for j in range(i, d)]
-        races = scored.join(top, ["cut", "s", "race"]).groupBy("cut", "s", "race", "top").agg(
-            F.sum(e).alias("e"), F.sum(F.col("t") * F.col("v")).alias("tv"), *[F.sum(F.col("t") * F.col("z")[j]).alias(f"t{j}") for j in range(d)],
-            *[F.sum(e * F.col("z")[j]).alias(f"a{j}") for j in range(d)], *[F.sum(e * F.col("z")[i] * F.col("z")[j]).alias(f"h{i}_{j}") for i, j in pairs],
+        races = scored.join(_small(top, races_ * len(open_)), ["cut", "s", "race"]).groupBy("cut", "s", "race", "top").agg(
+            F.sum(e).alias("e"), F.sum(F.col("t") * F.col("v")).alias("tv"), *[F.sum(F.col("t") * F.col(f"z{j}")).alias(f"t{j}") for j in range(d)],
+            *[F.sum(e * F.col(f"z{j}")).alias(f"a{j}") for j in range(d)], *[F.sum(e * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"h{i}_{j}") for i, j in pairs],
         )
         mean = lambda j: F.col(f"a{j}") / F.col("e")
         found = races.groupBy("cut").agg(F.sum(F.log("e") + F.col("top") - F.col("tv")).alias("loss"), *[F.sum(mean(j) - F.col(f"t{j}")).alias(f"g{j}") for j in range(d)], *[F.sum(F.col(f"h{i}_{j}") / F.col("e") - mean(i) * mean(j)).alias(f"h{i}_{j}") for i, j in pairs]).collect()
@@ -82,10 +91,11 @@ def chosen(rows: DataFrame, fits: dict[int, tuple[np.ndarray, np.ndarray, np.nda
     table = _windows(rows.sparkSession, {c: f[2] for c, f in fits.items()}, features, {c: f[:2] for c, f in fits.items()})
     parts = [(F.col(f).cast("double") - F.col("mean")[j]) / F.col("scale")[j] * F.col("beta")[j] for j, f in enumerate(features)]
     scored = rows.join(F.broadcast(table), F.col(season) == F.col("cut")).withColumn("_v", sum(parts[1:], parts[0]))
-    per = scored.groupBy(F.col(season).alias("_s"), F.col(race).alias("_r")).agg(F.max("_v").alias("_top"))
-    scored = scored.join(per, (F.col(season) == F.col("_s")) & (F.col(race) == F.col("_r"))).withColumn("_e", F.exp(F.col("_v") - F.col("_top")))
+    per = cut(scored.groupBy(F.col(season).alias("_s"), F.col(race).alias("_r")).agg(F.max("_v").alias("_top")))
+    races = per.count()
+    scored = scored.join(_small(per, races), (F.col(season) == F.col("_s")) & (F.col(race) == F.col("_r"))).withColumn("_e", F.exp(F.col("_v") - F.col("_top")))
     total = scored.groupBy("_s", "_r").agg(F.sum("_e").alias("_all"))
-    return scored.join(total, ["_s", "_r"]).select(*rows.columns, (F.col("_e") / F.col("_all")).alias("probability"))
+    return scored.join(_small(total, races), ["_s", "_r"]).select(*rows.columns, (F.col("_e") / F.col("_all")).alias("probability"))
 
 
 def evaluated(rows: DataFrame, season: str, race: str, candidate: str, winner: str, features: list[str], lower: list[float], upper: list[float]) -> DataFrame:
@@ -93,12 +103,17 @@ def evaluated(rows: DataFrame, season: str, race: str, candidate: str, winner: s
 
     A race whose winner is no candidate is a full miss.
     """
+    rows = cut(rows.select(*dict.fromkeys([season, race, candidate, winner, *features])))
     known = [r[0] for r in rows.groupBy(season).agg(F.max(winner).alias("w")).where("w > 0").select(season).orderBy(season).collect()]
     cuts = [r[0] for r in rows.select(season).distinct().orderBy(season).collect() if sum(k < r[0] for k in known) >= LEAST_SEASONS]
-    p = chosen(rows, fit_windows(rows, season, race, winner, features, lower, upper, cuts), season, race, features)
+    p = cut(chosen(rows, fit_windows(rows, season, race, winner, features, lower, upper, cuts), season, race, features))
     best = F.max(F.struct("probability", -F.xxhash64(candidate), F.col(winner).cast("double").alias("won")))
-    three = F.slice(F.sort_array(F.collect_list(F.struct("probability", F.col(winner).cast("double").alias("won"))), asc=False), 1, 3)  # a race's candidates
-    per = p.groupBy(season, race).agg(F.count(F.lit(1)).alias("candidates"), F.sum(winner).alias("winners"), F.sum(F.when(F.col(winner) > 0, F.col("probability")).otherwise(0.0)).alias("winner_probability"), best.alias("_b"), three.alias("_three"), F.sum(F.col("probability") * F.col("probability")).alias("_pp"))
+    # Spark keeps the first three of each race in each task before it shuffles them
+    order = W.partitionBy(season, race).orderBy(F.desc("probability"), F.desc("won"))
+    first = p.select(season, race, "probability", F.col(winner).cast("double").alias("won")).withColumn("_at", F.row_number().over(order)).where("_at <= 3")
+    three = first.groupBy(F.col(season).alias("_s"), F.col(race).alias("_r")).agg(F.collect_list(F.struct("probability", "won")).alias("_three"))
+    per = p.groupBy(season, race).agg(F.count(F.lit(1)).alias("candidates"), F.sum(winner).alias("winners"), F.sum(F.when(F.col(winner) > 0, F.col("probability")).otherwise(0.0)).alias("winner_probability"), best.alias("_b"), F.sum(F.col("probability") * F.col("probability")).alias("_pp"))
+    per = per.join(three, F.col(season).eqNullSafe(F.col("_s")) & F.col(race).eqNullSafe(F.col("_r")))
     inside = F.col("winners") > 0
     brier = F.col("_pp") - 2 * F.col("winner_probability") / F.greatest(F.col("winners"), F.lit(1)) + F.when(inside, 1.0 / F.col("winners")).otherwise(1.0)
     return per.select(

@@ -347,3 +347,18 @@ def test_market_ratings_are_carried_from_season_to_season(spark):
         rated = fit(now, prior, sorted({*prior, *(t for g in now for t in g[3:5])}), cut - 1) if now else prior
         want |= {(lg, season, cut, t): (r, sum(t in g[3:5] for g in now)) for t, r in rated.items()}
     assert set(got) == set(want) and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-9) for k in want)
+
+
+def test_choice_prepares_candidates_once(spark):
+    from playsight.operators import choice
+
+    frame = spark.createDataFrame(_races(np.random.default_rng(8), range(2001, 2010)), "season long, race string, who string, won double, a double, b double, c double")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(a):
+        seen.add(1)
+        return a
+
+    history = choice.evaluated(frame.withColumn("a", counted("a")), "season", "race", "who", "won", ["a", "b", "c"], [0.0] * 3, [np.inf] * 3)
+    assert history.count() == 5 and seen.value == 54  # nine races of six candidates
