@@ -103,17 +103,18 @@ def fits(games: DataFrame, cuts: DataFrame, half_life: float = HALF_LIFE_WEEKS)
 
     Points a drive are centred; EPA a drive is centred and brought to points by its clipped slope on them.  The first
     pass explains their mean, the second their best weighting under the shrunk covariance of the first pass's
-    residuals; both weigh games by recency.  Strengths are centred, with their covariance.
+    residuals; both weigh games by recency.  Strengths are centred, with their covariance.  What has one row a fit is
+    broadcast: shuffled by season and cut, all games of a fit would meet in one task.
     """
     last = F.max("week")
-    g = games.join(cuts.select("season", "cut"), "season").where("week < cut")
-    g = g.join(g.groupBy("season", "cut").agg(last.alias("_last")), ["season", "cut"]).withColumn("recency", F.pow(F.lit(0.5), (F.col("_last") - F.col("week")) / half_life))
+    g = games.join(F.broadcast(cuts.select("season", "cut")), "season").where("week < cut")
+    g = g.join(F.broadcast(g.groupBy("season", "cut").agg(last.alias("_last"))), ["season", "cut"]).withColumn("recency", F.pow(F.lit(0.5), (F.col("_last") - F.col("week")) / half_life))
     sides = _sides(g)
     mean = lambda c: F.sum(F.col("recency") * c) / F.sum("recency")
     base = sides.groupBy("season", "cut").agg(mean(F.col("ppd")).alias("mp"), mean(F.col("epa")).alias("me"), mean(F.col("epa") * F.col("epa")).alias("ee"), mean(F.col("epa") * F.col("ppd")).alias("pe"))
     slope = F.least(F.lit(SLOPE_BOUNDS[1]), F.greatest(F.lit(SLOPE_BOUNDS[0]), (F.col("pe") - F.col("mp") * F.col("me")) / F.greatest(F.col("ee") - F.col("me") * F.col("me"), F.lit(1e-9))))
-    base = base.select("season", "cut", "mp", "me", slope.alias("slope")).join(g.groupBy("season", "cut").agg(F.avg("drives").alias("base_drives")), ["season", "cut"])
-    s = sides.join(base, ["season", "cut"]).withColumn("p", F.col("ppd") - F.col("mp")).withColumn("e", F.col("slope") * (F.col("epa") - F.col("me")))
+    base = base.select("season", "cut", "mp", "me", slope.alias("slope")).join(F.broadcast(g.groupBy("season", "cut").agg(F.avg("drives").alias("base_drives"))), ["season", "cut"])
+    s = sides.join(F.broadcast(base), ["season", "cut"]).withColumn("p", F.col("ppd") - F.col("mp")).withColumn("e", F.col("slope") * (F.col("epa") - F.col("me")))
     total = lambda name, e: F.sum(e).cast("double").alias(name)
     w, p, e = F.col("recency"), F.col("p"), F.col("e")
     side = s.groupBy("season", "cut", "o", "d", "h", "slope", "base_drives").agg(F.count(F.lit(1)).cast("double").alias("n"), total("w", w), total("wp", w * p), total("we", w * e), total("pp", p * p), total("pe", p * e), total("ee", e * e), F.sum("p").alias("_p"), F.sum("e").alias("_e"))
@@ -132,6 +133,7 @@ def projections(fitted: DataFrame, slate: DataFrame, scale: float = 1.0) -> Data
 
     Only Columns: of the strengths' covariance the five that a game touches count.  A team the fit has not seen gives no row.
     """
+    fitted = F.broadcast(fitted)  # a row a fit, a square of its teams each
     m = slate.join(fitted, (slate["season"] == fitted["season"]) & (slate["week"] == fitted["cut"])).drop(fitted["season"])
     m = m.withColumn("_i", F.array_position("teams", F.col("home")).cast("int") - 1).withColumn("_j", F.array_position("teams", F.col("away")).cast("int") - 1).where("_i >= 0 and _j >= 0")
     n, b = F.size("teams"), F.col("base_drives")

@@ -362,3 +362,21 @@ def test_choice_prepares_candidates_once(spark):
 
     history = choice.evaluated(frame.withColumn("a", counted("a")), "season", "race", "who", "won", ["a", "b", "c"], [0.0] * 3, [np.inf] * 3)
     assert history.count() == 5 and seen.value == 54  # nine races of six candidates
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joint_scoring_shuffles_no_games_by_fit(spark):
+    from playsight.operators import scoring
+
+    games = spark.createDataFrame(_season(np.random.default_rng(4)), "season long, week long, game string, home string, away string, neutral boolean, home_ppd double, away_ppd double, home_epa double, away_epa double, drives double, home_points double, away_points double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        fitted = scoring.fits(games, games.select("season", F.lit(4).cast("long").alias("cut")).distinct())
+        assert "SortMergeJoin" not in _plan(fitted)
+        assert "SortMergeJoin" not in _plan(scoring.projections(fitted, games.select("season", "week", "game", "home", "away", "neutral")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
