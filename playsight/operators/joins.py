@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playsight.operators.solvers import cut
+
+#: Different trigrams (16 bytes each) up to which their counts are broadcast: the commonest stand in nearly every name.
+BROADCAST_GRAMS = 1_000_000
+
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once: empty where a join may assume them unique."""
@@ -64,10 +69,9 @@ def unique_mapping(rows: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def _grams(name: Column) -> Column:
-    """The trigrams of a padded name, each with how often it came before, so that none is lost by being repeated."""
+    """The different trigrams of a padded name, hashed: names that share one share its hash."""
     padded = F.concat(F.lit("  "), name, F.lit("  "))
-    each = F.transform(F.sequence(F.lit(1), F.char_length(name) + 2), lambda i: F.substr(padded, i, F.lit(3)))
-    return F.transform(each, lambda g, i: F.concat(g, F.size(F.filter(F.slice(each, 1, i), lambda x: x == g)).cast("string")))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(name) + 2), lambda i: F.xxhash64(F.substr(padded, i, F.lit(3)))))
 
 
 def similar_in_band(left: DataFrame, right: DataFrame, left_id: str, right_id: str, at: str, start: str, width: int, names: list[tuple[str, str]], least: float) -> DataFrame:
@@ -76,7 +80,8 @@ def similar_in_band(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     Names are pairs of a left and a right column; ties go to the smaller |lag|, then the smaller right id.  Exact: a pair that
     counts has a first name of similarity 1 - k (1 - least) at least (k names), so at most that share of the longer
     name's letters differ, and each edit spoils three trigrams.  A name need only be looked up by so many of its
-    rarest trigrams, plus one; frequent ones are hardly ever used.  Names are compared with letters as they are; a null name is empty.
+    rarest trigrams, plus one; frequent ones are hardly ever used.  A pair that meets by several is kept at the
+    first, and only where no name has more edits than a pair that counts may have.  Names are compared with letters as they are; a null name is empty.
     """
     share = len(names) * (1.0 - least)
     if share >= 1 / 3:
@@ -85,18 +90,24 @@ def similar_in_band(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     bucket = lambda c: F.floor(F.col(c) / width)
     rows = {"l": left.select(F.col(left_id).alias("_id"), F.col(at).alias("_at"), *[text(a).alias(f"_n{k}") for k, (a, _) in enumerate(names)]), "r": right.select(F.col(right_id).alias("_id"), F.col(start).alias("_at"), *[text(b).alias(f"_n{k}") for k, (_, b) in enumerate(names)])}
     counts = rows["l"].select("_n0").unionByName(rows["r"].select("_n0")).select(F.explode(_grams(F.col("_n0"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    counts = cut(counts)
+    known = F.broadcast(counts) if counts.count() <= BROADCAST_GRAMS else counts
 
     def keyed(side: str) -> DataFrame:
-        per = rows[side].select("_id", "_n0").distinct()
+        per = rows[side].select("_n0").distinct()
         # the longer name of a pair has length / (1 - share) letters at most
         need = F.floor(F.char_length("_n0") / (1.0 - share) * share + 1e-9) * 3 + 1
-        found = per.select("_id", need.alias("need"), F.explode(_grams(F.col("_n0"))).alias("g")).join(counts, "g").groupBy("_id", "need").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("gs"))
-        return found.select("_id", F.explode(F.slice("gs", F.lit(1), F.col("need").cast("int"))["g"]).alias("g"))
-
-    a = rows["l"].join(keyed("l"), "_id").withColumn("_b", F.explode(F.array(bucket("_at") - 1, bucket("_at"), bucket("_at") + 1)))
-    b = rows["r"].join(keyed("r"), "_id").withColumn("_b", bucket("_at"))
-    b = b.select("g", "_b", *[F.col(c).alias(f"_r{c}") for c in rows["r"].columns])
-    met = a.join(b, ["g", "_b"]).where(F.abs(F.col("_at") - F.col("_r_at")) <= width).drop("g", "_b").distinct()
+        found = per.select("_n0", need.alias("need"), F.explode(_grams(F.col("_n0"))).alias("g")).join(known, "g").groupBy("_n0", "need").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("gs"))
+        return found.select("_n0", F.slice("gs", F.lit(1), F.col("need").cast("int"))["g"].alias("gs"))
+
+    met_by = lambda side, b: rows[side].join(keyed(side), "_n0").withColumn("_b", b).select("*", F.posexplode("gs").alias("_k", "g"))
+    a = met_by("l", bucket("_at"))
+    b = met_by("r", F.explode(F.array(bucket("_at") - 1, bucket("_at"), bucket("_at") + 1)))
+    b = b.select("g", "_b", F.col("gs").alias("_rgs"), *[F.col(c).alias(f"_r{c}") for c in rows["r"].columns])
+    met = a.join(b, ["g", "_b"]).where(F.abs(F.col("_at") - F.col("_r_at")) <= width).where(~F.arrays_overlap(F.slice("gs", F.lit(1), F.col("_k")), "_rgs"))
+    for k in reversed(range(len(names))):
+        most = F.floor(F.greatest(F.char_length(f"_n{k}"), F.char_length(f"_r_n{k}")) * share + 1e-9).cast("int")
+        met = met.where(F.call_function("levenshtein", F.col(f"_n{k}"), F.col(f"_r_n{k}"), most) >= 0)
     alike = [F.when(F.greatest(F.char_length(f"_n{k}"), F.char_length(f"_r_n{k}")) == 0, 1.0).otherwise(1.0 - F.levenshtein(f"_n{k}", f"_r_n{k}") / F.greatest(F.char_length(f"_n{k}"), F.char_length(f"_r_n{k}"))) for k in range(len(names))]
     scored = met.select("_id", "_r_id", (sum(alike[1:], alike[0]) / float(len(names))).alias("score"), (F.col("_at") - F.col("_r_at")).alias("lag")).where(F.col("score") >= least - 1e-12)
     best = scored.groupBy("_id").agg(F.min(F.struct((-F.round("score", 12)).alias("s"), F.abs("lag").alias("d"), F.col("_r_id").alias("r"), "score", "lag")).alias("x"))

@@ -210,3 +210,17 @@ def test_similar_names_are_all_found(spark):
         assert {r["i"]: r["j"] for r in got.collect()} == want
     with pytest.raises(ValueError):
         J.similar_in_band(spark.createDataFrame(left, "i long, t long, a string"), spark.createDataFrame(right, "j long, s long, b string"), "i", "j", "t", "s", 30, [("a", "b")], 0.6)
+
+
+def test_similar_names_meet_once(spark):
+    """Names with a long beginning in common, as numbered customers have, in one band."""
+    name = lambda k: f"Customer#{k:09d}"
+    left, right = [(k, 0, name(k)) for k in range(100)], [(k, 0, name(k)) for k in range(50, 100)]
+    frames = spark.createDataFrame(left, "i long, t long, a string"), spark.createDataFrame(right, "j long, s long, b string")
+    found = J.similar_in_band(*frames, "i", "j", "t", "s", 30, [("a", "b")], 0.9)
+    got = {r["i"]: r["j"] for r in found.collect()}
+    assert all(got[k] == k for k in range(50, 100))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "arrays_overlap" in plan and "aggregate [_id" in plan.replace("#", " ")
+    want = {i: min((sum(x != y for x, y in zip(name(i), name(j), strict=True)), j) for j in range(50, 100))[1] for i in range(100)}
+    assert got == want
