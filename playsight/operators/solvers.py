@@ -25,7 +25,8 @@ def cut(df: DataFrame) -> DataFrame:
 def sparse_ridge(rows: DataFrame, targets: list[str], penalty: Callable[[Column], Column], extra: DataFrame | None = None, rounds: int = 500, tolerance: float = 1e-10) -> DataFrame:
     """(f, x0, x1, ...): solutions of (X'WX + diag(penalty)) x = X'W y for each target, then for each column of `extra`.
 
-    rows: (w, terms array<struct<f string, x double>>, targets...), one an observation; penalty: of the column f;
+    rows: (w, terms array<struct<f string, x double>>, targets...), one an observation; those with the same terms are added up first,
+    for only X'WX and X'W y count, so rounds grow with the different rows of the design; penalty: of the column f;
     extra: (f, columns of further right-hand sides).  Conjugate gradients, preconditioned by the diagonal: a round is
     one product with the matrix, an aggregation to observations and back to features, and one row of
     scalars to the driver.  A feature of every row (the intercept) is aggregated before it is shuffled;
@@ -33,8 +34,10 @@ def sparse_ridge(rows: DataFrame, targets: list[str], penalty: Callable[[Column]
     """
     many = [c for c in (extra.columns if extra is not None else []) if c != "f"]
     n = len(targets) + len(many)
-    each = cut(rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", "w", *targets, F.explode("terms").alias("t")).select("_row", "w", *targets, "t.f", "t.x"))
-    start = each.groupBy("f").agg(F.sum(F.col("w") * F.col("x") * F.col("x")).alias("d"), *[F.sum(F.col("w") * F.col("x") * F.col(y)).alias(f"r{k}") for k, y in enumerate(targets)])
+    sums = [f"_y{k}" for k in range(len(targets))]
+    designs = rows.groupBy("terms").agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(y)).alias(s) for s, y in zip(sums, targets, strict=True)])
+    each = cut(designs.withColumn("_row", F.monotonically_increasing_id()).select("_row", "w", *sums, F.explode("terms").alias("t")).select("_row", "w", *sums, "t.f", "t.x"))
+    start = each.groupBy("f").agg(F.sum(F.col("w") * F.col("x") * F.col("x")).alias("d"), *[F.sum(F.col("x") * F.col(y)).alias(f"r{k}") for k, y in enumerate(sums)])
     if extra is not None:
         start = start.join(extra, "f", "left").select("f", "d", *[f"r{k}" for k in range(len(targets))], *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"r{len(targets) + k}") for k, c in enumerate(many)])
     lam = penalty(F.col("f"))

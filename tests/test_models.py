@@ -380,3 +380,15 @@ def test_joint_scoring_shuffles_no_games_by_fit(spark):
         assert "SortMergeJoin" not in _plan(scoring.projections(fitted, games.select("season", "week", "game", "home", "away", "neutral")))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_equal_rows_of_a_design_are_added_up_first(spark, monkeypatch):
+    sizes, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df: sizes.append(cut(df)) or sizes[-1])
+    rows = spark.range(3000).selectExpr("1.0 + id % 2 as w", "cast(id % 7 as double) as y", "array(struct(concat('a', id % 3) as f, 1.0d as x), struct('one' as f, 0.5d as x)) as terms")
+    got = {r["f"]: r["x0"] for r in S.sparse_ridge(rows.withColumn("w", F.col("w").cast("double")), ["y"], lambda f: F.lit(2.0)).collect()}
+    assert sizes[0].count() == 6  # three designs of two terms
+    i = np.arange(3000)
+    x, w = np.column_stack([i % 3 == 0, i % 3 == 1, i % 3 == 2, np.full(3000, 0.5)]).astype(float), 1.0 + i % 2
+    want = np.linalg.solve(x.T @ (w[:, None] * x) + 2 * np.eye(4), x.T @ (w * (i % 7)))
+    assert [got[f] for f in ("a0", "a1", "a2", "one")] == pytest.approx(want, abs=1e-8)
