@@ -122,14 +122,14 @@ def prior_season_means(plays: DataFrame, bucket: list[Column], values: dict[str,
 def with_expectations(plays: DataFrame) -> DataFrame:
     """plays with `expected`, `expected_yards` and `expected_made`: means of earlier seasons by bucket, else by kind.
 
-    The tables have a row a season and bucket; Spark broadcasts them as long as they are small.
+    The tables have a row a season and bucket, whatever the number of plays, and are broadcast: plays are wide, and a bucket holds many.
     """
     scrimmage = plays.where("kind in ('pass', 'run')")
     table = prior_season_means(scrimmage, [F.col("kind"), F.col("down"), F.expr(distance_bucket())], {"b_success": "success", "b_yards": "yards"}).toDF("season", "kind", "down", "_k1", "b_success", "b_yards")
     whole = prior_season_means(scrimmage, [F.col("kind")], {"a_success": "success", "a_yards": "yards"}).toDF("season", "kind", "a_success", "a_yards")
     made = prior_season_means(plays.where("kind = 'field_goal'"), [F.expr("5 * floor(distance / 5)")], {"expected_made": "made"}).toDF("season", "_m", "expected_made")
     out = plays.withColumn("_k1", F.expr(distance_bucket())).withColumn("_m", F.expr("5 * floor(distance / 5)"))
-    out = out.join(table, ["season", "kind", "down", "_k1"], "left").join(whole, ["season", "kind"], "left").join(made, ["season", "_m"], "left")
+    out = out.join(F.broadcast(table), ["season", "kind", "down", "_k1"], "left").join(F.broadcast(whole), ["season", "kind"], "left").join(F.broadcast(made), ["season", "_m"], "left")
     return out.withColumn("expected", F.coalesce("b_success", "a_success")).withColumn("expected_yards", F.coalesce("b_yards", "a_yards")).drop("_k1", "_m", "b_success", "a_success", "b_yards", "a_yards")
 
 

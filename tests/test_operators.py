@@ -224,3 +224,16 @@ def test_similar_names_meet_once(spark):
     assert "arrays_overlap" in plan and "aggregate [_id" in plan.replace("#", " ")
     want = {i: min((sum(x != y for x, y in zip(name(i), name(j), strict=True)), j) for j in range(50, 100))[1] for i in range(100)}
     assert got == want
+
+
+def test_expectations_join_without_a_shuffle_of_plays(spark, sf):
+    from playsight.operators import traits
+    from playsight.plans.traits import plays
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        plan = traits.with_expectations(plays(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
