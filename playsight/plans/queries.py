@@ -519,9 +519,11 @@ def total_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT game, k, (CASE WHEN k >= 30 THEN 1.0 ELSE {_T7.format(x=f'((k + 0.5 - pure) / {_SC})')} END) - (CASE WHEN k <= -30 THEN 0.0 ELSE {_T7.format(x=f'((k - 0.5 - pure) / {_SC})')} END) AS p FROM k)
 SELECT game, round(sum(p), 6) AS mass, round(sum(p) FILTER (k > 3), 6) AS cover, round(sum(p) FILTER (k = 3), 6) AS push FROM m GROUP BY game""")
 def integer_pmf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = projections(spark, sf_dir).select("game", F.posexplode(M.integer_pmf(F.col("pure"), F.lit(12.82), -30, 30)).alias("i", "p"))
-    k = F.col("i") - 30
-    return p.groupBy("game").agg(r(F.sum("p")).alias("mass"), r(F.sum(F.when(k > 3, F.col("p")))).alias("cover"), r(F.sum(F.when(k == 3, F.col("p")))).alias("push"))
+    p = projections(spark, sf_dir).select("game", M.integer_pmf(F.col("pure"), F.lit(12.82), -30, 30).alias("p"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    # whole numbers from -30: 3 is the 34th
+    each = p.select("game", total(F.col("p")).alias("mass"), total(F.slice("p", 35, 27)).alias("cover"), F.get("p", F.lit(33)).alias("push"))
+    return each.groupBy("game").agg(*[r(F.sum(c)).alias(c) for c in ("mass", "cover", "push")])
 
 
 @query("L2_settlement", f"""WITH {PR}, o AS (SELECT game, actual, total, line, unnest(['h2h', 'spreads', 'totals']) AS market FROM pr),

@@ -237,3 +237,16 @@ def test_expectations_join_without_a_shuffle_of_plays(spark, sf):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
+
+
+def test_whole_number_chances_make_no_row_a_number(spark, sf):
+    from playsight.plans.queries import QUERIES
+
+    assert "Generate" not in QUERIES["F_integer_pmf"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    rows = [(3.5, 12.0), (-40.0, 12.0), (0.0, 0.0), (None, 12.0)]
+    got = [r["p"] for r in spark.createDataFrame(rows, "m double, s double").select(M.integer_pmf(F.col("m"), F.col("s"), -30, 30).alias("p")).collect()]
+    assert got[2] == got[3] == [None] * 61
+    for (m, s), p in zip(rows[:2], got, strict=False):
+        ks = spark.createDataFrame([(k + 0.5 - m, s) for k in range(-30, 30)], "x double, s double").select(M.t_cdf7(F.col("x"), F.col("s")).alias("c")).collect()
+        c = [0.0, *[r["c"] for r in ks], 1.0]
+        assert p == pytest.approx([b - a for a, b in zip(c, c[1:], strict=False)], abs=1e-14)
