@@ -191,17 +191,24 @@ def _matched(passage: int, window: int, reach: int):
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins the matches of each document into spans."""
     for batch in batches:
-        names, counts = [], []
-        for spans in batch.column(3).to_pylist():
-            merged: list[list[int]] = []
-            for s in sorted((x["first"], x["stop"]) for x in spans or []):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append(list(s))
-            names.append(",".join(f"{a}-{b}" for a, b in merged))
-            counts.append((sum(b - a for a, b in merged), len(merged)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64()), pa.array(names, pa.string())], names=["doc_id", "th", "n_words", "n_repeated", "n_spans", "spans"])
+        found = batch.column(3).fill_null([])
+        spans, n = found.flatten(), len(found)
+        row = np.repeat(np.arange(n), np.diff(np.asarray(found.offsets)))
+        first, stop = (spans.field(k).to_numpy(zero_copy_only=False) for k in ("first", "stop"))
+        order = np.lexsort((first, row))
+        row, first, stop = row[order], first[order], stop[order]
+        # the furthest stop so far; a row's own are above those of the rows before it
+        shift = row * (int(stop.max(initial=0)) + 1)
+        far = np.maximum.accumulate(stop + shift) if len(stop) else stop
+        opens = np.ones(len(row), bool)
+        opens[1:] = (row[1:] != row[:-1]) | (first[1:] + shift[1:] > far[:-1])
+        at = np.flatnonzero(opens)
+        low, high = first[at], (far - shift)[np.append(at[1:], len(row)) - 1] if len(at) else first[at]
+        bounds = np.searchsorted(row[at], np.arange(n + 1))
+        total = np.concatenate([[0], np.cumsum(high - low)])
+        each = [f"{x}-{y}" for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+        names = [",".join(each[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(total[bounds])), pa.array(np.diff(bounds)), pa.array(names, pa.string())], names=["doc_id", "th", "n_words", "n_repeated", "n_spans", "spans"])
 
 
 def _hot_spans(texts: DataFrame, passage: int, window: int, hot: int) -> DataFrame:
@@ -234,17 +241,19 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, k: int = K, windo
     counts = each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     kept = each.join(counts, "key").select("doc_id", "th", F.struct("pos", "key", (F.col("m") > hot).alias("hot")).alias("spot"))
     spots = cut(kept.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("spot")).alias("spots")))
-    texts = docs.join(if_small(spots.select("doc_id", "th")), ["doc_id", "th"], "left_semi")
 
     def held(which) -> DataFrame:
         some = spots.select("doc_id", "th", F.filter("spots", which).alias("spots")).where(F.size("spots") > 0)
+        # of the texts only those go on to the join that have such a spot
+        texts = docs.join(if_small(some.select("doc_id", "th")), ["doc_id", "th"], "left_semi")
         return texts.join(some, ["doc_id", "th"]).select("doc_id", "text", "th", "spots")
 
     suffixes = held(lambda x: ~x["hot"]).mapInArrow(_contexts(passage, window), "key long, doc_id long, th long, pos int, nl int, nr int, before binary, behind binary")
     found = suffixes.repartition(parts, "key").mapInArrow(_matched(passage, window, reach), "doc_id long, th long, first long, stop long")
     if spots.where(F.exists("spots", lambda x: x["hot"])).limit(1).count():
         found = found.unionAll(_hot_spans(held(lambda x: x["hot"]), passage, window, hot))
-    spans = found.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "stop")).alias("found"))
+    # a span that several suffixes give joins up with itself
+    spans = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "stop")).alias("found"))
     sizes = anchors.groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"))
     joined = sizes.join(spans, ["doc_id", "th"], "left").select("doc_id", "th", "n_words", "found")
     return joined.mapInArrow(_union, "doc_id long, th long, n_words long, n_repeated long, n_spans long, spans string")

@@ -309,6 +309,35 @@ def test_repeated_passages_behind_one_sided_ties(spark, hot):
     assert _got_marks(suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()) == want
 
 
+def _shuffled(spark, job):
+    """Bytes that job() writes to shuffles."""
+    sc, group = spark.sparkContext, f"shuffled-{random.random()}"
+    sc.setJobGroup(group, "")
+    job()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+    stages = {k for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds}
+    found = [store.lastStageAttempt(k).shuffleWriteBytes() for k in stages if tracker.getStageInfo(k) is not None]
+    assert found
+    return sum(found)
+
+
+def test_a_few_hot_suffixes_do_not_shuffle_all_texts_again(spark):
+    rng = random.Random(14)
+    run = lambda n: " ".join(f"t{rng.getrandbits(60):x}" for _ in range(n))
+    common, pairs = run(60), [run(60) for _ in range(120)]
+    # each text shares a passage with one other, and a few one that is hot where `hot` is 4
+    rows = [(k, f"{run(900)} {pairs[k // 2]} {common if k % 30 == 0 else run(60)}") for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
+    docs.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large for it
+    got = {hot: _shuffled(spark, lambda hot=hot: suffix_dedup.repeated_passages(docs, hot=hot).collect()) for hot in (4, 20_000)}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    docs.unpersist()
+    assert got[4] < 1.2 * got[20_000]
+
+
 @pytest.mark.parametrize("hot", [4, 20_000])
 def test_repeated_passages_of_an_id_with_several_texts(spark, hot):
     rng = random.Random(12)
