@@ -43,8 +43,10 @@ COLD = 16
 FRAGMENTS = 4
 #: Classes of a block (fewer, where they are large); and n-grams that a task compares at once.
 BLOCK, COLUMNS = 1024, 4096
-#: Rows (16 bytes each) of lists that a task looks at together.
+#: Rows (16 bytes each) of heads that a task deals out together.
 RUN = 1 << 19
+#: Rows of lists that a task looks at together, pairs that it adds up at once, and rows of a batch that it gives on.
+LOOK, PAIRS, SEND = 1 << 17, 1 << 19, 50_000
 
 
 def _named(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -97,7 +99,7 @@ def _segments(k: int, fragments: int):
 def _dealt(cold: int):
     """Rows (head, cid) into rows (h, cid, slot); slot 0: to the list of h; else h is hot here, and the row spread by its slot."""
 
-    def out(h: np.ndarray, cid: np.ndarray) -> pa.RecordBatch:
+    def out(h: np.ndarray, cid: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((cid, h))
         h, cid = h[order], cid[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -106,7 +108,9 @@ def _dealt(cold: int):
         fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])])
         place = np.cumsum(fresh) - np.cumsum(fresh)[np.arange(len(h)) - place]
         slot = np.where(place > cold, 1 + (cid & 0xFFFF), 0).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(h[fresh]), pa.array(cid[fresh]), pa.array(slot[fresh])], names=["h", "cid", "slot"])
+        h, cid, slot = h[fresh], cid[fresh], slot[fresh]
+        for x in range(0, len(h), SEND):
+            yield pa.RecordBatch.from_arrays([pa.array(c[x : x + SEND]) for c in (h, cid, slot)], names=["h", "cid", "slot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -116,10 +120,10 @@ def _dealt(cold: int):
             held.append((heads.flatten().to_numpy(zero_copy_only=False), cid))
             size += len(cid)
             if size >= RUN:
-                yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held, size = [], 0
         if size:
-            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -128,8 +132,8 @@ def _lists(cold: int):
     """Rows (h, cid, slot) of one partition, sorted by h: pairs of cold n-grams with their count, and the rows of hot ones."""
 
     def rows(a: np.ndarray, b: np.ndarray | None, shared: np.ndarray | None, h: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        for x in range(0, len(a), 50_000):
-            part = slice(x, x + 50_000)
+        for x in range(0, len(a), SEND):
+            part = slice(x, x + SEND)
             n = len(a[part])
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c[part]) for c in (a, b, shared, h)], names=["a", "b", "shared", "h"])
 
@@ -141,14 +145,17 @@ def _lists(cold: int):
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(first, len(h)))
         is_hot = (size > cold) | (np.maximum.reduceat(slot, first) > 0) | (h[first] == known_hot if known_hot is not None else False)
-        left, right = [], []
-        for m in range(2, cold + 1):
-            at = first[(size == m) & ~is_hot]
-            if len(at):
-                i, j = np.triu_indices(m, 1)
-                left.append(cid[at[:, None] + i].ravel())
-                right.append(cid[at[:, None] + j].ravel())
-        if left:
+        # pairs are added up a part of the lists at a time: there are up to cold / 2 for a row
+        of = np.where(is_hot, 0, size * (size - 1) // 2)
+        part = (np.cumsum(of) - of) // PAIRS
+        for k in np.unique(part[of > 0]).tolist():
+            left, right = [], []
+            for m in range(2, cold + 1):
+                at = first[(size == m) & ~is_hot & (part == k)]
+                if len(at):
+                    i, j = np.triu_indices(m, 1)
+                    left.append(cid[at[:, None] + i].ravel())
+                    right.append(cid[at[:, None] + j].ravel())
             a, b = np.concatenate(left), np.concatenate(right)
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
@@ -164,12 +171,12 @@ def _lists(cold: int):
                 continue
             held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
             size += batch.num_rows
-            if size < RUN:
+            if size < LOOK:
                 continue
             h, cid, slot = (np.concatenate(x) for x in zip(*held, strict=True))
             # the last list goes on in the next run, unless it is known to be hot
             at = int(np.searchsorted(h, h[-1]))
-            if at == 0 or len(h) - at > RUN // 2:
+            if at == 0 or len(h) - at > LOOK // 2:
                 yield from settle(h, cid, slot, known_hot)
                 known_hot, held, size = int(h[-1]), [], 0
             else:

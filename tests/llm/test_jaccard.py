@@ -2,10 +2,14 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from playsight.llm import ngram_jaccard
 from playsight.llm.ngram_jaccard import jaccard_components
 
 rng = random.Random(21)
@@ -86,3 +90,19 @@ def test_many_copies_of_a_few_near_texts(spark):
     base = _words(40)
     texts = [" ".join(base), _edited(base, 1), _edited(base, 1)]
     _check(spark, [(k, texts[k % 3]) for k in range(3000)] + [(3000 + k, " ".join(_words(20))) for k in range(50)])
+
+
+def test_lists_of_many_pairs_need_little_memory():
+    cold, rows = 16, 40_000 * 16
+    h = np.repeat(np.arange(rows // cold), cold)
+    cid = (h // 50) * 1000 + np.tile(np.arange(cold), rows // cold)  # 50 lists hold the same classes
+    batches = [pa.RecordBatch.from_arrays([pa.array(h[x : x + 10_000]), pa.array(cid[x : x + 10_000]), pa.array(np.zeros(len(h[x : x + 10_000]), np.int32))], names=["h", "cid", "slot"]) for x in range(0, rows, 10_000)]
+    tracemalloc.start()
+    found = Counter()
+    for batch in ngram_jaccard._lists(cold)(iter(batches)):
+        for a, b, shared in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            found[a, b] += shared
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 800 * 120 and set(found.values()) == {50}
+    assert most < 100e6
