@@ -150,10 +150,13 @@ def _merged(bits: int, least: int):
 
 
 def _salted(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """rows joined with table (each key once) on keys, which one key may hold a large part of: dealt in SALTS parts by `by`."""
+    """rows joined with table (each key once) on keys, which one key may hold a large part of: dealt in SALTS parts by `by`.
+
+    Never by broadcast: Spark sizes the table as its compressed file, and its SALTS copies no larger.
+    """
     salt = F.pmod(F.xxhash64(*by), F.lit(SALTS)).alias("_salt")
     spread = table.withColumn("_salt", F.explode(F.lit(list(range(SALTS))).cast("array<long>")))
-    return rows.withColumn("_salt", salt).join(spread, [*keys, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", salt).join(spread.hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int = SHARE) -> DataFrame:
@@ -199,7 +202,7 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int = SH
         word = lambda k: frequent.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"s{k}"), F.col("c").alias(f"c{k}"), *(["lang"] if k == 1 else []))
         bigrams, trigrams = grams.where("w3 = 0").drop("w3"), grams.where("w3 > 0")
         inside = trigrams.select("w1", "w2", "a").unionAll(trigrams.select("w2", "w3", "a")).toDF("w1", "w2", "longer").groupBy("w1", "w2").agg(F.max("longer").alias("longer"))
-        pairs = bigrams.join(inside, ["w1", "w2"], "left").where(f"longer is null or 100 * longer < {int(share)} * a").drop("longer")
+        pairs = bigrams.join(inside.hint("merge"), ["w1", "w2"], "left").where(f"longer is null or 100 * longer < {int(share)} * a").drop("longer")
         pairs = _salted(_salted(pairs, word(1), ["w1"], ["w1", "w2"]), word(2), ["w2"], ["w1", "w2"])
         pairs = pairs.select("lang", F.concat_ws(" ", "s1", "s2").alias("phrase"), "a", cut_at(1, "c1", "c2").alias("x"))
         triples = trigrams

@@ -76,3 +76,15 @@ def test_awkward_rows(spark):
         assert got == _plain([r[:2] for r in rows], least, top, share)
     assert collocations.phrases(docs.limit(0)).count() == 0
     assert collocations.phrases(docs.where("text = ''")).count() == 0
+
+
+def test_broadcasts_totals_only(spark, monkeypatch):
+    """Spark takes a compressed table for small; words and pairs, repeated for the salts, must not go through the driver."""
+    plans, cut = [], collocations.cut
+    monkeypatch.setattr(collocations, "cut", lambda df: (cut(df), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    docs = spark.createDataFrame([(f"a b c. d e f. a b. a b {lang}", lang) for lang in ("en", "de")] * 10, "text string, lang string")
+    assert collocations.phrases(docs).count() > 0
+    final = plans[-1].partition("Initial Plan")[0]
+    assert "isFinalPlan=true" in final
+    assert [x.split("HashJoin ")[1].split("#")[0] for x in final.splitlines() if "HashJoin " in x] == ["[lang"]
+    assert final.count("SortMergeJoin") == 8
